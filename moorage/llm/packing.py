@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,22 @@ from ..session import cut_lineage
 
 CAPACITY = 2048
 END = 1
-#: Words kept with their ids, by each worker; words of more bytes are not kept.
-KEPT_WORDS, KEPT_BYTES = 500_000, 48
+#: Words, and parts of words, kept with their ids by each worker; longer ones are not kept.
+KEPT_WORDS, KEPT_CHARS = 500_000, 48
+
+#: How the vocabulary's rules cut a lower-case word. Fixed value.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words that normalisation only lower-cases: ASCII and precomposed Latin letters, without the special tokens' mark.
+_PLAIN = regex.compile(r"(?:(?!<\|)[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e])+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a visible character: printable ones as they are, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+_LETTERS = _byte_letters()
 
 
 class WordTokenizer:
@@ -33,38 +48,62 @@ class WordTokenizer:
 
     The vocabulary's rules never look across white space, so the ids of a text
     are those of its words in order. Cuts are made at the space, tab, line feed
-    and carriage return only, a part of what the tokenizer drops.
+    and carriage return only, a part of what the tokenizer drops. Plain words
+    are cut further into the vocabulary's parts, which recur far more often;
+    any other word goes to the tokenizer as it stands.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part.encode().decode("latin-1").translate(_LETTERS)
+            ids = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+            if len(part) <= KEPT_CHARS:
+                if len(self.parts) >= KEPT_WORDS:
+                    self.parts.clear()
+                self.parts[part] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word):
+            ids = b"".join(map(self._part, _PARTS.findall(word.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(word) <= KEPT_CHARS:
+            if len(self.words) >= KEPT_WORDS:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join(map(self.kept.__getitem__, words))
-        except KeyError:
-            pass
-        kept = self.kept
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-        new = list({w for w in words if w not in kept})
-        here = {}
-        for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            ids = np.array(got.ids, dtype="<u4").tobytes()
-            (kept if len(word) <= KEPT_BYTES else here)[word] = ids
-        return b"".join([kept[w] if w in kept else here[w] for w in words])
+        get, new = self.words.get, self._word
+        return b"".join([ids if (ids := get(w)) is not None else new(w) for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")])
+
+
+_loaded: dict[str, WordTokenizer] = {}
+
+
+def loaded(path: str) -> WordTokenizer:
+    """This worker's tokenizer; workers, and with them the kept words, outlive tasks."""
+    if path not in _loaded:
+        _loaded[path] = WordTokenizer(path)
+    return _loaded[path]
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece: full windows, then the remainder, with the partition it came from and its rank there among pieces of its length."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, ranks = WordTokenizer(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        encode, part, ranks = loaded(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
             rows = []

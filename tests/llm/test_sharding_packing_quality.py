@@ -106,6 +106,16 @@ def test_packing_holds_every_id_once(spark):
     assert packing.pack(docs(spark, []), tokenizer_path()).count() == 0
 
 
+def test_word_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    whole, own, rng = Tokenizer.from_file(tokenizer_path()), packing.WordTokenizer(tokenizer_path()), random.Random(11)
+    letters = "abzABZ019.,'!<|>-_@#sStTdD\n\t\r \u00a0éÉßÿŸœŁİŉſıǅñÑ¼²ªΣσς日本\u0301\u0308\u200b\u2028\x1c\x85🙂\ufb01"
+    texts = ["", " ", "<|endoftext|>x<|startoftext|>", "don't WE'LL I'd o'S x's 'tis 're", "a" * 5000] + ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(3000)]
+    for t in texts:
+        assert np.frombuffer(own(t), dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def slow_measures(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
