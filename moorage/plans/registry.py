@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import document_queries
+from . import document_queries, fixture_queries
 
-MODULES = [document_queries]
+MODULES = [document_queries, fixture_queries]
 
 
 def queries() -> dict[str, Callable]:
