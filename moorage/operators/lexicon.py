@@ -33,6 +33,11 @@ CLUSTERS = {
     "소통": "커뮤니케이션 의사소통", "기획": "플래닝 구상", "개발": "구현 제작 코딩", "운영": "관리 유지", "분석": "조사 해석 리서치", "발표": "프레젠테이션 피칭",
     "교육": "연수 훈련", "검증": "테스트 확인 점검", "학습": "공부 습득", "배포": "릴리스 출시", "자동화": "오토메이션", "계획": "일정 로드맵", "목표": "지향점 골",
     "프로젝트": "과제 사업", "회사": "기업 직장", "고객": "사용자 유저 이용자", "데이터": "자료 정보", "성과": "실적 결과물", "문제": "이슈 장애 결함",
+    "인정": "승인 평가 호평", "보조": "지원 어시스트 거들기 도움", "조율": "조정 중재 협의 타협", "리뷰": "검토 피드백 감수 첨삭", "대응": "응대 조치 처리 수습", "예방": "방지 차단 대비 사전점검", "회고": "성찰 되돌아보기 복기",
+    "성장": "발전 진보 도약 레벨업", "봉사": "자원봉사 나눔 재능기부", "주최": "개최 주관 진행", "실패": "좌절 낙방 실수 시행착오", "시작": "착수 개시 출범 입문", "종료": "완료 마무리 끝맺음 폐막", "마감": "기한 데드라인 제출일", "동기": "이유 계기 의도",
+    "설계": "아키텍처 구조화 모델링", "연구": "탐구 실험 고찰", "보고서": "리포트 결과서 문서", "회의": "미팅 모임 논의", "팀": "조직 부서 그룹", "역할": "책무 포지션 임무", "기술": "스킬 역량 노하우", "경험": "체험 이력 경력",
+    "효과": "영향 파급력 임팩트", "전략": "방안 접근법 대책", "시장": "업계 마켓 산업", "마케팅": "홍보 광고 프로모션", "디자인": "시안 비주얼 그래픽", "품질": "퀄리티 완성도", "속도": "성능 응답시간 처리량", "비용": "예산 지출 경비",
+    "오류": "버그 에러 결점", "사이트": "웹페이지 홈페이지", "화면": "인터페이스 레이아웃", "수업": "강의 강좌 세미나", "시험": "평가시험 고사", "여행": "탐방 답사 출장", "건강": "체력 컨디션 웰빙", "독서": "책읽기 서평",
     "콘텐츠": "게시물", "주문": "발주 오더", "서비스": "제품 플랫폼", "매출": "수익 판매액", "지표": "수치 메트릭",
 }
 SPELLINGS = {"컨텐츠": "콘텐츠", "메세지": "메시지", "어플리케이션": "애플리케이션", "리더쉽": "리더십", "프리젠테이션": "프레젠테이션", "워크샵": "워크숍", "스케쥴": "스케줄"}
@@ -40,11 +45,21 @@ SLANG = {"캐리하다": "주도", "캐리": "주도", "갈아넣다": "집중
 SHORT = {"플젝": "프로젝트", "알바": "아르바이트", "공모": "공모전", "컨퍼": "컨퍼런스", "디비": "데이터베이스"}
 
 
+#: Words that are often mistyped and in no cluster.
+OFTEN_MISTYPED = (
+    "알고리즘 데이터베이스 네트워크 서버개발 클라우드 컨테이너 파이프라인 인공지능 머신러닝 딥러닝 시각화 대시보드 통계분석 회귀분석 설문조사 인터뷰 벤치마킹 사용성평가 프로토타입 와이어프레임 "
+    "브랜딩 캠페인 콘텐츠기획 영상편집 촬영감독 연출가 시나리오 포트폴리오 전시회 공연기획 동아리회장 총무부장 학생회 장학금 졸업논문 학술대회 연구실 실험설계 교환학생 어학연수 "
+    "자격증시험 합격수기 모의고사 문제풀이 스터디그룹 멘토링 튜터링 봉사시간 후원금 기부행사 환경보호 지역사회 취약계층 청소년 다문화가정 독거노인 재능나눔 해외봉사 국제교류 통역사 번역가 "
+    "매장관리 재고관리 고객상담 판매전략 영업실적 거래처 계약서 견적서 세금계산서 회계감사 재무제표 투자유치 사업계획서 창업경진대회 스타트업 액셀러레이터 특허출원 기술이전 품질관리 공정개선 "
+    "안전점검 설비보전 생산계획 물류창고 유통채널 구매담당자 인사평가 채용공고 조직문화 복리후생 워크플로 체크리스트 마일스톤 스프린트 백로그 코드리뷰 단위테스트 통합테스트 배포자동화 모니터링"
+).split()
+
+
 def seed_tables(spark: SparkSession) -> dict[str, DataFrame]:
     """The seeds as tables with their order: clusters (head, member), spellings, slang and short (surface, stands)."""
     members = [(n, head, m) for n, (head, m) in enumerate((h, m) for h, ms in CLUSTERS.items() for m in [h, *ms.split()])]
     pairs = lambda d: [(n, a, b) for n, (a, b) in enumerate(d.items())]
-    return {"clusters": spark.createDataFrame(members, "n int, head string, member string")} | {name: spark.createDataFrame(pairs(d), "n int, surface string, stands string") for name, d in (("spellings", SPELLINGS), ("slang", SLANG), ("short", SHORT))}
+    return {"clusters": spark.createDataFrame(members, "n int, head string, member string")} | {"mistyped": spark.createDataFrame(list(enumerate(OFTEN_MISTYPED)), "n int, word string")} | {name: spark.createDataFrame(pairs(d), "n int, surface string, stands string") for name, d in (("spellings", SPELLINGS), ("slang", SLANG), ("short", SHORT))}
 
 
 def _words(spark: SparkSession, words: list[str], name: str) -> DataFrame:
@@ -82,7 +97,7 @@ def candidates(spark: SparkSession, seeds: dict[str, DataFrame]) -> DataFrame:
     inflected = headed.crossJoin(endings).withColumn("form", F.concat("word", "ending"))  # seeds times 28 endings
     made = affixed.where(F.col("word").rlike("[화성]$") & inflectable(F.col("word"))).crossJoin(endings).withColumn("form", F.concat("word", "ending"))
     spoken = slang.where(inflectable(F.col("surface"))).crossJoin(endings).withColumn("form", F.concat("surface", "ending"))
-    targets = met.where("g = 0").select(F.lit(0).alias("g"), "a", "word", "canon")
+    targets = met.where("g = 0").select(F.lit(0).alias("g"), "a", "word", "canon").unionByName(seeds["mistyped"].select(F.lit(-1).alias("g"), F.col("n").alias("a"), "word", F.col("word").alias("canon")))
     for g, rows in enumerate((spelled, short), 1):
         targets = targets.unionByName(rows.select(F.lit(g).alias("g"), F.col("n").alias("a"), F.col("stands").alias("word"), F.col("base").alias("canon")))
     once = targets.withColumn("k", F.row_number().over(Window.partitionBy("word").orderBy("g", "a"))).where("k = 1").withColumn("place", F.col("g") * 100_000 + F.col("a"))

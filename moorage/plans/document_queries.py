@@ -225,3 +225,11 @@ def label_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.length(F.regexp_replace("text", "[^#*$%&|<>]", "")) * 100 > F.length("text")
     rows = labels.join(docs, "doc_id").select("quality", F.when(odd, 0).otherwise(1).alias("predicted"))
     return rows.groupBy("predicted").agg(F.count_if(F.col("quality") == 1).alias("tp"), F.count_if(F.col("quality") == 0).alias("fp"), F.round(F.count_if(F.col("quality") == 1) / F.count("*"), 6).alias("precision"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS calls, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
+def usage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming roll-up on a table."""
+    from ..streaming.streams import usage_windows as windows
+
+    return windows(table(spark, sf_dir, "events"), "ts")

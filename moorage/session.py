@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that their Python can import it wherever it runs."""
+    context = spark.sparkContext
+    if getattr(context, "_moorage_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="moorage-"), "moorage_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    whole = os.path.join(folder, name)
+                    z.write(whole, os.path.join("moorage", os.path.relpath(whole, package)))
+    context.addPyFile(path)
+    context._moorage_shipped = True
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -63,6 +82,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     where it is used, and a second use does not compute the input again.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/moorage-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
@@ -71,4 +91,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables under ``sf_dir``, by any path that Spark reads."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
