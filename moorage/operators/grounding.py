@@ -13,6 +13,9 @@ where most intervals overlap, a running sum over their ends.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,28 +47,63 @@ def verdict(score: Column, where: Column) -> Column:
     return F.when(where == "no content", "weak").when(score >= GROUNDED, "grounded").when(score >= WEAK, "weak").otherwise("ungrounded")
 
 
-def score_quotes(sources: DataFrame, quotes: DataFrame, key: str, pairs: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+def _counter(held: Broadcast, least: float):
+    """For each folded text the numbers of the quotes of which it has enough grams."""
+
+    def count(folded: pd.Series) -> pd.Series:
+        postings, n_grams = held.value
+        out = []
+        for text in folded:
+            hit = [postings[g] for g in {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)} if g in postings]
+            counts = np.bincount(np.concatenate(hit), minlength=len(n_grams)) if hit else np.zeros(len(n_grams), dtype=np.int64)
+            out.append(np.flatnonzero((counts > 0) & (counts >= least * n_grams)).tolist())
+        return pd.Series(out, dtype="object")
+
+    return F.pandas_udf(count, "array<int>")
+
+
+def _bounded_pairs(sources: DataFrame, many: DataFrame, key: str, least: float, most_grams: int) -> DataFrame:
+    """key, quote of the pairs in which the source has ``least`` of the quote's grams somewhere; ``many``: quote, n_grams, gram, times."""
+    spark = sources.sparkSession
+    few = many.limit(most_grams + 1).collect()
+    if len(few) > most_grams:
+        each = sources.select(key, F.explode(F.array_distinct(grams(F.col("folded")))).alias("gram"))
+        counted = each.join(many, "gram").groupBy(key, "quote", "n_grams").agg(F.sum("times").alias("most"))
+        return counted.where(F.col("most") >= least * F.col("n_grams")).select(key, "quote")
+    sizes = {r.quote: r.n_grams for r in few}
+    number = {q: i for i, q in enumerate(sizes)}
+    postings: dict[str, list[int]] = {}
+    for r in few:
+        postings.setdefault(r.gram, []).extend([number[r.quote]] * r.times)
+    held = spark.sparkContext.broadcast(({g: np.array(x) for g, x in postings.items()}, np.array([*sizes.values()] or [], dtype=np.int64)))
+    found = sources.select(key, F.explode(_counter(held, least)("folded")).alias("_n"))
+    names = spark.createDataFrame([(i, q) for q, i in number.items()], many.select(F.lit(0).alias("_n"), "quote").schema)
+    return found.join(F.broadcast(names), "_n").select(key, "quote")
+
+
+def score_quotes(sources: DataFrame, quotes: DataFrame, key: str, pairs: DataFrame | None = None, least: float = 0.0, most_grams: int = 2_000_000) -> DataFrame:
     """key, quote, score, where: how densely a quote's grams lie in a source.
 
     ``pairs`` (key, quote) limits what is compared to given pairs. Pairs below
     ``least`` are left out; with ``least`` 0 and no pairs, only pairs with a hit
     come out, those without score 0. ``sources``: folded_sources, ``quotes``:
-    quote_table, both cached by the caller if dear.
+    quote_table, both cached by the caller if dear. Up to ``most_grams`` grams
+    of quotes go to the workers; beyond, they are joined.
     """
     short = quotes.where((F.col("length") < GRAM) | (F.col("n_grams") < 3))
     full = quotes.where((F.col("length") >= GRAM) & (F.col("n_grams") >= 3))
     out = None
     own = full.select("quote", "n_grams", "width", F.posexplode(grams(F.col("folded_quote"))).alias("i", "gram"))
     many = own.groupBy("quote", "n_grams", "gram").agg(F.count("*").alias("times"))
-    each = sources.select(key, F.explode(F.array_distinct(grams(F.col("folded")))).alias("gram"))
+    # How many of the quote's grams the source has anywhere bounds the score.
     if pairs is not None:
+        each = sources.select(key, F.explode(F.array_distinct(grams(F.col("folded")))).alias("gram"))
         linked = each.join(pairs, key).join(many, ["quote", "gram"])
+        bound = linked.groupBy(key, "quote", "n_grams").agg(F.sum("times").alias("most")).where(F.col("most") >= least * F.col("n_grams"))
     else:
-        linked = each.join(many, "gram")
-    # How many of the quote's grams the source has anywhere bounds the score.
-    bound = linked.groupBy(key, "quote", "n_grams").agg(F.sum("times").alias("most")).where(F.col("most") >= least * F.col("n_grams"))
+        bound = _bounded_pairs(sources, many, key, least, most_grams)
     placed = sources.join(bound.select(key).distinct(), key, "left_semi").select(key, F.posexplode(grams(F.col("folded"))).alias("pos", "gram"))
-    hits = placed.join(own, "gram").join(bound.select(key, "quote"), [key, "quote"], "left_semi")
+    hits = placed.join(bound.select(key, "quote"), key).join(own, ["quote", "gram"])
     after = F.lead("pos").over(Window.partitionBy(key, "quote", "i").orderBy("pos"))
     spans = hits.select(key, "quote", "n_grams", "pos", F.least(F.col("pos") + F.col("width") + 1, after).alias("end"))
     ends = spans.select(key, "quote", "n_grams", F.explode(F.array(F.struct(F.col("pos").cast("long").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").cast("long").alias("at"), F.lit(-1).alias("step")))).alias("e"))
