@@ -17,8 +17,8 @@ still unconnected:
 * In each list every class is compared with one leader; some rounds with other
   leaders connect what belongs together at a cost of one row per member.
 * Then only pairs of different components are of interest: lists within one
-  component are dropped, short lists are paired, and long ones are compared
-  block by block, which passes on close pairs only.
+  component are dropped, short lists are paired, and the members of long ones
+  are compared block by block, which passes on one link for two components.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ CLOSE = 28
 INDEX, SHARED = 32, 11
 #: Leader rounds; lists up to SHORT are paired, longer ones are compared in blocks of BLOCK.
 ROUNDS = 2
-SHORT, BLOCK = 40, 1_000
+SHORT, BLOCK = 16, 2_000
 #: Leaders that a class is compared with in each round: those it shares most lists with.
 LEADERS = 2
 
@@ -176,54 +176,79 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = cut_lineage(hooked)
 
 
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Close pairs of different components between two blocks of a list."""
+def _bridges(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of two blocks of classes, one link for each two components that have any.
+
+    Intersections of full sets are counted by going through the shingles that
+    both blocks have; the count needs a matrix of at most BLOCK by BLOCK.
+    """
     low, high = rows["lo"].iloc[0], rows["hi"].iloc[0]
-    left, right = rows[rows["block"] == low].reset_index(drop=True), rows[rows["block"] == high].reset_index(drop=True)
-    out: list[tuple[int, int]] = []
-    if len(left) and len(right):
-        values = np.unique(np.concatenate([*left["sketch"], *right["sketch"]]))
-        def bits(part: pd.DataFrame) -> np.ndarray:
-            m = np.zeros((len(part), len(values)), dtype=np.float32)
-            for i, s in enumerate(part["sketch"]):
-                m[i, np.searchsorted(values, s)] = 1
-            return m
-        # Values that one row alone has can't be shared.
-        a, b = bits(left), bits(right)
-        used = (a.any(0)) & (b.any(0))
-        shared = a[:, used] @ b[:, used].T
-        size = np.minimum(left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :])
-        ok = shared * SKETCH >= CLOSE * np.minimum(size, SKETCH)
-        ok &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
-        for i, j in np.argwhere(ok):
-            x, y = int(left["cls"][i]), int(right["cls"][j])
-            if low != high or x < y:
-                out.append((min(x, y), max(x, y)))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    left, right = rows[rows["block"] == low], rows[rows["block"] == high]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    def postings(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = [len(x) for x in part["shingles"]]
+        values, owners = np.concatenate([*part["shingles"]]), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owners = values[order], owners[order]
+        starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        return values[starts], np.append(starts, len(values)), owners
+
+    (va, sa, oa), (vb, sb, ob) = postings(left), postings(right)
+    common = np.zeros((len(left), len(right)), dtype=np.int32)
+    _, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    for i, j in zip(ia.tolist(), ib.tolist()):
+        common[np.ix_(oa[sa[i] : sa[i + 1]], ob[sb[j] : sb[j + 1]])] += 1
+    na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+    ca, cb = left["comp"].to_numpy(), right["comp"].to_numpy()
+    ok = (100 * common.astype(np.int64) >= LIKE * (na + nb - common)) & (ca[:, None] != cb[None, :])
+    i, j = np.nonzero(ok)
+    found = pd.DataFrame({"a": left["cls"].to_numpy()[i], "b": right["cls"].to_numpy()[j], "x": np.minimum(ca[i], cb[j]), "y": np.maximum(ca[i], cb[j])})
+    return found.drop_duplicates(["x", "y"])[["a", "b"]].astype("int64")
 
 
 def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Each member of a list with the list's leader, for the leaders that a class meets most often."""
-    leader = lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("cls", "v", F.lit(turn)).alias("h"), F.col("cls").alias("leader"), F.col("comp").alias("lcomp"))).alias("m"))
+    """Each member of a list with the list's leader, for the leaders that a class meets most often.
+
+    In the first turn the leader is the member whose lists are longest taken
+    together: of a group of near-duplicates the one that has most of what all
+    have. In later turns it is a random one.
+    """
+    if turn == 0:
+        central = lists.groupBy("cls").agg(F.sum("g").alias("_c"))
+        ranked = lists.join(central, "cls").withColumn("h", -F.col("_c"))
+    else:
+        ranked = lists.withColumn("h", F.xxhash64("cls", "v", F.lit(turn)))
+    leader = ranked.groupBy("v").agg(F.min(F.struct("h", F.col("cls").alias("leader"), F.col("comp").alias("lcomp"))).alias("m"))
     met = lists.join(leader.select("v", "m.leader", "m.lcomp"), "v").where("comp <> lcomp").groupBy("cls", "leader").agg(F.count("*").alias("times"))
     top = met.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "leader")), asc=False), 1, LEADERS).alias("top"))
     each = top.select("cls", F.explode("top.leader").alias("leader"))
     return each.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
 
 
-def rest_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs of different components that share a list and may be close."""
-    size = lists.groupBy("v").agg(F.count("*").alias("g"))
-    sized = cut_lineage(lists.join(size, "v"))
-    short = sized.where(F.col("g") <= SHORT)
+def short_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs of different components in the lists of up to SHORT members."""
+    short = lists.where(F.col("g") <= SHORT)
     other = short.select("v", F.col("cls").alias("b"), F.col("comp").alias("cb"))
-    paired = short.select("v", F.col("cls").alias("a"), F.col("comp").alias("ca")).join(other, "v").where("a < b AND ca <> cb").select("a", "b").distinct()
-    long = sized.where(F.col("g") > SHORT).withColumn("blocks", F.ceil(F.col("g") / F.lit(BLOCK)).cast("int"))
-    if not long.limit(1).count():
-        return paired
-    dealt = long.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.select("v", "cls", "comp", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).join(classes.select("cls", "n", "sketch"), "cls")
-    return paired.unionByName(rows.groupBy("v", "lo", "hi").applyInPandas(_block_pairs, "a long, b long")).distinct()
+    return short.select("v", F.col("cls").alias("a"), F.col("comp").alias("ca")).join(other, "v").where("a < b AND ca <> cb").select("a", "b").distinct()
+
+
+def bridges(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components among the members of the lists over SHORT, block by block.
+
+    What is left here is what leaders could not connect although most of its
+    content is common to many; each block of it meets each other block once.
+    """
+    members = lists.where(F.col("g") > SHORT).select("cls", "comp").distinct()
+    n = members.count()
+    if not n:
+        return members.sparkSession.createDataFrame([], "a long, b long")
+    blocks = -(-n // BLOCK)
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keyed = dealt.select("cls", "comp", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+    rows = keyed.join(classes.select("cls", "n"), "cls").join(sets, "cls")
+    return rows.groupBy("lo", "hi").applyInPandas(_bridges, "a long, b long")
 
 
 def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -232,7 +257,7 @@ def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     classes = cut_lineage(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("smallest"), first))
     lists = cut_lineage(index_rows(classes))
     # Full sets of the classes that have a list in common with another one, from one text each.
-    live = lists.groupBy("v").agg(F.count("*").alias("g")).where("g > 1").select("v")
+    live = lists.groupBy("v").agg(F.count("*").alias("g")).where("g > 1")
     lists = cut_lineage(lists.join(live, "v"))
     members = cut_lineage(lists.select("cls").distinct())
     wanted = classes.join(members, "cls").select("cls", F.col("first.tx").alias("tx"))
@@ -245,8 +270,10 @@ def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
         named = lists.join(labels, "cls")
         open_lists = named.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v")
         named = cut_lineage(named.join(open_lists, "v"))
-        pairs = leader_pairs(named, turn) if turn < ROUNDS else rest_pairs(named, known)
-        new = cut_lineage(confirmed(pairs, known, sets))
+        if turn < ROUNDS:
+            new = cut_lineage(confirmed(leader_pairs(named, turn), known, sets))
+        else:
+            new = cut_lineage(confirmed(short_pairs(named), known, sets).unionByName(bridges(named, known, sets)))
         edges = new if edges is None else edges.unionByName(new)
         labels = connected(edges, members)
     named = classes.select("cls", "smallest").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
