@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import GRAM, fold, grams, normalize_number
@@ -47,38 +47,74 @@ def verdict(score: Column, where: Column) -> Column:
     return F.when(where == "no content", "weak").when(score >= GROUNDED, "grounded").when(score >= WEAK, "weak").otherwise("ungrounded")
 
 
-def _counter(held: Broadcast, least: float):
-    """For each folded text the numbers of the quotes of which it has enough grams."""
+def densest(pos: np.ndarray, i: np.ndarray, width: int) -> int:
+    """The most distinct gram numbers i whose hits at pos lie within one window: the depth of their active intervals."""
+    order = np.lexsort((pos, i))
+    p, k = pos[order], i[order]
+    ends = p + width + 1
+    same = k[1:] == k[:-1]
+    ends[:-1][same] = np.minimum(ends[:-1][same], p[1:][same])
+    starts, ends = np.sort(p), np.sort(ends)
+    return int((np.searchsorted(starts, starts, "right") - np.searchsorted(ends, starts, "right")).max())
 
-    def count(folded: pd.Series) -> pd.Series:
-        postings, n_grams = held.value
+
+def _scorer(held: Broadcast, least: float):
+    """For each folded text the numbers of the quotes that reach the score there, with their densest window.
+
+    All of the text bounds a score first, then pairs of neighbouring blocks of
+    the quote's window width: every window lies in one of those.
+    """
+
+    def score(folded: pd.Series) -> pd.Series:
+        postings, own, n_grams, widths = held.value
         out = []
         for text in folded:
-            hit = [postings[g] for g in {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)} if g in postings]
-            counts = np.bincount(np.concatenate(hit), minlength=len(n_grams)) if hit else np.zeros(len(n_grams), dtype=np.int64)
-            out.append(np.flatnonzero((counts > 0) & (counts >= least * n_grams)).tolist())
+            places: dict[str, list[int]] = {}
+            for p in range(len(text) - GRAM + 1):
+                g = text[p : p + GRAM]
+                if g in postings:
+                    places.setdefault(g, []).append(p)
+            counts = np.bincount(np.concatenate([postings[g] for g in places]), minlength=len(n_grams)) if places else np.zeros(len(n_grams), dtype=np.int64)
+            found = []
+            for q in np.flatnonzero((counts > 0) & (counts >= least * n_grams)).tolist():
+                hit = [(i, places[g]) for i, g in own[q] if g in places]
+                pos = np.concatenate([p for _, p in hit])
+                i = np.repeat(np.array([i for i, _ in hit], dtype=np.int64), [len(p) for _, p in hit])
+                block = pos // (widths[q] + 1)
+                present = np.zeros((int(n_grams[q]), int(block.max()) + 1), dtype=bool)
+                present[i, block] = True
+                present[i, np.maximum(block - 1, 0)] = True
+                if present.sum(axis=0).max() >= least * n_grams[q]:
+                    best = densest(pos, i, widths[q])
+                    if best >= least * n_grams[q]:
+                        found.append({"n": q, "best": best})
+            out.append(found)
         return pd.Series(out, dtype="object")
 
-    return F.pandas_udf(count, "array<int>")
+    return F.pandas_udf(score, "array<struct<n:int,best:int>>")
 
 
-def _bounded_pairs(sources: DataFrame, many: DataFrame, key: str, least: float, most_grams: int) -> DataFrame:
-    """key, quote of the pairs in which the source has ``least`` of the quote's grams somewhere; ``many``: quote, n_grams, gram, times."""
-    spark = sources.sparkSession
-    few = many.limit(most_grams + 1).collect()
-    if len(few) > most_grams:
-        each = sources.select(key, F.explode(F.array_distinct(grams(F.col("folded")))).alias("gram"))
-        counted = each.join(many, "gram").groupBy(key, "quote", "n_grams").agg(F.sum("times").alias("most"))
-        return counted.where(F.col("most") >= least * F.col("n_grams")).select(key, "quote")
-    sizes = {r.quote: r.n_grams for r in few}
-    number = {q: i for i, q in enumerate(sizes)}
+def _sent(spark: SparkSession, rows: list) -> tuple[Broadcast, list]:
+    """The quotes' grams, (quote, n_grams, width, i, gram), as they are sent to the workers; the quotes by number."""
+    number: dict = {}
     postings: dict[str, list[int]] = {}
-    for r in few:
-        postings.setdefault(r.gram, []).extend([number[r.quote]] * r.times)
-    held = spark.sparkContext.broadcast(({g: np.array(x) for g, x in postings.items()}, np.array([*sizes.values()] or [], dtype=np.int64)))
-    found = sources.select(key, F.explode(_counter(held, least)("folded")).alias("_n"))
-    names = spark.createDataFrame([(i, q) for q, i in number.items()], many.select(F.lit(0).alias("_n"), "quote").schema)
-    return found.join(F.broadcast(names), "_n").select(key, "quote")
+    grams_of, n_grams, widths = [], [], []
+    for r in rows:
+        if r.quote not in number:
+            number[r.quote] = len(number)
+            grams_of.append([])
+            n_grams.append(r.n_grams)
+            widths.append(r.width)
+        grams_of[number[r.quote]].append((r.i, r.gram))
+        postings.setdefault(r.gram, []).append(number[r.quote])
+    held = spark.sparkContext.broadcast(({g: np.array(x) for g, x in postings.items()}, grams_of, np.array(n_grams, dtype=np.int64), widths))
+    return held, [(i, q, n) for (q, i), n in zip(number.items(), n_grams)]
+
+
+def _scored(best: DataFrame, key: str, least: float) -> DataFrame:
+    score = F.col("best") / F.col("n_grams")
+    where = F.when(score >= GROUNDED, "local").when(score >= WEAK, "partial").otherwise("scattered")
+    return best.select(key, "quote", score.alias("score"), where.alias("where")).where(F.col("score") >= least)
 
 
 def score_quotes(sources: DataFrame, quotes: DataFrame, key: str, pairs: DataFrame | None = None, least: float = 0.0, most_grams: int = 2_000_000) -> DataFrame:
@@ -92,16 +128,18 @@ def score_quotes(sources: DataFrame, quotes: DataFrame, key: str, pairs: DataFra
     """
     short = quotes.where((F.col("length") < GRAM) | (F.col("n_grams") < 3))
     full = quotes.where((F.col("length") >= GRAM) & (F.col("n_grams") >= 3))
-    out = None
     own = full.select("quote", "n_grams", "width", F.posexplode(grams(F.col("folded_quote"))).alias("i", "gram"))
-    many = own.groupBy("quote", "n_grams", "gram").agg(F.count("*").alias("times"))
+    few = own.limit(most_grams + 1).collect() if pairs is None else []
+    if pairs is None and len(few) <= most_grams:
+        held, names = _sent(sources.sparkSession, few)
+        named = sources.sparkSession.createDataFrame(names, own.select(F.lit(0).alias("_n"), "quote", "n_grams").schema)
+        found = sources.select(key, F.explode(_scorer(held, least)("folded")).alias("_f")).select(key, F.col("_f.n").alias("_n"), F.col("_f.best").alias("best"))
+        return _scored(found.join(F.broadcast(named), "_n"), key, least)
     # How many of the quote's grams the source has anywhere bounds the score.
-    if pairs is not None:
-        each = sources.select(key, F.explode(F.array_distinct(grams(F.col("folded")))).alias("gram"))
-        linked = each.join(pairs, key).join(many, ["quote", "gram"])
-        bound = linked.groupBy(key, "quote", "n_grams").agg(F.sum("times").alias("most")).where(F.col("most") >= least * F.col("n_grams"))
-    else:
-        bound = _bounded_pairs(sources, many, key, least, most_grams)
+    many = own.groupBy("quote", "n_grams", "gram").agg(F.count("*").alias("times"))
+    each = sources.select(key, F.explode(F.array_distinct(grams(F.col("folded")))).alias("gram"))
+    linked = each.join(many, "gram") if pairs is None else each.join(pairs, key).join(many, ["quote", "gram"])
+    bound = linked.groupBy(key, "quote", "n_grams").agg(F.sum("times").alias("most")).where(F.col("most") >= least * F.col("n_grams"))
     placed = sources.join(bound.select(key).distinct(), key, "left_semi").select(key, F.posexplode(grams(F.col("folded"))).alias("pos", "gram"))
     hits = placed.join(bound.select(key, "quote"), key).join(own, ["quote", "gram"])
     after = F.lead("pos").over(Window.partitionBy(key, "quote", "i").orderBy("pos"))
@@ -110,9 +148,7 @@ def score_quotes(sources: DataFrame, quotes: DataFrame, key: str, pairs: DataFra
     steps = ends.groupBy(key, "quote", "n_grams", F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step"))
     depth = F.sum("step").over(Window.partitionBy(key, "quote").orderBy("at"))
     best = steps.withColumn("depth", depth).groupBy(key, "quote", "n_grams").agg(F.max("depth").alias("best"))
-    score = F.col("best") / F.col("n_grams")
-    where = F.when(score >= GROUNDED, "local").when(score >= WEAK, "partial").otherwise("scattered")
-    out = best.select(key, "quote", score.alias("score"), where.alias("where")).where(F.col("score") >= least)
+    out = _scored(best, key, least)
     # Quotes of one or two grams are contained or not; shorter ones have no content.
     candidates = pairs.join(short, "quote") if pairs is not None else None
     if candidates is not None:

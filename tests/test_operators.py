@@ -32,8 +32,9 @@ def test_quote_scores_are_the_densest_windows(spark):
             want = 0.0 if len(quote) < 4 else float(quote in text) if len(quote) < 6 else plain_score(text, quote)
             assert got[d, q][0] == pytest.approx(want)
     assert got[0, 90][1] == "no content"
-    least = {(r.d, r.quote): r.score for r in grounding.score_quotes(sources, table, "d", least=0.4).collect()}
-    assert least == {k: v[0] for k, v in got.items() if v[0] >= 0.4 and k[1] < 90}
+    for most in (10**6, 0):  # quotes sent to the workers, and joined
+        least = {(r.d, r.quote): r.score for r in grounding.score_quotes(sources, table, "d", least=0.4, most_grams=most).collect()}
+        assert least == {k: v[0] for k, v in got.items() if v[0] >= 0.4 and k[1] < 90}
 
 
 def test_numbers_literal_derived_unknown(spark):
