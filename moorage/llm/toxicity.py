@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The most labelled rows that are learned from: toxic ones and others.
@@ -222,6 +222,13 @@ def _scored(lexicon: list[tuple[str, float]]):
     return F.pandas_udf(hits, "double")
 
 
+def probability(model: dict, text: str = "text") -> Column:
+    """The score of a column of texts."""
+    a, b = model["curve"]
+    x = _scored(model["lexicon"])(text)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) + F.lit(b) * x)))
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 where score >= 0.3); columns of these names are replaced.
 
@@ -229,7 +236,5 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     scored one by one: repeated rows alike, null ids too; an empty table gives
     an empty result.
     """
-    a, b = model["curve"]
-    x = _scored(model["lexicon"])("text")
-    out = docs.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) + F.lit(b) * x))))
+    out = docs.withColumn("score", probability(model))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
