@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import formats
 from ..functions import normalize as N
 from ..operators import grounding, retrieval
-from ..session import table
+from ..session import spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -54,7 +54,7 @@ kept AS (SELECT * FROM tokens WHERE term <> '')"""
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT doc_id, length(f) AS folded_chars, md5(f) AS folded_md5 FROM (SELECT doc_id, {FOLD_SQL} AS f FROM documents)")

@@ -93,3 +93,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables under ``sf_dir``, by any path that Spark reads."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files are too few for that; an input of more partitions than cores is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
