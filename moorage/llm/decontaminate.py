@@ -3,15 +3,18 @@
 A seed is a fixed mask of word positions; positions outside the mask are
 ignored, so a substituted word there does no harm. The masks' hashes of all
 benchmark items are joined with those of the documents, and each hit is
-verified on its diagonal: the best stretch of aligned words, at most a quarter
-of them substituted, must hold enough equal words.
+verified over its whole diagonal: some NEED words of the item in a row, or the
+whole of a shorter item, must stand there with at most a quarter of them
+substituted, wherever the substituted ones are.
 
-The three masks together find every stretch of NEED words in which any two are
-substituted (checked for all placements in the tests).
+The masks find every such passage: those of MASKS any three substitutions in
+NEED words, those of short_masks a quarter of a shorter item (checked for all
+placements in the tests).
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -22,11 +25,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ((0, 1, 2, 5, 6, 7), (0, 1, 3, 6, 7, 8), (0, 1, 2, 3, 5, 7))
-#: Equal words that an overlap must hold; an item with fewer words must occur whole.
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 5, 7, 8, 9), (0, 1, 2, 6, 8))
+#: Words in a row that an overlap must span, or all of an item with fewer words.
 NEED = 12
-#: What a substitution costs in words: stretches with over a quarter of substitutions lose.
-COST = 3
 #: Characters of benchmark text that are broadcast at once; a larger benchmark is taken in parts, each of them against all documents.
 PART_CHARS = 8_000_000
 SHORTEST = 3
@@ -72,6 +73,16 @@ def hashes(ids: np.ndarray, mask: tuple[int, ...], factors: np.ndarray) -> np.nd
     return np.where(known, total | np.uint64(1), np.uint64(0))
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of n < NEED words: of its parts, two more than may be substituted, any two that are left equal."""
+    may = n // 4
+    if not may:
+        return [tuple(range(n))]
+    ends = [n * k // (may + 2) for k in range(may + 3)]
+    parts = [tuple(range(a, b)) for a, b in zip(ends, ends[1:])]
+    return [a + b for a, b in itertools.combinations(parts, 2)]
+
+
 def build(rows: list[tuple[int, str]]) -> Part:
     ids: dict[str, int] = {}
     item_ids, items = [], []
@@ -80,14 +91,15 @@ def build(rows: list[tuple[int, str]]) -> Part:
         if len(words) >= SHORTEST:
             item_ids.append(item_id)
             items.append(np.array([ids.setdefault(w, len(ids) + 1) for w in words], dtype=np.uint64))
-    # An item too short for the masks is sought by all its words.
-    short = sorted({len(x) for x in items if len(x) < NEED})
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
-    factors = _factors(max(map(len, masks)))
+    # Masks and, for each, the items sought by it: at every place of those of NEED words or more, at one place of a shorter one.
+    sought: dict[tuple[int, ...], list[tuple[int, int | None]]] = {m: [(i, None) for i, x in enumerate(items) if len(x) >= NEED] for m in MASKS}
+    for i, x in enumerate(items):
+        for m in short_masks(len(x)) if len(x) < NEED else ():
+            sought.setdefault(tuple(k - m[0] for k in m), []).append((i, m[0]))
+    factors = _factors(max(map(len, sought)))
     table, seeds = np.zeros(1 << _BITS, dtype=bool), []
-    for mask in masks:
-        whole = mask == tuple(range(len(mask)))
-        found = [(h, i, q) for i, x in enumerate(items) if (len(x) == len(mask) if whole else len(x) >= NEED) for q, h in enumerate(hashes(x, mask, factors).tolist())]
+    for mask, places in sought.items():
+        found = [(h, i, q) for i, only in places for q, h in enumerate(hashes(items[i], mask, factors).tolist()) if only in (None, q)]
         found.sort()
         h = np.array([f[0] for f in found], dtype=np.uint64)
         table[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
@@ -96,15 +108,20 @@ def build(rows: list[tuple[int, str]]) -> Part:
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """The stretch with the most equal words less COST for each other one: equal words, begin, end."""
-    top, best, run, begin = 0, (0, 0, 0), 0, 0
-    for i, e in enumerate(equal.tolist()):
-        run += 1 if e else -COST
-        if run <= 0:
-            run, begin = 0, i + 1
-        elif run > top:
-            top, best = run, (0, begin, i + 1)
-    return int(equal[best[1] : best[2]].sum()), best[1], best[2]
+    """The NEED words of a diagonal with the most equal ones: for how many words these suffice if a quarter may be substituted, begin, end."""
+    sums = np.concatenate(([0], np.cumsum(equal)))
+    held = sums[min(NEED, len(equal)) :] - sums[: max(1, len(sums) - NEED)]
+    at = int(held.argmax())
+    return int(held[at]) * 4 // 3, at, min(at + NEED, len(equal))
+
+
+def passage(equal: np.ndarray) -> tuple[int, int, int]:
+    """The stretch with the most equal words less 3 for each other one, with the best NEED words in it: equal words, begin, end."""
+    _, a, b = best_stretch(equal)
+    gain = np.concatenate(([0], np.cumsum(np.where(equal, 1, -3))))
+    begin, end = int(gain[: a + 1].argmin()), b + int(gain[b:].argmax())
+    inside = begin + np.flatnonzero(equal[begin:end])
+    return len(inside), int(inside[0]), int(inside[-1]) + 1
 
 
 def overlaps(text: str | None, part: Part) -> list[tuple[int, int, int, int, int]]:
@@ -127,9 +144,11 @@ def overlaps(text: str | None, part: Part) -> list[tuple[int, int, int, int, int
     for i, shift in sorted(places):
         own = part.items[i]
         first, end = max(0, shift), min(len(ids), shift + len(own))
-        equal, a, b = best_stretch(ids[first:end] == own[first - shift : end - shift])
-        if equal >= min(NEED, len(own)) and equal > best.get(i, (0,))[0]:
-            best[i] = (equal, first + a, first + b)
+        same = ids[first:end] == own[first - shift : end - shift]
+        if best_stretch(same)[0] >= min(NEED, len(own)):
+            equal, a, b = passage(same)
+            if equal > best.get(i, (0,))[0]:
+                best[i] = (equal, first + a, first + b)
     return [(part.item_ids[i], e, len(part.items[i]), a, b) for i, (e, a, b) in best.items()]
 
 
