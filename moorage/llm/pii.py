@@ -1,10 +1,11 @@
 """Op 3, personal data: patterns, then information-theoretic sanitisation.
 
-Patterns find protected entities. Terms that stand near an entity are then
-judged by what the whole corpus says of them: the pointwise mutual information
-of term and entity, over documents, against the information content of the
-entity. A term that reveals most of it is removed, one that reveals a good part
-is generalised; both are spans of kind ``term``.
+Patterns find protected entities. All terms of the documents that hold an
+entity are then judged by what the whole corpus says of them: the pointwise
+mutual information of term and entity, over documents, against the information
+content of the entity. A term that reveals most of it is removed, one that
+reveals a good part is generalised, wherever it occurs in these documents; both
+are spans of kind ``term``.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that may give it away.
-NEAR = 5
-#: Documents in which a term must stand near an entity before it is judged.
+#: Documents that must hold both term and entity before the term is judged; of an entity in fewer documents, all of them.
 JOINT = 3
+#: For an entity in fewer than JOINT documents, a term counts as if it also stood in this many documents without the entity.
+SMOOTH = 1
 #: Parts of an entity's information at which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.7, 0.9
-#: Terms whose document frequencies are looked up from a set sent to the workers; beyond, all words are counted.
-KNOWN_TERMS = 200_000
+#: Entities in JOINT documents or more whose frequencies are sent to the workers; beyond, the highest one stands for all.
+KNOWN_ENTITIES = 100_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -39,7 +40,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TERM = re.compile(r"[^\W\d_]{3,}")
-_WORD = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -89,21 +89,14 @@ def entity(text: str, kind: int, start: int, end: int) -> str:
     return f"{KINDS[kind]}:{value if kind < 2 else _NOT_DIGIT.sub('', value)}"
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms within NEAR words of an entity, outside all entities."""
+def terms_outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of every term that touches no entity, in the whole text."""
     covered = bytearray(len(text))
     for a, _, b in spans:
         covered[a:b] = b"\1" * (b - a)
-    for a, kind, b in spans:
-        name, pieces = entity(text, kind, a, b), []
-        left = max(0, a - 400)
-        pieces += [(left + m.start(), left + m.end()) for m in _WORD.finditer(text[left:a])][-NEAR:]
-        right = text[b : b + 400]
-        pieces += [(b + m.start(), b + m.end()) for _, m in zip(range(NEAR), _WORD.finditer(right))]
-        for c, d in pieces:
-            for m in _TERM.finditer(text, c, d):
-                if not any(covered[m.start() : m.end()]):
-                    yield name, m[0].lower(), m.start(), m.end()
+    for m in _TERM.finditer(text):
+        if not any(covered[m.start() : m.end()]):
+            yield m[0].lower(), m.start(), m.end()
 
 
 def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,76 +104,103 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            spans = base_spans(text)
-            near = [list(x) for x in zip(*sorted(set(near_terms(text, spans))))] if spans else []
-            rows.append((doc_id, part << 40 | n, [a for a, _, _ in spans], [k for _, k, _ in spans], [b for _, _, b in spans], *(near or ([], [], [], []))))
+            names = sorted({entity(text, k, a, b) for a, k, b in base_spans(text)})
+            rows.append((doc_id, part << 40 | n, text if names else None, names))
             n += 1
-        out = pd.DataFrame(rows, columns=["doc_id", "row", "a", "k", "b", "entities", "terms", "starts", "ends"])
-        yield out.astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=["doc_id", "row", "text", "entities"]).astype({"doc_id": "Int64"})
 
 
-FOUND = "doc_id long, row long, a array<int>, k array<int>, b array<int>, entities array<string>, terms array<string>, starts array<int>, ends array<int>"
+FOUND = "doc_id long, row long, text string, entities array<string>"
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """Entities and the terms near them, for each row of ``docs``, cut from the lineage: row numbers stay as written."""
+    """Each row's entities, and its text if it has any, cut from the lineage: row numbers stay as written."""
     return cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_find, FOUND))
 
 
-def _frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df: in how many documents each term occurs, over all documents."""
-    many = terms.limit(KNOWN_TERMS + 1).collect()
-    known = frozenset(r[0] for r in many) if len(many) <= KNOWN_TERMS else None
+def _counts(docs: DataFrame, most: dict[str, float], other: float) -> DataFrame:
+    """entity, term, n: documents with both, and with a null entity documents with the term. Summed before the shuffle.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                if text:
-                    found = set(_TERM.findall(text.lower()))
-                    held.update(found & known if known is not None else found)
-            if len(held) > 500_000:
-                yield pd.DataFrame(held.items(), columns=["term", "df"])
-                held.clear()
-        yield pd.DataFrame(held.items(), columns=["term", "df"])
+    A pair is left out where the term stands in more documents than let it
+    disclose the entity: ``most`` by entity, ``other`` for the rest.
+    """
 
-    counted = docs.select("text").mapInPandas(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    return counted if known is not None else counted.join(terms, "term", "left_semi")
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df: Counter[str] = Counter()
+        pairs: Counter[tuple[str, str]] = Counter()
 
+        def out() -> pd.DataFrame:
+            rows = [(None, t, n) for t, n in df.items()]
+            rows += [(e, t, n) for (e, t), n in pairs.items() if df[t] <= most.get(e, other)]
+            df.clear()
+            pairs.clear()
+            return pd.DataFrame(rows, columns=["entity", "term", "n"])
 
-def disclosing(docs: DataFrame, found: DataFrame, joint: int = JOINT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+        for batch in batches:
+            for text in batch["text"]:
+                if not text:
+                    continue
+                df.update({t.lower() for t in set(_TERM.findall(text))})
+                spans = base_spans(text)
+                terms = {t for t, _, _ in terms_outside(text, spans)} if spans else ()
+                for name in {entity(text, k, a, b) for a, k, b in spans}:
+                    pairs.update((name, t) for t in terms)
+                    if len(pairs) > 300_000:
+                        yield out()
+                if len(df) > 500_000:
+                    yield out()
+        yield out()
+
+    return docs.select("text").mapInPandas(count, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, joint: int = JOINT, generalise: float = GENERALISE, remove: float = REMOVE, smooth: int = SMOOTH) -> DataFrame:
     """entity, term, action of the terms that reveal an entity, from the whole corpus.
 
-    With N documents, of which e hold the entity, t the term and j both close
-    together, the information is log(N j / (e t)) of log(N / e).
+    With N documents, of which e hold the entity, t the term and j both, the
+    information is log(N j / (e t)) of log(N / e). Of an entity in fewer than
+    ``joint`` documents all must hold the term, and t is smoothed.
     """
     n = found.count()
-    pairs = found.select("row", F.explode(F.arrays_zip("entities", "terms")).alias("x")).select("row", F.col("x.entities").alias("entity"), F.col("x.terms").alias("term")).distinct()
-    often = cut_lineage(pairs.groupBy("entity", "term").agg(F.count("*").alias("j")).where(F.col("j") >= joint))
-    held = found.select("row", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("e"))
-    df = _frequencies(docs, often.select("term").distinct())
-    judged = often.join(held, "entity").join(df, "term")
-    share = F.log(F.lit(float(n)) * F.col("j") / (F.col("e") * F.greatest("df", "j"))) / F.log(F.lit(float(n)) / F.col("e"))
-    kept = judged.where((F.col("e") < n) & (share >= generalise))
+    held = cut_lineage(found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("e")))
+    often = held.where(F.col("e") >= joint)
+    known = often.limit(KNOWN_ENTITIES + 1).collect()
+    # A share of ``generalise`` needs t <= e (N / e) ** (1 - generalise), as j is e at most; this grows with e.
+    bound = lambda e: 1.001 * e * max(1.0, n / e) ** (1 - generalise)
+    if len(known) <= KNOWN_ENTITIES:
+        counts = _counts(docs, {r.entity: bound(r.e) for r in known}, bound(max(1, joint - 1)))
+    else:
+        counts = _counts(docs, {}, bound(often.agg(F.max("e")).first()[0]))
+    counts = cut_lineage(counts)
+    pairs = counts.where("entity IS NOT NULL").withColumnRenamed("n", "j").join(held, "entity").where((F.col("j") >= F.least(F.lit(joint), "e")) & (F.col("e") < n))
+    df = counts.where("entity IS NULL").select("term", F.col("n").alias("df"))
+    t = F.col("df") + F.when(F.col("e") < joint, F.lit(smooth)).otherwise(F.lit(0))
+    share = F.log(F.lit(float(n)) * F.col("j") / (F.col("e") * t)) / F.log(F.lit(float(n)) / F.col("e"))
+    kept = pairs.join(df, "term").where(share >= generalise)
     return kept.select("entity", "term", F.when(share >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
 
 
-def term_spans(found: DataFrame, reveal: DataFrame) -> DataFrame:
-    """row and its term spans (start, end, action); Spark broadcasts ``reveal`` if it is small, else both sides are dealt by pair."""
-    zipped = F.explode(F.arrays_zip("entities", "terms", "starts", "ends")).alias("x")
-    near = found.where(F.size("entities") > 0).select("row", zipped).select("row", F.col("x.entities").alias("entity"), F.col("x.terms").alias("term"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end"))
-    hit = near.join(reveal, ["entity", "term"])
-    # A span near two entities is removed if either says so: "remove" sorts last.
-    one = hit.groupBy("row", "start", "end").agg(F.max("action").alias("action"))
-    return one.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("more"))
+def term_spans(text: str, spans: list[tuple[int, int, int]], reveal: dict[tuple[str, str], str]) -> list[tuple[int, int, str]]:
+    """(start, end, action) of every occurrence of a term that reveals one of the text's entities."""
+    names, out = {entity(text, k, a, b) for a, k, b in spans}, []
+    for term, a, b in terms_outside(text, spans) if reveal else ():
+        # A term that reveals two entities is removed if either says so: "remove" sorts last.
+        action = max((reveal.get((name, term), "") for name in names), default="")
+        if action:
+            out.append((a, b, action))
+    return out
+
+
+def _pairs_of(more) -> dict[tuple[str, str], str]:
+    return {(x["entity"], r["term"]): r["action"] for x in (more if more is not None else ()) for r in x["own"]}
 
 
 def _digest(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
-    for a, k, b, more in zip(rows["a"], rows["k"], rows["b"], rows["more"]):
-        spans = [(int(x), int(y), int(z)) for x, y, z in zip(a, k, b)]
+    for text, more in zip(rows["text"], rows["more"]):
+        spans = base_spans(text)
         base = written(spans)
-        extra = [(int(x["start"]), len(KINDS), int(x["end"])) for x in ([] if more is None else more)]
+        extra = [(a, len(KINDS), b) for a, b, _ in term_spans(text, spans, _pairs_of(more))] if spans else []
         names = (*KINDS, "term")
         every = ",".join(f"{names[y]}:{x}:{z}" for x, y, z in sorted(spans + extra))
         kinds = [y for _, y, _ in spans]
@@ -195,6 +215,12 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def _revealed(held: DataFrame, key: str, reveal: DataFrame) -> DataFrame:
+    """``key`` and, as ``more``, its entities with their revealing terms; held: key, entity. An entity's terms travel as one row."""
+    own = reveal.groupBy("entity").agg(F.collect_list(F.struct("term", "action")).alias("own"))
+    return held.join(own, "entity").groupBy(key).agg(F.collect_list(F.struct("entity", "own")).alias("more"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs`` (doc_id, text).
 
@@ -203,10 +229,9 @@ def scan(docs: DataFrame) -> DataFrame:
     aren't used; an empty table gives an empty result.
     """
     found = find_entities(docs)
-    spans = term_spans(found, disclosing(docs, found))
-    both = found.select("doc_id", "row", "a", "k", "b").join(spans, "row", "left")
+    more = _revealed(found.select("row", F.explode("entities").alias("entity")), "row", disclosing(docs, found))
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return both.select("doc_id", "a", "k", "b", "more").mapInPandas(_digests, schema)
+    return found.join(more, "row", "left").select("doc_id", "text", "more").mapInPandas(_digests, schema)
 
 
 def sanitise_text(text: str | None, reveal: dict[tuple[str, str], str]) -> str | None:
@@ -215,12 +240,7 @@ def sanitise_text(text: str | None, reveal: dict[tuple[str, str], str]) -> str |
     if not spans:
         return text
     cuts, end = [(a, b, f"[{KINDS[k].upper()}]") for a, k, b in spans], -1
-    actions: dict[tuple[int, int], str] = {}
-    for name, term, a, b in near_terms(text, spans) if reveal else ():
-        action = reveal.get((name, term))
-        if action:
-            actions[a, b] = max(action, actions.get((a, b), ""))
-    cuts += [(a, b, "" if action == "remove" else "[TERM]") for (a, b), action in actions.items()]
+    cuts += [(a, b, "" if action == "remove" else "[TERM]") for a, b, action in term_spans(text, spans, reveal)]
     out, at = [], 0
     for a, b, mark in sorted(cuts):
         if a >= end:  # of overlapping entities the first says what stands there; the rest is covered by it
@@ -244,8 +264,7 @@ def sanitise(docs: DataFrame, part: int = 100_000) -> DataFrame:
         return docs.withColumn("text", clean("text"))
     entities = F.array_distinct(F.pandas_udf(_entities, "array<string>")("text"))
     key = F.xxhash64("text")
-    own = docs.select(key.alias("_key"), F.explode(entities).alias("entity")).distinct().join(reveal, "entity")
-    each = own.groupBy("_key").agg(F.collect_list(F.struct("entity", "term", "action")).alias("_reveal"))
+    each = _revealed(docs.select(key.alias("_key"), F.explode(entities).alias("entity")).distinct(), "_key", reveal).withColumnRenamed("more", "_reveal")
     return docs.withColumn("_key", key).join(each, "_key", "left").withColumn("text", F.pandas_udf(_clean_each, "string")("text", "_reveal")).drop("_key", "_reveal")
 
 
@@ -261,5 +280,4 @@ def _entities(texts: pd.Series) -> pd.Series:
 
 
 def _clean_each(texts: pd.Series, pairs: pd.Series) -> pd.Series:
-    rows = ({(r["entity"], r["term"]): r["action"] for r in (p if p is not None else [])} for p in pairs)
-    return pd.Series([sanitise_text(t, known) for t, known in zip(texts, rows)], dtype="object")
+    return pd.Series([sanitise_text(t, _pairs_of(p)) for t, p in zip(texts, pairs)], dtype="object")
