@@ -7,7 +7,8 @@ too high for chance, weighted by their log odds. A text's hits, without those
 inside exception phrases, are summed, normalised by length and mapped to a
 probability by a logistic curve.
 
-Labels are learned from a bounded sample of the training rows (``BOUND``); each
+Labels are learned from a bounded sample of the training rows (``BOUND``), whose
+classes count in the curve as often as they occur among all training rows; each
 document is then scored whole, alike at every size of the input.
 """
 
@@ -95,6 +96,12 @@ def sample(labels: DataFrame, bound: tuple[int, int]) -> DataFrame:
     return classes[0].unionByName(classes[1])
 
 
+def class_weights(labels: DataFrame, bound: tuple[int, int]) -> tuple[float, float]:
+    """For how many training rows a row of the sample stands: a toxic one, another one."""
+    toxic, other = training_rows(labels).agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
+    return toxic / max(1, min(toxic, bound[0])), other / max(1, min(other, bound[1]))
+
+
 def counted_features(rows: DataFrame) -> DataFrame:
     """feature, documents with it, toxic ones among them; rows: text, toxic. Counts are summed before the shuffle."""
 
@@ -177,14 +184,15 @@ class Matcher:
         return sum(w for _, w in found) / (1 + math.log1p(max(0, words - LENGTH) / LENGTH))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Intercept and slope by Newton's method, with a small penalty on the slope."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Intercept and slope by Newton's method, with a small penalty on the slope; a row counts ``weight`` times."""
+    penalty = ridge * weight.sum()
     a = b = 0.0
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([(y - p).sum(), ((y - p) * x).sum() - ridge * len(x) * b])
-        h = np.array([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + ridge * len(x)]])
+        w = weight * np.maximum(p * (1 - p), 1e-6)
+        g = np.array([(weight * (y - p)).sum(), (weight * (y - p) * x).sum() - penalty * b])
+        h = np.array([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + penalty]])
         step = np.linalg.solve(h, g)
         a, b = a + step[0], max(0.0, b + step[1])
         if abs(step).max() < 1e-8:
@@ -205,9 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: tuple[int, int] = BOUND) -> d
         seen = rows.select(matcher("text").alias("x"), "toxic").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
     finally:
         rows.unpersist()
-    n = np.array([r[2] for r in seen])
-    x, y = np.repeat([r[0] for r in seen], n), np.repeat([float(r[1]) for r in seen], n)
-    return {"lexicon": lexicon, "curve": logistic(x, y)}
+    x, y, n = (np.array([float(r[k]) for r in seen]) for k in range(3))
+    toxic, other = class_weights(labels, bound)
+    return {"lexicon": lexicon, "curve": logistic(x, y, n * np.where(y == 1, toxic, other))}
 
 
 def _scored(lexicon: list[tuple[str, float]]):
