@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,9 +38,12 @@ def get_spark(app: str = "moorage", cpus: int | str = "*", **conf: str) -> Spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp on a local master where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir: the executors of {master} need a folder that all of them see")
         folder = "file:///tmp/checkpoints/moorage"
     return folder.rstrip("/")
 
@@ -61,16 +65,19 @@ def ship(spark: SparkSession) -> None:
     context._moorage_shipped = True
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the session may be gone already; the folder is then left to the cluster's own clean-up
             return
 
@@ -84,9 +91,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_folder(spark)}/moorage-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._moorage_path = path
+    return out
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Deletes the files of frames made by ``cut_lineage``; all that was made of them must be written by now."""
+    for df in frames:
+        path = getattr(df, "_moorage_path", None) if df is not None else None
+        if path and _written.pop(path, None):
+            _remove(df.sparkSession, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own, by default ``names``, that no column of ``df`` has (upper and lower case alike)."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
