@@ -16,9 +16,17 @@ still unconnected:
   of other things for the most part.
 * In each list every class is compared with one leader; some rounds with other
   leaders connect what belongs together at a cost of one row per member.
-* Then only pairs of different components are of interest: lists within one
-  component are dropped, short lists are paired, and the members of long ones
-  are compared block by block, which passes on one link for two components.
+* Then only pairs of different components are of interest. Lists within one
+  component are dropped. Where all but SHORT members of a list are in one
+  component, the others meet all members.
+* What is left are lists of much that is common to many. Their members get
+  lists of the full sets, of each the rarest quarter of its shingles, with the
+  place of each: sets of similarity 0.75 share one of these, and the places and
+  sizes leave no pair that could not reach 0.75 (exact, no odds). Of a pair the
+  smaller set has at most a seventh of its shingles before the shared one; such
+  members (``core``), or those outside the list's largest component if these
+  are fewer, lead in turn, LEAD in each list at once, and are then done with.
+  Every round costs at most LEAD rows per member.
 """
 
 from __future__ import annotations
@@ -26,12 +34,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, forget, fresh, ship
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -40,11 +48,12 @@ SKETCH = 64
 #: Of 64 union values, how many must be shared: at similarity 0.75, fewer have odds of 1e-7.
 CLOSE = 28
 INDEX, SHARED = 32, 11
-#: Leader rounds; lists up to SHORT are paired, longer ones are compared in blocks of BLOCK.
-ROUNDS = 2
-SHORT, BLOCK = 16, 2_000
-#: Leaders that a class is compared with in each round: those it shares most lists with.
-LEADERS = 2
+#: Leader rounds, and the leaders that a class is compared with in each: those it shares most lists with.
+ROUNDS, LEADERS = 2, 2
+#: Members of a list outside its largest component that meet all members at once; leaders in each round of the other lists.
+SHORT, LEAD = 16, 16
+#: Words whose hashes a worker keeps for a partition, and characters of text that are taken at once (one text at least).
+KEPT_WORDS, SLICE_CHARS = 150_000, 4_000_000
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -55,7 +64,7 @@ class _WordHashes(dict):
 
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
-            if len(self) > 1_000_000:
+            if len(self) > KEPT_WORDS:
                 self.clear()
             self[word] = h
         return h
@@ -91,25 +100,36 @@ def _list_array(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64), type=pa.int64()))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, a few hundred or SLICE_CHARS of text at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            before = ends[start] - sizes[start]
+            end = min(start + 512, max(start + 1, int(np.searchsorted(ends, before + SLICE_CHARS, "right"))))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
-    for batch in batches:
-        for start in range(0, batch.num_rows, 512):  # a few long texts at a time
-            part = batch.slice(start, 512)
-            sets = [shingle_set(t.as_py(), hashes) for t in part["text"]]
-            low = [int(x.view(np.uint64).sum()) & (2**64 - 1) for x in sets]
-            high = [int(np.bitwise_xor.reduce(_mixed(x.view(np.uint64) + np.uint64(1)))) if len(x) else 0 for x in sets]
-            yield pa.RecordBatch.from_arrays([
-                part["doc_id"], part["tx"],
-                pa.array([len(x) for x in sets], type=pa.int64()),
-                pa.array(np.array(low, dtype=np.uint64).view(np.int64)),
-                pa.array(np.array(high, dtype=np.uint64).view(np.int64)),
-                _list_array([x[:SKETCH] for x in sets]),
-            ], names=["doc_id", "tx", "n", "low", "high", "sketch"])
+    for part in _slices(batches):
+        sets = [shingle_set(t.as_py(), hashes) for t in part["text"]]
+        low = [int(x.view(np.uint64).sum()) & (2**64 - 1) for x in sets]
+        high = [int(np.bitwise_xor.reduce(_mixed(x.view(np.uint64) + np.uint64(1)))) if len(x) else 0 for x in sets]
+        yield pa.RecordBatch.from_arrays([
+            part["doc_id"], part["tx"],
+            pa.array([len(x) for x in sets], type=pa.int64()),
+            pa.array(np.array(low, dtype=np.uint64).view(np.int64)),
+            pa.array(np.array(high, dtype=np.uint64).view(np.int64)),
+            _list_array([x[:SKETCH] for x in sets]),
+        ], names=["doc_id", "tx", "n", "low", "high", "sketch"])
 
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
     """doc_id, tx (hash of the text), n (size of the set), cls (hash of the set, null for an empty one) and sketch, for each row."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tx"), "text")
     made = rows.mapInArrow(_sketches, "doc_id long, tx long, n long, low long, high long, sketch array<long>")
     return made.select("doc_id", "tx", "n", F.when(F.col("n") > 0, F.xxhash64("low", "high", "n")).alias("cls"), "sketch")
@@ -117,16 +137,19 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
-    for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
-            yield pa.RecordBatch.from_arrays([part["cls"], _list_array([shingle_set(t.as_py(), hashes) for t in part["text"]])], names=["cls", "shingles"])
+    for part in _slices(batches):
+        first: dict[int, int] = {}
+        for i, c in enumerate(part["cls"].to_pylist()):
+            first.setdefault(c, i)
+        own = part.take(pa.array(list(first.values()), type=pa.int64()))
+        yield pa.RecordBatch.from_arrays([own["cls"], _list_array([shingle_set(t.as_py(), hashes) for t in own["text"]])], names=["cls", "shingles"])
 
 
 def index_rows(classes: DataFrame) -> DataFrame:
     """v, cls: the inverted lists, of each class its rarest index values that others have too."""
     values = classes.select("cls", F.least("n", F.lit(INDEX)).alias("size"), F.explode(F.slice("sketch", 1, INDEX)).alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("often")).where("often > 1")
+    # Written, so that the join below has two exchanges and adaptive execution can split a hot value.
+    shared = cut_lineage(values.groupBy("v").agg(F.count("*").alias("often")).where("often > 1"))
     own = values.join(shared, "v").groupBy("cls", "size").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("own"))
     needed = F.ceil(F.col("size") * F.lit(SHARED / INDEX)).cast("int")
     places = F.col("size").cast("int") - needed + 1 - (F.col("size").cast("int") - F.size("own"))
@@ -153,18 +176,18 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
     return common.where(100 * F.col("common") >= LIKE * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """cls, comp: each node's component, named by its smallest node.
+def connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """cls, comp: the components after more edges, each named by its smallest label so far.
 
     Every round hooks a label below the smallest label next to it and shortens
-    the chains, until no link joins two labels; rounds grow with the logarithm
-    of a component's size. ``edges`` (a, b) should be cut from its lineage.
+    the chains, until no edge joins two labels; rounds grow with the logarithm
+    of a component's size. ``edges`` (a, b) and ``labels`` are cut from their lineage.
     """
-    labels = cut_lineage(nodes.select("cls", F.col("cls").alias("comp")))
     while True:
         ends = edges.join(labels.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
         cross = cut_lineage(ends.where("ca <> cb").select("ca", "cb").distinct())
-        if not cross.limit(1).count():
+        if cross.isEmpty():
+            forget(cross)
             return labels
         both = cross.select(F.greatest("ca", "cb").alias("comp"), F.least("ca", "cb").alias("to"))
         hooks = both.groupBy("comp").agg(F.min("to").alias("to"))
@@ -173,39 +196,8 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         for _ in range(3):
             step = hooks.select(F.col("comp").alias("at"), F.col("to").alias("down"))
             hooked = hooked.join(step, F.col("comp") == F.col("at"), "left").select("cls", F.coalesce("down", "comp").alias("comp"))
-        labels = cut_lineage(hooked)
-
-
-def _bridges(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of two blocks of classes, one link for each two components that have any.
-
-    Intersections of full sets are counted by going through the shingles that
-    both blocks have; the count needs a matrix of at most BLOCK by BLOCK.
-    """
-    low, high = rows["lo"].iloc[0], rows["hi"].iloc[0]
-    left, right = rows[rows["block"] == low], rows[rows["block"] == high]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    def postings(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = [len(x) for x in part["shingles"]]
-        values, owners = np.concatenate([*part["shingles"]]), np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(values, kind="stable")
-        values, owners = values[order], owners[order]
-        starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        return values[starts], np.append(starts, len(values)), owners
-
-    (va, sa, oa), (vb, sb, ob) = postings(left), postings(right)
-    common = np.zeros((len(left), len(right)), dtype=np.int32)
-    _, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-    for i, j in zip(ia.tolist(), ib.tolist()):
-        common[np.ix_(oa[sa[i] : sa[i + 1]], ob[sb[j] : sb[j + 1]])] += 1
-    na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    ca, cb = left["comp"].to_numpy(), right["comp"].to_numpy()
-    ok = (100 * common.astype(np.int64) >= LIKE * (na + nb - common)) & (ca[:, None] != cb[None, :])
-    i, j = np.nonzero(ok)
-    found = pd.DataFrame({"a": left["cls"].to_numpy()[i], "b": right["cls"].to_numpy()[j], "x": np.minimum(ca[i], cb[j]), "y": np.maximum(ca[i], cb[j])})
-    return found.drop_duplicates(["x", "y"])[["a", "b"]].astype("int64")
+        before, labels = labels, cut_lineage(hooked)
+        forget(before, cross)
 
 
 def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
@@ -227,67 +219,119 @@ def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
     return each.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
 
 
-def short_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of different components in the lists of up to SHORT members."""
-    short = lists.where(F.col("g") <= SHORT)
-    other = short.select("v", F.col("cls").alias("b"), F.col("comp").alias("cb"))
-    return short.select("v", F.col("cls").alias("a"), F.col("comp").alias("ca")).join(other, "v").where("a < b AND ca <> cb").select("a", "b").distinct()
+def largest(named: DataFrame) -> DataFrame:
+    """v, main (the list's largest component), outside (members in others); named: v, comp and more. Counts are summed before the shuffle."""
+    each = named.groupBy("v", "comp").agg(F.count("*").alias("held"))
+    return each.groupBy("v").agg(F.max(F.struct("held", "comp")).alias("top"), F.sum("held").alias("all")).select("v", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.held")).alias("outside"))
 
 
-def bridges(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between different components among the members of the lists over SHORT, block by block.
+def outsider_pairs(named: DataFrame) -> DataFrame:
+    """Pairs of different components in lists with at most SHORT members outside the largest component (named: v, cls, comp, main, outside)."""
+    few = named.where(F.col("outside") <= SHORT)
+    out = few.where("comp <> main").select("v", F.col("cls").alias("b"), F.col("comp").alias("cb"))
+    met = few.select("v", F.col("cls").alias("a"), F.col("comp").alias("ca")).join(out, "v").where("ca <> cb")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    What is left here is what leaders could not connect although most of its
-    content is common to many; each block of it meets each other block once.
+
+def full_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """v, cls, n, p: of each set the rarest quarter of its shingles that other members have too, p being the place from the rarest.
+
+    Shingles that no other member has are the rarest, so they use up places.
+    Two sets share no shingle before the first shared one: they share at most
+    n - p of either.
     """
-    members = lists.where(F.col("g") > SHORT).select("cls", "comp").distinct()
-    n = members.count()
-    if not n:
-        return members.sparkSession.createDataFrame([], "a long, b long")
-    blocks = -(-n // BLOCK)
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keyed = dealt.select("cls", "comp", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
-    rows = keyed.join(classes.select("cls", "n"), "cls").join(sets, "cls")
-    return rows.groupBy("lo", "hi").applyInPandas(_bridges, "a long, b long")
+    held = members.join(sets, "cls").select("cls", "n", F.explode("shingles").alias("v"))
+    shared = cut_lineage(held.groupBy("v").agg(F.count("*").alias("often")).where("often > 1"))
+    own = held.join(shared, "v").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("own"))
+    alone = (F.col("n") - F.size("own")).cast("int")
+    places = F.floor(F.col("n") * F.lit(100 - LIKE) / F.lit(100)).cast("int") + 1
+    each = own.select("cls", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), F.greatest(places - alone, F.lit(0)))).alias("at", "x"))
+    out = cut_lineage(each.select(F.col("x.v").alias("v"), "cls", "n", (F.col("alone") + F.col("at")).cast("long").alias("p")))
+    forget(shared)
+    return out
+
+
+def full_links(members: DataFrame, labels: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """Labels after all links between ``members`` (cls, n), whatever they share."""
+    lists, nth = full_lists(members, sets), 0
+    core = 7 * F.col("p") <= F.col("n")
+    while True:
+        named = lists.join(labels, "cls")
+        cores = named.groupBy("v").agg(F.count_if(core).alias("cores")).where("cores > 0")
+        still = cut_lineage(largest(named).where("outside > 0").join(cores, "v"))
+        if still.isEmpty():
+            forget(lists, still)
+            return labels
+        left = cut_lineage(named.join(still, "v"))
+        leads = F.when(F.col("cores") <= F.col("outside"), core).otherwise(F.col("comp") != F.col("main"))
+        each = left.where(leads).groupBy("v", F.pmod(F.xxhash64("cls", F.lit(nth)), F.lit(LEAD)).alias("turn")).agg(F.min(F.struct("cls", "comp", "n", "p")).alias("x"))
+        leaders = cut_lineage(each.select("v", F.col("x.cls").alias("b"), F.col("x.comp").alias("cb"), F.col("x.n").alias("nb"), F.col("x.p").alias("pb")))
+        # 100 * both >= 75 * (n + nb - both), where both is at most what follows the place in either set.
+        reach = 3 * (F.col("n") + F.col("nb")) <= 7 * F.least(F.col("n") - F.col("p"), F.col("nb") - F.col("pb"))
+        met = left.join(leaders, "v").where(reach & (F.col("comp") != F.col("cb")))
+        new = cut_lineage(confirmed(met.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct(), known, sets))
+        before, lists = lists, cut_lineage(left.select("v", "cls", "n", "p").join(leaders.select("v", F.col("b").alias("cls")), ["v", "cls"], "left_anti"))
+        labels = connected(new, labels)
+        forget(before, still, left, leaders, new)
+        nth += 1
 
 
 def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """cls, component_id for every class of equal sets; ``rows``: sketch_rows of ``docs``, cut from the lineage."""
-    first = F.min(F.struct("tx", F.col("doc_id"))).alias("first")
+    """cls, comp, component_id for every class of equal sets, cut from the lineage; ``rows``: sketch_rows of ``docs``, cut likewise.
+
+    comp names the component and is never null; component_id is its smallest doc_id, null where all are.
+    """
+    first = F.min(F.struct("tx", "doc_id")).alias("first")
     classes = cut_lineage(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("smallest"), first))
-    lists = cut_lineage(index_rows(classes))
-    # Full sets of the classes that have a list in common with another one, from one text each.
-    live = lists.groupBy("v").agg(F.count("*").alias("g")).where("g > 1")
-    lists = cut_lineage(lists.join(live, "v"))
-    members = cut_lineage(lists.select("cls").distinct())
-    wanted = classes.join(members, "cls").select("cls", F.col("first.tx").alias("tx"))
-    texts = docs.select(F.xxhash64("text").alias("tx"), F.col("text")).join(wanted, "tx").select("cls", "text")
+    every = cut_lineage(index_rows(classes))
+    live = cut_lineage(every.groupBy("v").agg(F.count("*").alias("g")).where("g > 1"))
+    lists = cut_lineage(every.join(live, "v"))
+    members = lists.select("cls").distinct()
+    known = cut_lineage(classes.join(members, "cls").select("cls", "n", "sketch", "first"))
+    # Full sets of the classes that have a list in common with another one, from one text each: only rows with that text's id come along.
+    wanted = known.select("cls", F.col("first.tx").alias("tx"), F.col("first.doc_id").alias("of"))
+    texts = docs.select(F.xxhash64("text").alias("tx"), F.col("doc_id").cast("long").alias("id"), "text")
+    texts = texts.join(wanted, (texts["tx"] == wanted["tx"]) & texts["id"].eqNullSafe(wanted["of"])).select("cls", "text")
     sets = cut_lineage(texts.mapInArrow(_sets, "cls long, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles")))
-    known = classes.join(members, "cls").select("cls", "n", "sketch")
-    known = cut_lineage(known)
-    labels, edges = members.select("cls", F.col("cls").alias("comp")), None
-    for turn in range(ROUNDS + 1):
-        named = lists.join(labels, "cls")
-        open_lists = named.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v")
-        named = cut_lineage(named.join(open_lists, "v"))
-        if turn < ROUNDS:
-            new = cut_lineage(confirmed(leader_pairs(named, turn), known, sets))
-        else:
-            new = cut_lineage(confirmed(short_pairs(named), known, sets).unionByName(bridges(named, known, sets)))
-        edges = new if edges is None else edges.unionByName(new)
-        labels = connected(edges, members)
-    named = classes.select("cls", "smallest").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    ids = named.groupBy("comp").agg(F.min("smallest").alias("component_id"))
-    return named.join(ids, "comp").select("cls", "component_id")
+    forget(every, live)
+    labels = cut_lineage(known.select("cls", F.col("cls").alias("comp")))
+    for turn in range(ROUNDS):
+        named = open_lists(lists, labels)
+        new = cut_lineage(confirmed(leader_pairs(named, turn), known, sets))
+        labels = connected(new, labels)
+        forget(named, new)
+    named = open_lists(lists, labels)
+    forget(lists)
+    placed = cut_lineage(named.join(cut_lineage(largest(named)), "v"))
+    new = cut_lineage(confirmed(outsider_pairs(placed), known, sets))
+    labels = connected(new, labels)
+    hot = placed.where(F.col("outside") > SHORT).select("cls").distinct()
+    if not hot.isEmpty():
+        labels = full_links(known.join(hot, "cls").select("cls", "n"), labels, known, sets)
+    named_classes = classes.select("cls", "smallest").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    ids = named_classes.groupBy("comp").agg(F.min("smallest").alias("component_id"))
+    out = cut_lineage(named_classes.join(ids, "comp").select("cls", "comp", "component_id"))
+    forget(classes, known, sets, labels, named, placed, new)
+    return out
+
+
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists (v, cls, g, comp) that hold more than one component."""
+    named = lists.join(labels, "cls")
+    still = cut_lineage(named.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v"))
+    out = cut_lineage(named.join(still, "v"))
+    forget(still)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns aren't used).
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns may have any name and aren't used).
 
     Null and blank texts have empty sets, link with nothing and are kept under
-    their own id. Repeated rows and equal texts are one component. Where all ids
-    of a component are null its id is null, and its rows count as kept. An empty
-    table gives an empty result.
+    their own id. Repeated rows and equal texts are one component; ties have no
+    bearing on the result. Where all ids of a component are null its id is null,
+    and its rows count as kept. Texts of any length count whole. An empty table
+    gives an empty result.
     """
     rows = cut_lineage(sketch_rows(docs))
     named = rows.select("doc_id", "n", "cls").join(components(docs, rows), "cls", "left")
@@ -296,19 +340,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, that of the smallest id; all columns stay.
+    """``docs`` with one row of each group of near-duplicates, that of the smallest id; all columns stay, whatever their names.
 
-    Rows with an empty set all stay. Of rows that share the smallest id one
-    stays.
+    Rows with an empty set (null or blank text) all stay. Of a group's rows that
+    share the smallest id the one with the smallest text hash stays, one of
+    these if that text is repeated; where all ids are null any id will do. Texts
+    of any length count whole. An empty table gives an empty result.
     """
     rows = cut_lineage(sketch_rows(docs))
     named = rows.where("cls IS NOT NULL").select("doc_id", "tx", "cls").join(components(docs, rows), "cls")
-    # The one text that stays: of the rows with the smallest id of the component (any id where all are null), the smallest hash.
-    best = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("cls")).alias("own")).agg(F.min("tx").alias("tx"))
-    stay = best.select(F.col("component_id").alias("_id"), F.col("tx").alias("_tx"))
-    keyed = docs.withColumn("_tx", F.xxhash64("text"))
+    least = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("comp", "component_id").agg(F.min("tx").alias("tx"))
+    # Two groups may want the same row only if id and text are equal, and then they are one group. Rows with this id and text are counted.
+    kid, ktx, again, tx, hit = fresh(docs, "kept_id", "kept_tx", "again", "text_hash", "hit")
+    copies = rows.where("cls IS NOT NULL").groupBy("doc_id", "tx").agg((F.count("*") > 1).alias(again)).where(again)
+    stay = least.select(F.col("component_id").alias(kid), F.col("tx").alias(ktx))
+    stay = cut_lineage(stay.join(copies, stay[kid].eqNullSafe(copies["doc_id"]) & (stay[ktx] == copies["tx"]), "left").select(kid, ktx, F.coalesce(again, F.lit(False)).alias(again)))
+    keyed = docs.withColumn(tx, F.xxhash64("text"))
     empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-    full = keyed.where(~empty)
-    held = full.join(stay, full["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (full["_tx"] == stay["_tx"]), "left_semi")
-    one = held.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_tx").orderBy("_tx"))).where("_nth = 1").select(docs.columns)
-    return one.unionByName(keyed.where(empty).select(docs.columns))
+    held = keyed.where(~empty).join(stay, keyed["doc_id"].cast("long").eqNullSafe(stay[kid]) & (keyed[tx] == stay[ktx]))
+    out = held.where(~F.col(again)).select(docs.columns).unionByName(keyed.where(empty).select(docs.columns))
+    if not stay.where(again).isEmpty():
+        # Of repeated rows one each, taken before the shuffle and once more after it.
+        one = held.where(again).groupBy(kid, ktx).agg(F.first(F.struct(*docs.columns)).alias(hit))
+        out = out.unionByName(one.select(f"{hit}.*"))
+    forget(rows)
+    return out
