@@ -25,12 +25,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 5, 7, 8, 9), (0, 1, 2, 6, 8))
 #: Words in a row that an overlap must span, or all of an item with fewer words.
 NEED = 12
 #: Characters of benchmark text that are broadcast at once; a larger benchmark is taken in parts, each of them against all documents.
 PART_CHARS = 8_000_000
-SHORTEST = 3
 _WORDS = re.compile(r"[^\W_]+")
 _BITS = 20
 
@@ -88,7 +89,7 @@ def build(rows: list[tuple[int, str]]) -> Part:
     item_ids, items = [], []
     for item_id, text in rows:
         words = words_of(text)
-        if len(words) >= SHORTEST:
+        if words:
             item_ids.append(item_id)
             items.append(np.array([ids.setdefault(w, len(ids) + 1) for w in words], dtype=np.uint64))
     # Masks and, for each, the items sought by it: at every place of those of NEED words or more, at one place of a shorter one.
@@ -127,7 +128,7 @@ def passage(equal: np.ndarray) -> tuple[int, int, int]:
 def overlaps(text: str | None, part: Part) -> list[tuple[int, int, int, int, int]]:
     """(item, equal words, words of the item, first word, end) of each item that the text overlaps, at its best place."""
     words = words_of(text)
-    if len(words) < SHORTEST or not part.items:
+    if not words or not part.items:
         return []
     ids = np.fromiter((part.ids.get(w, 0) for w in words), dtype=np.uint64, count=len(words))
     factors, places = _factors(max(len(s[0]) for s in part.seeds)), set()
@@ -180,10 +181,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, part_chars: int = PART_
     """One row for each document and item that overlap, at the best place.
 
     Uses doc_id and text, item_id and text; other columns may have any name.
-    Null or empty texts on either side overlap nothing, as do items of fewer
-    than three words; repeated documents give a row each, repeated items one in
-    all; null ids stay null. A text of any length is searched whole.
+    Null or empty texts on either side overlap nothing; an item of any number
+    of words is sought, one of up to three as it stands; repeated documents give
+    a row each, repeated items one in all; null ids stay null; of equally good
+    places of an item the first counts. A text of any length is searched whole.
+    An empty table on either side gives an empty result.
     """
+    ship(docs.sparkSession)
     spark, out = docs.sparkSession, None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for part in benchmark_parts(benchmark, part_chars):
@@ -201,7 +205,12 @@ def _tester(held: Broadcast):
 
 
 def drop_overlapping(docs: DataFrame, benchmark: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
-    """``docs`` without the documents that overlap an item; all columns stay."""
+    """``docs`` without the documents that overlap an item (see find_overlaps); all columns stay, whatever their names.
+
+    Null and empty texts stay, as do all rows if the benchmark is empty;
+    repeated rows stay or go alike.
+    """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     for part in benchmark_parts(benchmark, part_chars):
         docs = docs.where(F.pandas_udf(_tester(spark.sparkContext.broadcast(build(part))), "boolean")("text"))

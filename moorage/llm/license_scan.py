@@ -1,9 +1,16 @@
 """Op 2, license scans: Dice coefficient over word bigrams against templates.
 
-Texts are cut into lines and sentences, and each piece is normalised to lower
-case letters and digits. Pieces whose number of distinct bigrams rules out the
-threshold never meet a template: the sizes a template admits are written out as
-rows, so the size bound is an equi-join against a table of fixed size.
+A text's pieces are its paragraphs (lines joined), the sentences of these, and
+its lines, so that a header is found in one line, wrapped over several, or
+inside a longer paragraph. Pieces are normalised to words of lower-case letters
+and digits; equal pieces of a text count once. The number of a piece's distinct
+bigrams prunes the templates: the sizes that a template admits are written out
+as rows, so the size bound is an equi-join against a table of fixed size.
+
+Before texts are cut, those that cannot hold any piece are passed over: a piece
+that reaches the threshold has a known part of its template's bigrams, so the
+text contains at least one of a few words or word pairs that every such part
+must touch (``anchors``). This changes no result.
 
 Only DataFrame expressions.
 """
@@ -17,43 +24,128 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.75
-#: Sentences by which licences are declared.
+#: Sentences by which licences are declared, and the paragraphs of their headers and texts.
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Released under the Apache 2.0 license.",
+        "You may not use this file except in compliance with the License.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under the GNU General Public License, version 3 or later.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "GPL-2.0": [
+        "Licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "GPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License.", "Released under the Apache 2.0 license."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3 or later.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."],
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
+    "BSD-3-Clause": [
+        "Released under the BSD 3-Clause License.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work."],
     "proprietary": ["All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher."],
 }
+#: Lines without a letter or digit part paragraphs; sentences end before white space.
+PARAGRAPH, SENTENCE = r"\n(?:[^A-Za-z0-9\n]*\n)+", r"[.!?]+[ \t\r\n]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Letters that a single word needs to be an anchor; shorter ones are in too many texts.
+LONG_WORD = 7
 
 
 def bigrams(sentence: str) -> list[str]:
     """A sentence's distinct word bigrams, in order; a single word stands for itself."""
-    words = re.findall(r"[a-z0-9]+", sentence.lower())
+    words = re.findall(r"[a-z0-9]+", sentence.translate(str.maketrans(UPPER, LOWER)))
     pairs = [f"{a} {b}" for a, b in zip(words, words[1:])] or words
     return list(dict.fromkeys(pairs))
 
 
-def template_rows(templates: dict[str, list[str]], threshold: float) -> list[tuple[str, int, list[str], int]]:
-    """(license, template's bigrams, their number, admitted size): 2 min / (a + b) >= threshold bounds the sizes."""
-    rows = []
+def least_common(own: int, threshold: float) -> int:
+    """The fewest of a template's bigrams that a piece must have: 2 c / (own + size) >= threshold, where size >= c."""
+    return max(1, math.ceil(own * threshold / (2 - threshold) - 1e-9))
+
+
+def template_rows(templates: dict[str, list[str]], threshold: float) -> list[tuple[int, list[tuple[str, list[str], int]]]]:
+    """(size, templates that admit it as (license, bigrams, their number)): 2 min / (a + b) >= threshold bounds the sizes."""
+    rows: dict[int, list] = {}
     for name, sentences in templates.items():
         for sentence in sentences:
             own = bigrams(sentence)
-            low, high = math.ceil(len(own) * threshold / (2 - threshold) - 1e-9), math.floor(len(own) * (2 - threshold) / threshold + 1e-9)
-            rows += [(name, own, len(own), size) for size in range(low, high + 1)]
-    return rows
+            for size in range(least_common(len(own), threshold), math.floor(len(own) * (2 - threshold) / threshold + 1e-9) + 1):
+                rows.setdefault(size, []).append((name, own, len(own)))
+    return sorted(rows.items())
+
+
+def anchors(templates: dict[str, list[str]], threshold: float) -> list[str]:
+    """Long words and word pairs of which any piece that reaches the threshold has at least one.
+
+    A piece lacks at most own - least_common bigrams of its template, so it is
+    enough if more than those hold an anchor. Greedily, those that help most
+    templates most; pairs of short words come last.
+    """
+    need = []
+    for sentences in templates.values():
+        for sentence in sentences:
+            own = bigrams(sentence)
+            need.append([set(own), len(own) - least_common(len(own), threshold) + 1])
+    chosen: list[str] = []
+    while any(left > 0 for _, left in need):
+        gains: dict[str, int] = {}
+        for own, left in need:
+            if left > 0:
+                each: dict[str, int] = {}
+                for pair in own:
+                    for anchor in {pair, *(w for w in pair.split() if len(w) >= LONG_WORD)}:
+                        each[anchor] = each.get(anchor, 0) + 1
+                for anchor, n in each.items():
+                    gains[anchor] = gains.get(anchor, 0) + min(n, left)
+        best = max(gains, key=lambda a: (any(len(w) >= LONG_WORD for w in a.split()), gains[a], len(a), a))
+        chosen.append(best)
+        for x in need:
+            hit = {p for p in x[0] if p == best or best in p.split()}
+            x[0], x[1] = x[0] - hit, x[1] - len(hit)
+    return chosen
+
+
+def _plain(text: Column) -> Column:
+    """Words of lower-case letters and digits, with a blank on either side of each."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "), F.lit(" "))
 
 
 def _pairs(words: Column) -> Column:
@@ -62,23 +154,35 @@ def _pairs(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > 1, both).otherwise(words))
 
 
+def _any(column: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | column.contains(f" {w} ")
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The licences found in whole texts: doc_id, license, dice (of its best piece), n_pieces.
 
-    ``docs`` has doc_id and text; other columns aren't used. Null or empty texts
-    find nothing. Rows of one doc_id are taken together; a null id is an id like
-    any other. A piece counts for each licence whose template reaches the
-    threshold.
+    ``docs`` has doc_id and text; other columns may have any name and aren't
+    used. Null or empty texts find nothing; texts and pieces of any length are
+    compared whole; an empty table gives an empty result. Rows of one doc_id
+    are taken together, repeated rows counting each; a null id is an id like any
+    other. A piece counts for the licence whose template it is most like, for
+    each of them in a tie. The work is linear in the text.
     """
-    rows = template_rows(templates, threshold)
-    most = max((len(" ".join(r[1])) for r in rows), default=0) * 4
     # At most as many rows as the templates' sizes admit, whatever the input.
-    known = F.broadcast(docs.sparkSession.createDataFrame(rows, "license string, own array<string>, n_own int, size int"))
-    pieces = docs.select("doc_id", F.explode(F.split("text", r"\n|(?<=[.!?])[ \t\r]+")).alias("piece"))
-    short = pieces.where(F.length("piece").between(3, most))
-    words = short.select("doc_id", F.filter(F.split(F.lower("piece"), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
-    within = words.where(F.size("words").between(1, max((r[3] for r in rows), default=0) * 2 + 1))
-    sized = within.select("doc_id", _pairs(F.col("words")).alias("pairs")).withColumn("size", F.size("pairs"))
-    scored = sized.join(known, "size").withColumn("dice", 2.0 * F.size(F.array_intersect("pairs", "own")) / (F.col("size") + F.col("n_own")))
-    best = scored.where(F.col("dice") >= threshold)
-    return best.groupBy("doc_id", "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count("*").alias("n_pieces"))
+    sizes = F.broadcast(docs.sparkSession.createDataFrame(template_rows(templates, threshold), "size int, known array<struct<license:string,own:array<string>,n_own:int>>"))
+    marks = anchors(templates, threshold)
+    likely = docs.select("doc_id", "text").where(_any(_plain(F.col("text")), marks))
+    paragraphs = F.split("text", PARAGRAPH)
+    cut = F.concat(F.split("text", "\n"), paragraphs, F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE))))
+    plain = F.array_distinct(F.transform(cut, lambda p: F.trim(_plain(p))))
+    pieces = likely.select("doc_id", F.explode(plain).alias("piece")).where(F.col("piece") != "").where(_any(F.concat(F.lit(" "), "piece", F.lit(" ")), marks))
+    sized = pieces.select("doc_id", _pairs(F.split("piece", " ")).alias("pairs")).withColumn("size", F.size("pairs"))
+    dice = lambda k: 2.0 * F.size(F.array_intersect(F.col("pairs"), k["own"])) / (F.col("size") + k["n_own"])
+    scored = sized.join(sizes, "size").select("doc_id", F.transform("known", lambda k: F.struct(dice(k).alias("dice"), k["license"].alias("license"))).alias("scored"))
+    best = scored.withColumn("best", F.array_max("scored")["dice"]).where(F.col("best") >= threshold)
+    told = F.array_distinct(F.transform(F.filter("scored", lambda s: s["dice"] == F.col("best")), lambda s: s["license"]))
+    each = best.select("doc_id", "best", F.explode(told).alias("license"))
+    return each.groupBy("doc_id", "license").agg(F.round(F.max("best"), 6).alias("dice"), F.count("*").alias("n_pieces"))

@@ -21,12 +21,14 @@ still unconnected:
   component, the others meet all members.
 * What is left are lists of much that is common to many. Their members get
   lists of the full sets, of each the rarest quarter of its shingles, with the
-  place of each: sets of similarity 0.75 share one of these, and the places and
-  sizes leave no pair that could not reach 0.75 (exact, no odds). Of a pair the
-  smaller set has at most a seventh of its shingles before the shared one; such
-  members (``core``), or those outside the list's largest component if these
-  are fewer, lead in turn, LEAD in each list at once, and are then done with.
-  Every round costs at most LEAD rows per member.
+  place of each: sets of similarity 0.75 share one of these (exact, no odds),
+  and of such a pair the smaller set has at most a seventh of its shingles
+  before the shared one (it is a ``core`` there). Lists of one component, or
+  without a core, go. The members of the others that hang together form zones;
+  those outside a zone's largest component are compared with all of the zone on
+  full sets, block by block of like size, and pass on one link for two
+  components. Each member of the largest component is read once for each block
+  of the others, so rows grow with the others in it, not with the zone.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -50,8 +53,10 @@ CLOSE = 28
 INDEX, SHARED = 32, 11
 #: Leader rounds, and the leaders that a class is compared with in each: those it shares most lists with.
 ROUNDS, LEADERS = 2, 2
-#: Members of a list outside its largest component that meet all members at once; leaders in each round of the other lists.
-SHORT, LEAD = 16, 16
+#: Members of a list outside its largest component that meet all members at once.
+SHORT = 16
+#: Members of a block, and the shingles of their sets; a larger set is a block of its own.
+BLOCK, BLOCK_SHINGLES = 2_000, 1_000_000
 #: Words whose hashes a worker keeps for a partition, and characters of text that are taken at once (one text at least).
 KEPT_WORDS, SLICE_CHARS = 150_000, 4_000_000
 
@@ -251,29 +256,84 @@ def full_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def full_links(members: DataFrame, labels: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
-    """Labels after all links between ``members`` (cls, n), whatever they share."""
-    lists, nth = full_lists(members, sets), 0
-    core = 7 * F.col("p") <= F.col("n")
-    while True:
-        named = lists.join(labels, "cls")
-        cores = named.groupBy("v").agg(F.count_if(core).alias("cores")).where("cores > 0")
-        still = cut_lineage(largest(named).where("outside > 0").join(cores, "v"))
-        if still.isEmpty():
-            forget(lists, still)
-            return labels
-        left = cut_lineage(named.join(still, "v"))
-        leads = F.when(F.col("cores") <= F.col("outside"), core).otherwise(F.col("comp") != F.col("main"))
-        each = left.where(leads).groupBy("v", F.pmod(F.xxhash64("cls", F.lit(nth)), F.lit(LEAD)).alias("turn")).agg(F.min(F.struct("cls", "comp", "n", "p")).alias("x"))
-        leaders = cut_lineage(each.select("v", F.col("x.cls").alias("b"), F.col("x.comp").alias("cb"), F.col("x.n").alias("nb"), F.col("x.p").alias("pb")))
-        # 100 * both >= 75 * (n + nb - both), where both is at most what follows the place in either set.
-        reach = 3 * (F.col("n") + F.col("nb")) <= 7 * F.least(F.col("n") - F.col("p"), F.col("nb") - F.col("pb"))
-        met = left.join(leaders, "v").where(reach & (F.col("comp") != F.col("cb")))
-        new = cut_lineage(confirmed(met.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct(), known, sets))
-        before, lists = lists, cut_lineage(left.select("v", "cls", "n", "p").join(leaders.select("v", F.col("b").alias("cls")), ["v", "cls"], "left_anti"))
-        labels = connected(new, labels)
-        forget(before, still, left, leaders, new)
-        nth += 1
+def zones(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """cls, n, comp, zone of the members of full lists that can hold links: those that hang together by such lists have one zone."""
+    named = lists.join(labels, "cls")
+    cores = named.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(7 * F.col("p") <= F.col("n")).alias("core"), F.min("cls").alias("head"))
+    still = cut_lineage(cores.where("core AND x <> y").select("v", "head"))
+    left = cut_lineage(named.join(still, "v").select("cls", "n", "comp", "head").distinct())
+    members = cut_lineage(left.select("cls", F.col("cls").alias("comp")).distinct())
+    found = connected(left.select(F.col("cls").alias("a"), F.col("head").alias("b")), members)
+    out = cut_lineage(left.select("cls", "n", "comp").distinct().join(found.select("cls", F.col("comp").alias("zone")), "cls"))
+    forget(still, left, found)
+    return out
+
+
+def blocked(members: DataFrame) -> DataFrame:
+    """cls, n, comp, lo, hi: each member once for each pair of blocks that its block is in, from ``zones``.
+
+    Blocks hold members of one zone whose sizes are within a factor of 4/3, of
+    the zone's largest component or of others. Sizes of links lie in the same or
+    the next band, and of two blocks of the largest component nothing is sought.
+    """
+    main = members.groupBy("zone", "comp").agg(F.count("*").alias("held")).groupBy("zone").agg(F.max(F.struct("held", "comp")).alias("top")).select("zone", F.col("top.comp").alias("main"))
+    banded = members.join(main, "zone").select("cls", "n", "comp", "zone", F.floor(F.log("n") / F.log(F.lit(100 / LIKE))).cast("int").alias("band"), (F.col("comp") == F.col("main")).alias("inside"))
+    sized = banded.groupBy("zone", "band", "inside").agg(F.count("*").alias("held"), F.sum("n").alias("shingles"))
+    many = cut_lineage(sized.select("zone", "band", "inside", F.ceil(F.greatest(F.col("held") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")))
+    block = lambda i: F.struct("band", "inside", i.alias("i"))
+    own = banded.join(many, ["zone", "band", "inside"]).select("cls", "n", "comp", "zone", block(F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("own"))
+    each = many.select("zone", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), block)).alias("b"))
+    # One row for each pair of blocks: a few, squared, of each zone; blocks are bounded below by BLOCK or BLOCK_SHINGLES.
+    pairs = each.join(each.withColumnRenamed("b", "c"), "zone").where("b <= c AND c.band - b.band <= 1 AND NOT (b.inside AND c.inside)")
+    near = each.join(each.withColumnRenamed("b", "c"), "zone").where("c < b AND b.band - c.band <= 1 AND NOT (b.inside AND c.inside)")
+    meets = cut_lineage(pairs.select("zone", F.col("b").alias("own"), F.struct("zone", "b").alias("lo"), F.struct("zone", F.col("c").alias("b")).alias("hi")).unionByName(near.select("zone", F.col("b").alias("own"), F.struct("zone", F.col("c").alias("b")).alias("lo"), F.struct("zone", "b").alias("hi"))))
+    return own.join(meets, ["zone", "own"]).select("cls", "n", "comp", F.xxhash64("zone", "own").alias("block"), F.xxhash64("lo").alias("lo"), F.xxhash64("hi").alias("hi"), (F.struct("zone", F.col("own").alias("b")) == F.col("lo")).alias("left"), (F.col("lo") == F.col("hi")).alias("same"))
+
+
+def _links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of two blocks, one link for each two components that have any.
+
+    Intersections are counted by going through the shingles that both blocks
+    have; the count is a matrix of about BLOCK by BLOCK.
+    """
+    same = bool(rows["same"].iloc[0])
+    one = rows if same else rows[rows["left"]]
+    two = rows if same else rows[~rows["left"]]
+    if not len(one) or not len(two):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    def postings(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values, owners = np.concatenate([*part["shingles"]]), np.repeat(np.arange(len(part), dtype=np.int32), [len(x) for x in part["shingles"]])
+        order = np.argsort(values, kind="stable")
+        values, owners = values[order], owners[order]
+        starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        return values[starts], np.append(starts, len(values)), owners
+
+    (va, sa, oa), (vb, sb, ob) = (x := postings(one)), x if same else postings(two)
+    common = np.zeros((len(one), len(two)), dtype=np.int32)
+    _, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    if same:  # a shingle that one member alone has counts for nothing
+        often = np.diff(sa)[ia] > 1
+        ia, ib = ia[often], ib[often]
+    for i, j in zip(ia.tolist(), ib.tolist()):
+        common[np.ix_(oa[sa[i] : sa[i + 1]], ob[sb[j] : sb[j + 1]])] += 1
+    na, nb = one["n"].to_numpy()[:, None], two["n"].to_numpy()[None, :]
+    ca, cb = one["comp"].to_numpy(), two["comp"].to_numpy()
+    ok = (100 * common.astype(np.int64) >= LIKE * (na + nb - common)) & (ca[:, None] != cb[None, :])
+    i, j = np.nonzero(ok)
+    found = pd.DataFrame({"a": one["cls"].to_numpy()[i], "b": two["cls"].to_numpy()[j], "x": np.minimum(ca[i], cb[j]), "y": np.maximum(ca[i], cb[j])})
+    return found.drop_duplicates(["x", "y"])[["a", "b"]].astype("int64")
+
+
+def full_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components, of ``members`` (cls, n), whatever they share; cut from the lineage."""
+    lists = full_lists(members, sets)
+    held = zones(lists, labels)
+    forget(lists)
+    rows = blocked(held).join(sets, "cls")
+    out = cut_lineage(rows.groupBy("lo", "hi").applyInPandas(_links, "a long, b long"))
+    forget(held)
+    return out
 
 
 def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -307,7 +367,9 @@ def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     labels = connected(new, labels)
     hot = placed.where(F.col("outside") > SHORT).select("cls").distinct()
     if not hot.isEmpty():
-        labels = full_links(known.join(hot, "cls").select("cls", "n"), labels, known, sets)
+        links = full_links(known.join(hot, "cls").select("cls", "n"), labels, sets)
+        labels = connected(links, labels)
+        forget(links)
     named_classes = classes.select("cls", "smallest").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = named_classes.groupBy("comp").agg(F.min("smallest").alias("component_id"))
     out = cut_lineage(named_classes.join(ids, "comp").select("cls", "comp", "component_id"))

@@ -11,6 +11,9 @@ their window by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -21,14 +24,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 
 CAPACITY = 2048
 END = 1
-#: Words, and parts of words, kept with their ids by each worker; longer ones are not kept.
-KEPT_WORDS, KEPT_CHARS = 500_000, 48
-
-#: How the vocabulary's rules cut a lower-case word. Fixed value.
+#: Bytes of words, and of parts of words, that a worker keeps with their ids.
+KEPT_BYTES = 32_000_000
+#: The rules that WordTokenizer knows, as a tokenizer file states them, and how they cut a lower-case word.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words that normalisation only lower-cases: ASCII and precomposed Latin letters, without the special tokens' mark.
 _PLAIN = regex.compile(r"(?:(?!<\|)[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e])+")
@@ -50,7 +60,8 @@ class WordTokenizer:
     are those of its words in order. Cuts are made at the space, tab, line feed
     and carriage return only, a part of what the tokenizer drops. Plain words
     are cut further into the vocabulary's parts, which recur far more often;
-    any other word goes to the tokenizer as it stands.
+    any other word goes to the tokenizer as it stands. For files of these rules
+    only (see ``knows``).
     """
 
     def __init__(self, path: str):
@@ -60,28 +71,38 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.spent = 0
+
+    @staticmethod
+    def knows(path: str) -> bool:
+        """Whether a tokenizer file states the rules that are followed here, and no added token but special ones in <| |>."""
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        model = told["model"]
+        marked = all(t["special"] and re.fullmatch(r"<\|\w+\|>", t["content"]) and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in told["added_tokens"])
+        same = told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == _PRE_TOKENIZER and not any(told.get(k) for k in ("truncation", "padding", "post_processor"))
+        return same and marked and model["type"] == "BPE" and not (model.get("dropout") or model.get("unk_token") or model.get("byte_fallback"))
+
+    def _keep(self, held: dict[str, bytes], word: str, ids: bytes) -> bytes:
+        self.spent += sys.getsizeof(word) + sys.getsizeof(ids) + 104
+        if self.spent > KEPT_BYTES:
+            self.words.clear()
+            self.parts.clear()
+            self.spent = 0
+        held[word] = ids
+        return ids
 
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
             shown = part.encode().decode("latin-1").translate(_LETTERS)
-            ids = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-            if len(part) <= KEPT_CHARS:
-                if len(self.parts) >= KEPT_WORDS:
-                    self.parts.clear()
-                self.parts[part] = ids
+            ids = self._keep(self.parts, part, np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes())
         return ids
 
     def _word(self, word: str) -> bytes:
         if _PLAIN.fullmatch(word):
-            ids = b"".join(map(self._part, _PARTS.findall(word.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= KEPT_CHARS:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+            return self._keep(self.words, word, b"".join(map(self._part, _PARTS.findall(word.lower()))))
+        return self._keep(self.words, word, np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes())
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -89,19 +110,39 @@ class WordTokenizer:
         return b"".join([ids if (ids := get(w)) is not None else new(w) for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")])
 
 
-_loaded: dict[str, WordTokenizer] = {}
+class PieceTokenizer:
+    """Ids of any other tokenizer: a file of ``tokenizers`` (.json) or of ``sentencepiece`` (.model), each text whole."""
+
+    def __init__(self, path: str):
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            self.encode = SentencePieceProcessor(model_file=path).encode
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, text: str) -> bytes:
+        return np.array(self.encode(text), dtype="<u4").tobytes()
 
 
-def loaded(path: str) -> WordTokenizer:
+_loaded: dict[str, WordTokenizer | PieceTokenizer] = {}
+
+
+def loaded(path: str) -> WordTokenizer | PieceTokenizer:
     """This worker's tokenizer; workers, and with them the kept words, outlive tasks."""
     if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
+        _loaded[path] = WordTokenizer(path) if path.endswith(".json") and WordTokenizer.knows(path) else PieceTokenizer(path)
     return _loaded[path]
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece: full windows, then the remainder, with the partition it came from and its rank there among pieces of its length."""
 
+    ship(docs.sparkSession)
+
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, part, ranks = loaded(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([END], dtype="<u4").tobytes()

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, fresh, ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that must hold both term and entity before the term is judged; of an entity in fewer documents, all of them.
@@ -31,6 +31,8 @@ SMOOTH = 1
 GENERALISE, REMOVE = 0.7, 0.9
 #: Entities in JOINT documents or more whose frequencies are sent to the workers; beyond, the highest one stands for all.
 KNOWN_ENTITIES = 100_000
+#: Counts that a worker gathers before it passes them on.
+KEPT_PAIRS, KEPT_TERMS = 100_000, 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -39,7 +41,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+#: Words, names, numbers and keys: letters and digits in a row.
+_TERM = re.compile(r"[^\W_]{3,}")
 
 
 def luhn(digits: str) -> bool:
@@ -115,6 +118,7 @@ FOUND = "doc_id long, row long, text string, entities array<string>"
 
 def find_entities(docs: DataFrame) -> DataFrame:
     """Each row's entities, and its text if it has any, cut from the lineage: row numbers stay as written."""
+    ship(docs.sparkSession)
     return cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_find, FOUND))
 
 
@@ -145,9 +149,9 @@ def _counts(docs: DataFrame, most: dict[str, float], other: float) -> DataFrame:
                 terms = {t for t, _, _ in terms_outside(text, spans)} if spans else ()
                 for name in {entity(text, k, a, b) for a, k, b in spans}:
                     pairs.update((name, t) for t in terms)
-                    if len(pairs) > 300_000:
+                    if len(pairs) > KEPT_PAIRS:
                         yield out()
-                if len(df) > 500_000:
+                if len(df) > KEPT_TERMS:
                     yield out()
         yield out()
 
@@ -225,8 +229,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs`` (doc_id, text).
 
     Null text counts as empty and finds nothing; null ids stay; repeated rows
-    are found each (and count each in the corpus statistics); other columns
-    aren't used; an empty table gives an empty result.
+    are found each (and count each in the corpus statistics); texts of any
+    length are searched whole; other columns may have any name and aren't used;
+    an empty table gives an empty result.
     """
     found = find_entities(docs)
     more = _revealed(found.select("row", F.explode("entities").alias("entity")), "row", disclosing(docs, found))
@@ -234,13 +239,18 @@ def scan(docs: DataFrame) -> DataFrame:
     return found.join(more, "row", "left").select("doc_id", "text", "more").mapInPandas(_digests, schema)
 
 
+def generalised(term: str) -> str:
+    """What is left of a term that is generalised: its class."""
+    return "[ID]" if _DIGIT.search(term) else "[NAME]" if term[:1].isupper() else "[TERM]"
+
+
 def sanitise_text(text: str | None, reveal: dict[tuple[str, str], str]) -> str | None:
-    """The text with entities replaced by their kind, and revealing terms generalised or removed; null stays null."""
+    """The text with entities replaced by their kind, and revealing terms generalised to their class or removed; null stays null."""
     spans = base_spans(text)
     if not spans:
         return text
     cuts, end = [(a, b, f"[{KINDS[k].upper()}]") for a, k, b in spans], -1
-    cuts += [(a, b, "" if action == "remove" else "[TERM]") for a, b, action in term_spans(text, spans, reveal)]
+    cuts += [(a, b, "" if action == "remove" else generalised(text[a:b])) for a, b, action in term_spans(text, spans, reveal)]
     out, at = [], 0
     for a, b, mark in sorted(cuts):
         if a >= end:  # of overlapping entities the first says what stands there; the rest is covered by it
@@ -250,9 +260,13 @@ def sanitise_text(text: str | None, reveal: dict[tuple[str, str], str]) -> str |
 
 
 def sanitise(docs: DataFrame, part: int = 100_000) -> DataFrame:
-    """``docs`` with sanitised texts; all columns and rows stay.
+    """``docs`` with sanitised texts; all rows stay, and all other columns, whatever their names.
 
-    The revealing pairs are sent to the workers up to ``part``; if there are
+    Null and empty texts stay as they are; repeated rows come out alike, and
+    count each in the corpus statistics; texts of any length are cleaned whole;
+    of overlapping entities the first one's mark stands for all; a term that
+    discloses two entities is removed if it is for either. An empty table gives
+    an empty result. The revealing pairs are sent to the workers up to ``part``; if there are
     more, each entity's pairs go to the documents that hold it by a join.
     """
     found = find_entities(docs)
@@ -262,10 +276,12 @@ def sanitise(docs: DataFrame, part: int = 100_000) -> DataFrame:
         known = {(r.entity, r.term): r.action for r in pairs}
         clean = F.pandas_udf(_cleaner(known), "string")
         return docs.withColumn("text", clean("text"))
+    key, own = fresh(docs, "text_digest", "reveal")
     entities = F.array_distinct(F.pandas_udf(_entities, "array<string>")("text"))
-    key = F.xxhash64("text")
-    each = _revealed(docs.select(key.alias("_key"), F.explode(entities).alias("entity")).distinct(), "_key", reveal).withColumnRenamed("more", "_reveal")
-    return docs.withColumn("_key", key).join(each, "_key", "left").withColumn("text", F.pandas_udf(_clean_each, "string")("text", "_reveal")).drop("_key", "_reveal")
+    digest = F.sha2("text", 256)
+    held = docs.select(digest.alias(key), F.explode(entities).alias("entity")).distinct()
+    each = _revealed(held, key, reveal).withColumnRenamed("more", own)
+    return docs.withColumn(key, digest).join(each, key, "left").withColumn("text", F.pandas_udf(_clean_each, "string")("text", own)).select(docs.columns)
 
 
 def _cleaner(known: dict[tuple[str, str], str]):

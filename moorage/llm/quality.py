@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,8 +77,10 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id and text; other columns aren't used. Null text counts as
     empty, which fails few_words alone. Repeated rows and null ids stay as they
-    are.
+    are; texts of any length are measured whole; an empty table gives an empty
+    result.
     """
+    ship(docs.sparkSession)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, license_scan, near_dedup, packing, pii, quality, sharding, toxicity, url_rules
+from . import chat, decontaminate, license_scan, near_dedup, oracles, packing, pii, quality, sharding, toxicity, url_rules
 
 SHARDS = 40
 
@@ -42,7 +42,8 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digest_formatted(chat.format_turns(chat.gathered_turns(rows)))
+    told = chat.canonical_turns(chat.records_of_turns(rows))
+    return chat.digest_formatted(chat.format_turns(told), also=("fingerprint", "layout"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"base_failed": ~quality.verdict("base"), "kept": quality.verdict("v2")})
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of policy v2: what each rule fails, and what it alone rejects, from op8's ledger."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")), "v2")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,16 +74,20 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_licenses, op3_pii, op4_toxicity, op5_chat, op6_packing, op7_near_dedup, op8_quality, op9_decontaminate, op10_url_rules)
+    f.__name__: f for f in (op1_sharding, op2_licenses, op3_pii, op4_toxicity, op5_chat, op6_packing, op7_near_dedup, op8_quality, quality_ablations, op9_decontaminate, op10_url_rules)
 }
 
 SQL = {
+    "op2_licenses": oracles.licenses(),
+    "op7_near_dedup": oracles.near_groups(),
+    "op8_quality": oracles.ledger(),
+    "quality_ablations": oracles.ablations("v2"),
     "op5_chat": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
-SELECT conv_id, count(*) AS n_turns,
+SELECT conv_id, substr(sha256('OBJECT<turns: ARRAY<OBJECT<role, text>>>'), 1, 16) AS fingerprint, 'turns' AS layout, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,

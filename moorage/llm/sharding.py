@@ -23,7 +23,9 @@ from ..session import cut_lineage
 
 ROUNDS = 6
 #: Rows per numbering bucket that one task orders.
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 100_000
+#: Copies of a row that are written out at once; a larger heap is dealt to all tasks in blocks of so many.
+HEAP = 10_000
 #: Steps of the walk. At most a + 1 of a * b places lie outside 0..n-1, so longer walks have odds below 1e-100; they raise an error.
 WALK = 64
 
@@ -64,13 +66,19 @@ def permuted(place: Column, n: int, seed: int) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("sharding: the walk did not end")).cast("long")) if excess > WALK else walked
 
 
+def written_out(ranged: DataFrame) -> DataFrame:
+    """A row for each copy, with its number in the range."""
+    return ranged.select("doc_id", "size", "text_crc32", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+
+
 def shard_rows(rows: DataFrame, shards: int, seed: int = 7, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Each row's shard and slot.
 
     ``rows`` has doc_id and text; other columns are ignored here, so they may
     have any name. Null text counts as empty (size 16, checksum 0); a null
-    doc_id is an id like any other; repeated rows each get a place of their own;
-    an empty table gives an empty result. Equal rows are interchangeable, so the
+    doc_id is an id like any other; repeated rows each get a place of their own,
+    and no task holds more than HEAP of one row's copies at once; texts of any
+    length count whole; an empty table gives an empty result. Equal rows are interchangeable, so the
     result as a whole is the same in every run and for every partitioning.
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard, row_number.
@@ -85,8 +93,13 @@ def shard_rows(rows: DataFrame, shards: int, seed: int = 7, bucket_rows: int = B
     starts = dealt.groupBy("bucket").agg(F.sum("copies").alias("held")).withColumn("start", F.sum("held").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     order = Window.partitionBy("bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     numbered = dealt.withColumn("before", F.coalesce(F.sum("copies").over(order), F.lit(0))).join(starts.select("bucket", F.coalesce("start", F.lit(0)).alias("start")), "bucket")
-    # Copies come as a range per row, so that a heap of repeated rows is written out, not gathered.
-    each = numbered.select("doc_id", "size", "text_crc32", (F.col("start") + F.col("before")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    # Copies come as a range per row, so that repeated rows are written out, not gathered.
+    ranged = numbered.select("doc_id", "size", "text_crc32", (F.col("start") + F.col("before")).alias("first"), "copies")
+    each = written_out(ranged.where(F.col("copies") <= HEAP))
+    if not counted.where(F.col("copies") > HEAP).isEmpty():
+        blocks = ranged.where(F.col("copies") > HEAP).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), _quotient(F.col("copies") - 1, HEAP))))
+        own = blocks.select("doc_id", "size", "text_crc32", (F.col("first") + F.col("block") * HEAP).alias("first"), F.least(F.col("copies") - F.col("block") * HEAP, F.lit(HEAP)).alias("copies"))
+        each = each.unionByName(written_out(own.repartition(min(10_000, -(-n // HEAP)))))
     placed = each.withColumn("row_number", (F.col("first") + F.col("copy")).cast("long")).withColumn("place", permuted(F.col("row_number"), n, seed))
     return placed.select(
         "doc_id", "size", "text_crc32",

@@ -3,9 +3,11 @@
 Folding maps case, accents, lookalike letters of other scripts and digits that
 stand for letters to plain letters, and everything else to blanks. The lexicon
 is learned: word beginnings and whole words whose share of toxic documents is
-too high for chance, weighted by their log odds. A text's hits, without those
-inside exception phrases, are summed, normalised by length and mapped to a
-probability by a logistic curve.
+too high for chance, weighted by their log odds. Exception phrases are given,
+and learned too: word pairs around an entry whose toxic share is far below the
+word's own. A text's hits, without those inside exception phrases, are summed,
+divided by a length that grows smoothly with the logarithm of the words, and
+mapped to a probability by a logistic curve.
 
 Labels are learned from a bounded sample of the training rows (``BOUND``), whose
 classes count in the curve as often as they occur among all training rows; each
@@ -15,25 +17,30 @@ document is then scored whole, alike at every size of the input.
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: The most labelled rows that are learned from: toxic ones and others.
 BOUND = (3_000, 9_000)
 #: The most entries of the lexicon.
 ENTRIES = 5_000
+#: Counts that a worker gathers before it passes them on.
+KEPT_FEATURES = 200_000
 #: Lengths of the word beginnings that are tried.
 STEMS = (4, 5, 6, 8)
 THRESHOLD = 0.3
-#: Words over which hits are taken in full; beyond, the sum shrinks with the logarithm.
+#: A sum of hits is divided by 1 + log(1 + words / LENGTH), at every length.
 LENGTH = 1_000
+#: The most exception phrases that are learned, and the fewest documents of one.
+PHRASES, PHRASE_DOCS = 1_000, 5
 
 #: Letters of other scripts and digits by the letter they look like.
 LOOKALIKES = {
@@ -42,7 +49,7 @@ LOOKALIKES = {
     "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s",
 }
-#: Harmless phrases around words that may be in a lexicon.
+#: Given exceptions, by parameter: harmless phrases around words that may be in a lexicon.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "sore loser rule", "scum skimmer")
 
 
@@ -117,7 +124,7 @@ def counted_features(rows: DataFrame) -> DataFrame:
                     at = held[f]
                     at[0] += 1
                     at[1] += toxic
-                if len(held) > 1_000_000:
+                if len(held) > KEPT_FEATURES:
                     yield out()
                     held.clear()
         yield out()
@@ -155,33 +162,64 @@ def learn_lexicon(rows: DataFrame, entries: int = ENTRIES) -> list[tuple[str, fl
     return sorted(lexicon.items())
 
 
+def _listed(word: str, lexicon: set[str]) -> bool:
+    return f" {word} " in lexicon or any(f" {word[:k]}" in lexicon for k in STEMS if len(word) >= k)
+
+
+def learn_exceptions(rows: DataFrame, lexicon: list[tuple[str, float]], most: int = PHRASES) -> list[str]:
+    """Harmless phrases, from labelled texts: pairs of an entry's word and a neighbour.
+
+    A pair enters if its toxic share is at most that of all texts, and so far
+    below the word's own that the log likelihood ratio exceeds what chance gives
+    the best of as many pairs.
+    """
+    n, t = rows.agg(F.count("*"), F.sum("toxic")).first()
+    held = {p for p, _ in lexicon}
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                words = fold(text).split()
+                seen = {(w, p) for i, w in enumerate(words) if _listed(w, held) for p in (None, " ".join(words[max(0, i - 1) : i + 1]), " ".join(words[i : i + 2])) if p is None or " " in p}
+                out += [(w, p, toxic) for w, p in seen]
+            yield pd.DataFrame(out, columns=["word", "phrase", "toxic"])
+
+    counts = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInPandas(pairs, "word string, phrase string, toxic int").groupBy("word", "phrase").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    own = counts.where("phrase IS NULL").select("word", (F.col("t") / F.col("n")).alias("share"))
+    tried = counts.where(F.col("phrase").isNotNull() & (F.col("n") >= PHRASE_DOCS))
+    found = tried.join(own, "word").where((F.col("t") / F.col("n") <= t / n) & (F.col("share") > t / n))
+    part = lambda k, q: F.when(k > 0, k * F.log(k / F.col("n") / q)).otherwise(0.0)
+    gain = 2 * (part(F.col("t"), F.col("share")) + F.when(F.col("share") < 1, part(F.col("n") - F.col("t"), 1 - F.col("share"))).otherwise(math.inf))
+    best = found.where(gain >= 2 * math.log(max(1, tried.count())) + 4).groupBy("phrase").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "phrase").limit(most)
+    return sorted(r.phrase for r in best.collect())
+
+
 class Matcher:
-    """The automaton over patterns, with the spans of exception phrases left out."""
+    """The automata over patterns and exception phrases; hits that begin inside a phrase are left out."""
 
-    def __init__(self, lexicon: list[tuple[str, float]], exceptions: tuple[str, ...] = EXCEPTIONS):
+    def __init__(self, lexicon: list[tuple[str, float]], exceptions: Sequence[str] = EXCEPTIONS):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
+        self.patterns, self.phrases = ahocorasick.Automaton(), ahocorasick.Automaton()
         for pattern, weight in lexicon:
-            self.automaton.add_word(pattern, (len(pattern), weight))
-        self.empty = not lexicon
-        self.automaton.make_automaton()
-        self.exceptions = re.compile("|".join(f" {re.escape(x)}(?= )" for x in exceptions)) if exceptions else None
+            self.patterns.add_word(pattern, (len(pattern), weight))
+        for phrase in exceptions:
+            self.phrases.add_word(f" {phrase} ", len(phrase) + 1)
+        self.empty, self.plain = not lexicon, not exceptions
+        self.patterns.make_automaton()
+        self.phrases.make_automaton()
 
     def hits(self, folded: str) -> float:
         """Sum of the weights of all hits, normalised by the number of words."""
-        if self.empty:
+        if self.empty or next(self.patterns.iter(folded), None) is None:
             return 0.0
-        found = [(end - size + 1, weight) for end, (size, weight) in self.automaton.iter(folded)]
-        if not found:
-            return 0.0
-        folded_words = " ".join(["", *folded.split(), ""])
-        if self.exceptions and self.exceptions.search(folded_words):
-            folded = folded_words
-            spans = [m.span() for m in self.exceptions.finditer(folded)]
-            found = [(at, w) for at, w in ((end - size + 1, weight) for end, (size, weight) in self.automaton.iter(folded)) if not any(a <= at < b for a, b in spans)]
-        words = folded_words.count(" ")
-        return sum(w for _, w in found) / (1 + math.log1p(max(0, words - LENGTH) / LENGTH))
+        words = folded.split()
+        text = " ".join(["", *words, ""])
+        found = [(end - size + 1, weight) for end, (size, weight) in self.patterns.iter(text)]
+        if not self.plain and (spans := [(end - size, end) for end, size in self.phrases.iter(text)]):
+            found = [(at, w) for at, w in found if not any(a <= at < b for a, b in spans)]
+        return sum(w for _, w in found) / (1 + math.log1p(len(words) / LENGTH))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -200,31 +238,38 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: tuple[int, int] = BOUND) -> dict:
-    """A model: lexicon, intercept and slope. Without labels of both classes it scores everything at 0."""
+def fit(docs: DataFrame, labels: DataFrame, bound: tuple[int, int] = BOUND, exceptions: Sequence[str] = EXCEPTIONS) -> dict:
+    """A model: lexicon, exceptions (given and learned), intercept and slope.
+
+    Uses doc_id and text, doc_id and toxic. Rows of null id or label are left
+    out; of repeated labels the toxic one counts, repeated documents count each;
+    null texts are empty. Without labels of both classes, or on empty tables,
+    the model scores everything near 0.
+    """
+    ship(docs.sparkSession)
     chosen = sample(labels, bound)
     # At most sum(bound) rows of id and label.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").persist()
     try:
         lexicon = learn_lexicon(rows)
         if not lexicon:
-            return {"lexicon": [], "curve": (-20.0, 0.0)}
-        matcher = _scored(lexicon)
-        seen = rows.select(matcher("text").alias("x"), "toxic").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
+            return {"lexicon": [], "exceptions": list(exceptions), "curve": (-20.0, 0.0)}
+        phrases = sorted({*exceptions, *learn_exceptions(rows, lexicon)})
+        seen = rows.select(_scored(lexicon, phrases)("text").alias("x"), "toxic").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
     finally:
         rows.unpersist()
     x, y, n = (np.array([float(r[k]) for r in seen]) for k in range(3))
     toxic, other = class_weights(labels, bound)
-    return {"lexicon": lexicon, "curve": logistic(x, y, n * np.where(y == 1, toxic, other))}
+    return {"lexicon": lexicon, "exceptions": phrases, "curve": logistic(x, y, n * np.where(y == 1, toxic, other))}
 
 
-def _scored(lexicon: list[tuple[str, float]]):
+def _scored(lexicon: list[tuple[str, float]], exceptions: Sequence[str]):
     """A UDF of the normalised sum; the lexicon has at most ENTRIES entries and travels with it."""
     kept: list[Matcher] = []
 
     def hits(texts: pd.Series) -> pd.Series:
         if not kept:
-            kept.append(Matcher(lexicon))
+            kept.append(Matcher(lexicon, exceptions))
         return pd.Series([kept[0].hits(fold(t)) for t in texts], dtype="float64")
 
     return F.pandas_udf(hits, "double")
@@ -233,16 +278,18 @@ def _scored(lexicon: list[tuple[str, float]]):
 def probability(model: dict, text: str = "text") -> Column:
     """The score of a column of texts."""
     a, b = model["curve"]
-    x = _scored(model["lexicon"])(text)
+    x = _scored(model["lexicon"], model["exceptions"])(text)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) + F.lit(b) * x)))
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 where score >= 0.3); columns of these names are replaced.
+def score(docs: DataFrame, model: dict, prefix: str = "") -> DataFrame:
+    """``docs`` with score (0 to 1) and predicted (1 where score >= 0.3).
 
-    Null and empty texts have no hits and get the curve's lowest value. Rows are
-    scored one by one: repeated rows alike, null ids too; an empty table gives
-    an empty result.
+    Columns of these names are replaced; ``prefix`` gives the outputs other
+    names. Null and empty texts have no hits and get the curve's lowest value;
+    texts of any length are scored whole. Rows are scored one by one: repeated
+    rows alike, null ids too; an empty table gives an empty result.
     """
-    out = docs.withColumn("score", probability(model))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    ship(docs.sparkSession)
+    out = docs.withColumn(f"{prefix}score", probability(model))
+    return out.withColumn(f"{prefix}predicted", (F.col(f"{prefix}score") >= THRESHOLD).cast("int"))

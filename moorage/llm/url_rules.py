@@ -16,6 +16,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fresh, ship
+
 #: host, path prefix, verdict. Fixed values of the query.
 RULES = [
     ("com", "/", "allow"),
@@ -82,24 +84,26 @@ def matcher(trie: Broadcast) -> Callable:
     return match
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = tuple(RULES), default: str = "allow", url: str = "url", part_chars: int = PART_CHARS) -> DataFrame:
-    """``pages`` with host, path, rule and verdict; columns of these names are replaced.
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = tuple(RULES), default: str = "allow", url: str = "url", part_chars: int = PART_CHARS, prefix: str = "") -> DataFrame:
+    """``pages`` with host, path, rule and verdict.
+
+    Columns of these names are replaced, all others stay; ``prefix`` gives the
+    outputs other names.
 
     A null URL, or one without ``://``, has an empty host and path. A URL that
     no rule fits gets ``default`` and a null rule. The host is taken as it
     stands up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased: a port
-    belongs to it. Repeated rows are judged alike; an empty table gives an empty
+    belongs to it. URLs of any length are judged whole. Repeated rows are judged alike; an empty table gives an empty
     result.
     """
     spark = pages.sparkSession
+    ship(spark)
+    won, new = fresh(pages, "won", "new")
     after = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://(.*)$", 1)
     host = F.translate(F.regexp_extract(after, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
-    out = pages.withColumns({"host": host, "path": path}).withColumn("_won", F.lit(None).cast("struct<size:int,host:int,blocks:boolean,rule:string,verdict:string>"))
+    out = pages.withColumns({f"{prefix}host": host, f"{prefix}path": path}).withColumn(won, F.lit(None).cast("struct<size:int,host:int,blocks:boolean,rule:string,verdict:string>"))
     for part in parts(rules, part_chars):
-        trie = spark.sparkContext.broadcast(build_trie(part))
-
-        match = F.pandas_udf(matcher(trie), "size int, host int, blocks boolean, rule string, verdict string")
-        found = match("host", "path")
-        out = out.withColumn("_new", found).withColumn("_won", F.when(F.col("_new.size").isNull(), F.col("_won")).when(F.col("_won.size").isNull(), F.col("_new")).otherwise(F.greatest("_won", "_new"))).drop("_new")
-    return out.withColumns({"rule": F.col("_won.rule"), "verdict": F.coalesce("_won.verdict", F.lit(default))}).drop("_won")
+        match = F.pandas_udf(matcher(spark.sparkContext.broadcast(build_trie(part))), "size int, host int, blocks boolean, rule string, verdict string")
+        out = out.withColumn(new, match(f"{prefix}host", f"{prefix}path")).withColumn(won, F.when(F.col(f"{new}.size").isNull(), F.col(won)).when(F.col(f"{won}.size").isNull(), F.col(new)).otherwise(F.greatest(won, new))).drop(new)
+    return out.withColumns({f"{prefix}rule": F.col(f"{won}.rule"), f"{prefix}verdict": F.coalesce(f"{won}.verdict", F.lit(default))}).drop(won)

@@ -26,13 +26,43 @@ def test_layouts_are_mapped_by_fingerprint(spark):
     assert all(out[i].layout is None and out[i].turns is None for i in (6, 90, 91)) and len(out) == 9
 
 
+def test_records_of_many_shapes_through_one_call(spark):
+    """Further fields, nested ones, quotes and colons inside texts, escapes, numbers, an empty list, and the records of a table of turns."""
+    tricky = 'say "a": \\ "b", {"role": "x"}\n'
+    shapes = [
+        ({"id": 3, "source": {"role": "a", "deep": [1, {"b": None}]}, "messages": [{"role": "user", "content": tricky, "name": "n"}, {"role": "assistant", "content": "yo"}]}, "messages", [("user", tricky), ("assistant", "yo")]),
+        ({"messages": []}, "messages", []),
+        ({"messages": [], "prompt": "p", "response": "r"}, "messages", []),
+        ({"meta": {"x": 1}, "prompt": "p", "response": "r: \"q\""}, "prompt_response", [("user", "p"), ("assistant", "r: \"q\"")]),
+        ({"system": "s", "prompt": "p", "response": "r", "n": 1.5}, "system_prompt_response", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        ({"prompt": "p", "completion": "c" * 3_000_000}, "prompt_completion", [("user", "p"), ("assistant", "c" * 3_000_000)]),
+        ({"other": {"prompt": "p", "completion": "c"}}, None, None),
+        ({"messages": {"role": "user", "content": "c"}}, None, None),
+        ({"messages": ["role", "content"]}, None, None),
+        ("messages", None, None),
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(r), 1, 2) for i, (r, _, _) in enumerate(shapes)], "id int, record string, skeleton int, lines int")
+    table = spark.createDataFrame([(90, 0, "user", tricky, 0, 0), (90, 1, None, None, 0, 0)], "conv_id int, turn int, role string, text string, skeleton int, lines int")
+    made = chat.records_of_turns(table).select(chat.F.col("conv_id").alias("id"), "record", chat.F.lit(1).alias("skeleton"), chat.F.lit(2).alias("lines"))
+    told = chat.format_turns(chat.canonical_turns(rows.unionByName(made)))
+    out = {r.id: r for r in told.collect()}
+    for i, (_, layout, turns) in enumerate(shapes):
+        assert out[i].layout == layout and (out[i].turns if turns is None else [tuple(t) for t in out[i].turns]) == turns, i
+        assert (out[i].formatted is None) == (turns is None)
+    assert [tuple(t) for t in out[90].turns] == [("user", tricky), ("", "")] and out[90].layout == "turns"
+    assert all((r.skeleton, r.lines) == (1, 2) for r in out.values())
+    assert set(chat.canonical_turns(rows, prefix="my_").columns) == {*rows.columns, "my_fingerprint", "my_layout", "my_turns"}
+    back = chat.digest_formatted(told.where("formatted IS NOT NULL"), "id").collect()
+    assert {r.id: r.n_turns for r in back} == {i: len(t) for i, (_, _, t) in enumerate(shapes) if t is not None} | {90: 2}
+
+
 def test_formatted_reads_back(spark):
     rng = random.Random(1)
     bits = ["\\", "#", "### ", "</turn>", "\n", "<", "a", "é", "𝄞", ": ", "\\\\", "### Assistant: ", " "]
     rows = [(c, t, rng.choice(["user", "assistant", "a:b#", None]), "".join(rng.choices(bits, k=rng.randint(0, 12))) if rng.random() < 0.9 else None, "x") for c in [*range(40), None] for t in range(rng.randint(1, 6))]
     rows += [(7, 1, "assistant", "same", "x")] * 2
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
-    made = chat.format_turns(chat.gathered_turns(df))
+    made = chat.format_turns(chat.canonical_turns(chat.records_of_turns(df)))
     got = {r.conv_id: r for r in chat.digest_formatted(made).collect()}
     assert set(got) == {*range(40), None}
     for r in made.collect():
@@ -42,7 +72,7 @@ def test_formatted_reads_back(spark):
         assert got[r.conv_id].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in lines).encode()).hexdigest()
         assert (got[r.conv_id].loss_chars, got[r.conv_id].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert got[r.conv_id].formatted_chars == len(r.formatted)
-    assert chat.format_turns(chat.gathered_turns(df.limit(0))).count() == 0
+    assert chat.format_turns(chat.canonical_turns(chat.records_of_turns(df.limit(0)))).count() == 0
 
 
 def slow(url, rules):

@@ -10,7 +10,7 @@ def plainly_overlaps(words, item):
     for shift in range(-len(item), len(words)):
         equal = [0 <= k + shift < len(words) and words[k + shift] == w for k, w in enumerate(item)]
         if any(4 * sum(equal[k : k + size]) >= 3 * size for k in range(len(item) - size + 1)):
-            return len(item) >= decontaminate.SHORTEST
+            return bool(item)
     return False
 
 
@@ -30,11 +30,11 @@ def test_the_rule_on_random_passages():
     rng = random.Random(3)
     seen = set()
     for _ in range(1500):
-        item = [f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 4, 6, 9, 11, 12, 14, 25]))]
+        item = [f"w{rng.randrange(400)}" for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 11, 12, 14, 25]))]
         a, b = sorted(rng.sample(range(len(item) + 1), 2))
         share = rng.choice([0, 0.2, 0.3])
         words = ["o"] * rng.randrange(4) + [f"n{k}" if rng.random() < share else w for k, w in enumerate(item[a:b])] + ["o"] * rng.randrange(4)
         want = plainly_overlaps(words, item)
         assert found(words, item) == want, (words, item)
         seen.add((want, len(item)))
-    assert len(seen) == 16
+    assert len(seen) == 20

@@ -34,11 +34,12 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("limits", [None, (1, 2)])
+@pytest.mark.parametrize("limits", [None, (0, 5)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, limits):
     if limits:
         monkeypatch.setattr(near_dedup, "SHORT", limits[0])
-        monkeypatch.setattr(near_dedup, "LEAD", limits[1])
+        monkeypatch.setattr(near_dedup, "BLOCK", limits[1])
+        monkeypatch.setattr(near_dedup, "ROUNDS", 1)
     rows = corpus(3)
     got = near_dedup.near_duplicates(docs(spark, rows).repartition(3)).collect()
     key = lambda r: tuple((x is not None, x) for x in r)

@@ -1,9 +1,14 @@
 import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql.functions import lit
 
 from moorage.llm import decontaminate, license_scan, pii, toxicity
 
@@ -80,17 +85,17 @@ def slow_overlap(words, item):
         equal = np.array([words[k] == item[k - shift] for k in range(lo, hi)], dtype=bool)
         if len(equal):
             best = max(best, decontaminate.best_stretch(equal)[0])
-    return best >= min(decontaminate.NEED, len(item)) and len(item) >= decontaminate.SHORTEST
+    return bool(item) and best >= min(decontaminate.NEED, len(item))
 
 
 def test_decontamination(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefghij", k=4))
-    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([40, 20, 12, 5, 3, 2, 0])] + [(7, None), (0, None)]
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([40, 20, 12, 5, 3, 2, 0, 1])] + [(8, None), (0, None)]
     items.append(items[0])
     rows = list(ODD)
     for k in range(60):
-        own, item = [word() for _ in range(rng.randint(0, 60))], (items[k % 5][1]).split()
+        own, item = [word() for _ in range(rng.randint(0, 60))], (items[(0, 1, 2, 3, 4, 5, 7)[k % 7]][1]).split()
         kind = k % 4
         if kind == 1:
             item = [w if rng.random() > 0.12 else word() for w in item]
@@ -101,9 +106,7 @@ def test_decontamination(spark):
     for part in (10**6, 60):
         got = {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(docs(spark, rows), bench, part).collect()}
         want = {(d, i) for d, t in rows for i, x in items if x is not None and slow_overlap(decontaminate.words_of(t), decontaminate.words_of(x))}
-        assert got <= want
-        missed = want - got  # only stretches with three substitutions in twelve words may be missed
-        assert len(missed) <= 0.05 * len(want) and all(100 + 4 * k not in {d for d, _ in missed} for k in range(15))
+        assert got == want
     kept = {r.doc_id for r in decontaminate.drop_overlapping(docs(spark, rows), bench).collect()}
     found = {r.doc_id for r in decontaminate.find_overlaps(docs(spark, rows), bench).collect()}
     assert kept == {d for d, _ in rows} - found
@@ -111,21 +114,48 @@ def test_decontamination(spark):
     assert decontaminate.find_overlaps(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def slow_licences(rows):
+    """(doc_id, license) -> (dice, pieces): every distinct piece of a text against every template."""
+
+    def pairs(text):
+        return set(license_scan.bigrams(text))
+
+    known = [(name, pairs(s)) for name, sentences in license_scan.TEMPLATES.items() for s in sentences]
+    best, count = {}, Counter()
+    for d, text in rows:
+        paragraphs = re.split(r"\n(?:[^A-Za-z0-9\n]*\n)+", text or "")
+        cut = (text or "").split("\n") + paragraphs + [s for p in paragraphs for s in re.split(r"[.!?]+[ \t\r\n]+", p)]
+        for piece in {" ".join(re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in p))) for p in cut} - {""}:
+            own = pairs(piece)
+            scores = {}
+            for name, other in known:
+                scores[name] = max(scores.get(name, 0), 2 * len(own & other) / (len(own) + len(other)))
+            top = max(scores.values())
+            for name in scores if top >= license_scan.THRESHOLD else ():
+                if scores[name] == top:
+                    best[d, name] = max(best.get((d, name), 0), round(top, 6))
+                    count[d, name] += 1
+    return {k: (best[k], count[k]) for k in best}
+
+
 def test_licences(spark):
-    def dice(a, b):
-        a, b = set(license_scan.bigrams(a)), set(license_scan.bigrams(b))
-        return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0
-
-    rows = ODD + [(10, "Intro.\nReleased under the MIT License.\nText"), (11, "Text. This work is licensed under the GNU General Public License, version 3. More"), (12, "all RIGHTS reserved!"), (13, "rights"), (14, "Licensed under the Apache License, Version 2.0, mostly."), (10, "Released under the  MIT license")]
-    got = {(r.doc_id, r.license): r.dice for r in license_scan.scan(docs(spark, rows)).collect()}
-    want = {}
-    for d, t in rows:
-        for piece in re.split(r"\n|(?<=[.!?])[ \t\r]+", t or ""):
-            for name, sentences in license_scan.TEMPLATES.items():
-                for s in sentences:
-                    if len(piece) < 1000 and dice(piece, s) >= license_scan.THRESHOLD:
-                        want[d, name] = max(want.get((d, name), 0), round(dice(piece, s), 6))
-    assert got == want and (10, "MIT") in got and (11, "GPL-3.0") in got and (13, "proprietary") not in got
+    grant, header, gpl = license_scan.TEMPLATES["MIT"][3], license_scan.TEMPLATES["Apache-2.0"][4], license_scan.TEMPLATES["GPL-3.0"][2]
+    wrapped = lambda t: "\n".join("# " + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    rows = ODD + [
+        (10, "Intro.\nReleased under the MIT License.\nText"), (11, "Text. This work is licensed under the GNU General Public License, version 3. More"), (12, "all RIGHTS reserved!"), (13, "rights"), (14, "Licensed under the Apache License, Version 2.0, mostly."), (10, "Released under the  MIT license"),
+        (20, "Released under the MIT License " * 40), (21, "code code\n\nReleased under\nthe MIT License. More code"), (22, f"Copyright 2020\n#\n{wrapped(grant)}\n#\n{wrapped(license_scan.TEMPLATES['MIT'][4])}\n"), (23, wrapped(header)), (24, gpl), (25, gpl.replace("version 3", "version 2")), (26, f"{'word ' * 3000}. {gpl} {'word ' * 3000}"),
+        (27, " ".join(license_scan.TEMPLATES["BSD"])), (28, grant.upper() + "\n\n" + grant), (None, "Licensed under CC BY-NC 4.0."), (29, "İ Licensed under CC BY 4.0. K"),
+    ]
+    rng = random.Random(4)
+    for k in range(60):  # templates with words changed, around the threshold
+        words = rng.choice([s for x in license_scan.TEMPLATES.values() for s in x]).split()
+        rows.append((100 + k, " ".join(w if rng.random() > 0.15 else rng.choice(["x", "any", ""]) for w in words)))
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, pairs string, size int")
+    got = {(r.doc_id, r.license): (r.dice, r.n_pieces) for r in license_scan.scan(df).collect()}
+    assert got == slow_licences(rows)
+    found = {d: {name for e, name in got if e == d} for d, _ in rows}
+    assert found[20] == found[21] == found[22] == {"MIT"} and found[23] == {"Apache-2.0"} and found[24] == found[26] == {"GPL-3.0"} and found[25] == {"GPL-2.0"} and "BSD" in found[27]
+    assert not found[13] and got[22, "MIT"][1] == 2 and got[10, "MIT"][1] == 3  # the line twice, and its paragraph
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
@@ -134,11 +164,50 @@ def test_fold():
     assert toxicity.fold(None) == "  "
 
 
+def slow_hits(text, lexicon, exceptions):
+    """Every pattern at every place of the text's words, without places inside exception phrases."""
+    plain = " ".join(["", *toxicity.fold(text).split(), ""])
+    inside = {i for x in exceptions for i in range(len(plain)) if plain.startswith(f" {x} ", i) for i in range(i, i + len(x) + 1)}
+    total = sum(w for p, w in lexicon for i in range(len(plain)) if plain.startswith(p, i) and i not in inside)
+    return total / (1 + math.log(1 + len(plain.split()) / toxicity.LENGTH))
+
+
+def test_matcher_is_the_plain_search():
+    rng = random.Random(2)
+    bits = ["trash", "TR4SH", "can", "trashy", "ash", "tr", "as", ".", ", ", "scum", "é", "skimmer", "sсum", "bin"]
+    lexicon = [(" tras", 3.0), (" ash ", 1.5), (" scum ", 2.0), (" scu", 0.5), (" bin", 1.0)]
+    for exceptions in (toxicity.EXCEPTIONS, (), ("trash can", "can trash", "ash tr")):
+        m = toxicity.Matcher(lexicon, exceptions)
+        for _ in range(400):
+            text = " ".join(rng.choices(bits, k=rng.randint(0, 12)))
+            assert m.hits(toxicity.fold(text)) == pytest.approx(slow_hits(text, lexicon, exceptions)), text
+
+
 def test_exception_phrases_and_length():
     m = toxicity.Matcher([(" tras", 3.0)])
-    assert m.hits(toxicity.fold("what trash")) == 3.0
     assert m.hits(toxicity.fold("a trash, can")) == 0.0
-    assert 0 < m.hits(toxicity.fold("trash " + "word " * 20_000)) < 3.0
+    sums = [m.hits(toxicity.fold("trash " + "word " * n)) for n in (0, 10, 100, 900, 1100, 20_000, 200_000)]
+    assert all(a > b > 0 for a, b in zip(sums, sums[1:]))
+
+
+def test_exceptions_are_learned(spark):
+    rng = random.Random(5)
+    filler = ["".join(rng.choices("acefgmnoprt", k=5)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(900):
+        words, toxic = rng.choices(filler, k=25), int(i % 3 == 0)
+        at = rng.randrange(20)
+        if toxic:
+            words[at] = "blorg"
+        elif i % 9 == 1:
+            words[at : at + 2] = ["blorg", "flower"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), known)
+    assert "blorg flower" in model["exceptions"] and set(toxicity.EXCEPTIONS) <= set(model["exceptions"])
+    told = {r.doc_id: r.predicted for r in toxicity.score(docs(spark, rows), model).collect()}
+    assert all(told[i] == t for i, t in labels)
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -155,9 +224,18 @@ def test_toxicity_on_held_out_rows(spark):
     df = docs(spark, rows)
     known = spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit(df, known)
-    import zlib
-
     told = dict(labels)
+    a, b = model["curve"]
+    text_of = dict(rows)
+    for r in toxicity.score(df, model).collect():  # the curve over the plain search, refitted by another way
+        if r.doc_id is not None:
+            assert r.score == pytest.approx(1 / (1 + math.exp(-(a + b * slow_hits(text_of[r.doc_id], model["lexicon"], model["exceptions"])))))
+    x = np.array([slow_hits(text_of[d], model["lexicon"], model["exceptions"]) for d, _ in labels if d is not None and d >= 1000 and zlib.crc32(str(d).encode()) % 4 != 2 and d in text_of])
+    y = np.array([t for d, t in labels if d is not None and d >= 1000 and zlib.crc32(str(d).encode()) % 4 != 2 and d in text_of])
+    loss = lambda a, b: -(y * (a + b * x) - np.log1p(np.exp(a + b * x))).sum() + 0.5e-3 * (len(y) + 1) * b * b
+    assert all(loss(a, b) <= loss(a + da, b + db) + 0.05 for da in (-0.2, 0, 0.2) for db in (-0.2, 0, 0.2))
+    clash = toxicity.score(df.withColumn("score", lit("mine")).withColumn("predicted", lit(9)), model, prefix="tox_").first()
+    assert clash.score == "mine" and clash.predicted == 9 and 0 <= clash.tox_score <= 1
     for r in toxicity.score(df, model).collect():
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
         if r.doc_id is not None and r.doc_id >= 1000 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2:
