@@ -48,11 +48,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows and bytes of text that Python workers get at once: texts may be long, and a worker holds a batch several times.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that their Python can import it wherever it runs."""
+    """Sends this package to the executors, once for each application, so that their Python can import it wherever it runs.
+
+    Also sets the size of Arrow batches where the application has set none.
+    """
     context = spark.sparkContext
     if getattr(context, "_moorage_shipped", False):
         return
+    for key, value in BATCHES.items():
+        if not context.getConf().contains(key):
+            spark.conf.set(key, value)
     package = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="moorage-"), "moorage_package.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
