@@ -154,11 +154,14 @@ def _pairs(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > 1, both).otherwise(words))
 
 
-def _any(column: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | column.contains(f" {w} ")
-    return out
+def anchored(words: list[str]) -> str:
+    """A pattern that finds any of the words and pairs, whatever stands between the words of a pair."""
+    between = "[^A-Za-z0-9]+"
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by_letter.setdefault(w[0], []).append(w[1:].replace(" ", between))
+    heads = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items())
+    return f"(?i)(?<![A-Za-z0-9])(?:{heads})(?![A-Za-z0-9])"
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -173,13 +176,13 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     """
     # At most as many rows as the templates' sizes admit, whatever the input.
     sizes = F.broadcast(docs.sparkSession.createDataFrame(template_rows(templates, threshold), "size int, known array<struct<license:string,own:array<string>,n_own:int>>"))
-    marks = anchors(templates, threshold)
-    likely = docs.select("doc_id", "text").where(_any(_plain(F.col("text")), marks))
+    marks = anchored(anchors(templates, threshold))
+    likely = docs.select("doc_id", "text").where(F.col("text").rlike(marks))
     paragraphs = F.split("text", PARAGRAPH)
     cut = F.concat(F.split("text", "\n"), paragraphs, F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE))))
-    plain = F.array_distinct(F.transform(cut, lambda p: F.trim(_plain(p))))
-    pieces = likely.select("doc_id", F.explode(plain).alias("piece")).where(F.col("piece") != "").where(_any(F.concat(F.lit(" "), "piece", F.lit(" ")), marks))
-    sized = pieces.select("doc_id", _pairs(F.split("piece", " ")).alias("pairs")).withColumn("size", F.size("pairs"))
+    # Step by step inside the row: each lambda's argument is worked out once.
+    pieces = F.array_distinct(F.transform(F.filter(cut, lambda p: p.rlike(marks)), lambda p: F.trim(_plain(p))))
+    sized = likely.select("doc_id", F.explode(F.transform(F.transform(pieces, lambda p: F.split(p, " ")), _pairs)).alias("pairs")).withColumn("size", F.size("pairs"))
     dice = lambda k: 2.0 * F.size(F.array_intersect(F.col("pairs"), k["own"])) / (F.col("size") + k["n_own"])
     scored = sized.join(sizes, "size").select("doc_id", F.transform("known", lambda k: F.struct(dice(k).alias("dice"), k["license"].alias("license"))).alias("scored"))
     best = scored.withColumn("best", F.array_max("scored")["dice"]).where(F.col("best") >= threshold)
