@@ -218,7 +218,8 @@ def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
     else:
         ranked = lists.withColumn("h", F.xxhash64("cls", "v", F.lit(turn)))
     leader = ranked.groupBy("v").agg(F.min(F.struct("h", F.col("cls").alias("leader"), F.col("comp").alias("lcomp"))).alias("m"))
-    met = lists.join(leader.select("v", "m.leader", "m.lcomp"), "v").where("comp <> lcomp").groupBy("cls", "leader").agg(F.count("*").alias("times"))
+    # Written, so that adaptive execution can split a long list in the join.
+    met = lists.join(cut_lineage(leader.select("v", "m.leader", "m.lcomp")), "v").where("comp <> lcomp").groupBy("cls", "leader").agg(F.count("*").alias("times"))
     top = met.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "leader")), asc=False), 1, LEADERS).alias("top"))
     each = top.select("cls", F.explode("top.leader").alias("leader"))
     return each.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()

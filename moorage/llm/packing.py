@@ -29,7 +29,7 @@ from ..session import cut_lineage, ship
 CAPACITY = 2048
 END = 1
 #: Bytes of words, and of parts of words, that a worker keeps with their ids.
-KEPT_BYTES = 32_000_000
+KEPT_BYTES = 160_000_000
 #: The rules that WordTokenizer knows, as a tokenizer file states them, and how they cut a lower-case word.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PRE_TOKENIZER = {
