@@ -32,18 +32,18 @@ def main(argv: list[str] | None = None) -> int:
         docs.select("source_id", "name", "kind", F.length("text").alias("chars"), "confidence", "warnings").orderBy("source_id").show(1000, truncate=80)
         return 0
     result = plan.organize(spark, docs)
-    form = plan.form_state(spark, result).orderBy("at")
+    form = plan.form_state(spark, result).orderBy("at", "row", "inner")
     if args.json:
         for line in form.toJSON().toLocalIterator():
             print(line)
     elif args.form:
-        form.select("title", "key", "label", "required", "filled", "value", "attention").show(200, truncate=60)
+        form.select("title", "path", "label", "required", "filled", "value", "attention").show(200, truncate=60)
     else:
         result.types.show(truncate=False)
         result.completeness.show()
         result.issues.orderBy("severity", "path").show(100, truncate=80)
     if args.out:
-        for name in ("documents", "types", "leaves", "provenance", "issues", "completeness", "gaps"):
+        for name in ("documents", "types", "leaves", "provenance", "issues", "completeness", "gaps", "conflicts", "evidence", "verdicts"):
             getattr(result, name).write.mode("overwrite").parquet(f"{args.out}/{name}")
     return 0
 

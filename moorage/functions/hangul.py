@@ -116,6 +116,29 @@ def pair_similarity(a: str, b: str) -> float:
     return max(0.0, 1 - distance(x, y, longest) / longest) if longest else 1.0
 
 
+def _classes() -> tuple[str, str]:
+    """Letters that may be confused, and the first letter of the class that each belongs to."""
+    groups: list[set[str]] = []
+    for pair in map(set, CONFUSED):
+        met = [g for g in groups if g & pair]
+        groups = [g for g in groups if not g & pair] + [pair.union(*met)]
+    pairs = [(c, min(g)) for g in groups for c in sorted(g) if c != min(g)]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_CONFUSED_FROM, _CONFUSED_TO = _classes()
+
+
+def letter_classes(text: Column) -> Column:
+    """The letters of a text, those that may be confused as one."""
+    return F.translate(decompose(text), _CONFUSED_FROM, _CONFUSED_TO)
+
+
+def may_reach(a: Column, b: Column, threshold: float) -> Column:
+    """Whether texts of these letter classes can be as similar as the threshold: each step between classes costs NEXT_KEY_COST at least. JVM-side, and never wrong."""
+    return F.levenshtein(a, b) * NEXT_KEY_COST <= F.greatest(F.length(a), F.length(b)) * F.lit(1 - threshold) + 1e-9
+
+
 def _by_pair(f):
     """A UDF over two texts; a null gives a null, and each distinct pair of a batch is worked out once."""
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,10 +75,7 @@ def clean(text: Column, normal: bool = False) -> Column:
 
 def fold_clean(cleaned: Column) -> Column:
     """The skeleton of a cleaned text: no marks, punctuation or white space, lower case."""
-    out = cleaned
-    for pattern in (MARKS, PUNCTUATION, SPACES):
-        out = F.regexp_replace(out, pattern, "")
-    return F.lower(out)
+    return F.lower(F.regexp_replace(cleaned, f"(?:{MARKS}|{PUNCTUATION}|{SPACES})+", ""))
 
 
 def fold(text: Column, normal: bool = False) -> Column:
@@ -119,21 +116,37 @@ def normalize_number(raw: Column) -> Column:
 
 
 def normalize_token(token: Column) -> Column:
-    t = F.lower(trim(token))
-    return F.when(t.rlike("^[0-9][0-9,.]*$"), normalize_number(t)).when(t.rlike("^[가-힣]+$"), stem(strip_particle(t))).otherwise(F.regexp_replace(t, r"\.+$", ""))
+    return _normal_token(F.lower(trim(token)))
+
+
+def _normal_token(t: Column) -> Column:
+    """Of a lower-case token without white space."""
+    return F.when(t.rlike("^[0-9][0-9,.]*$"), normalize_number(t)).when(t.rlike("^[가-힣]+$"), stem(strip_particle(t))).otherwise(F.rtrim(t, F.lit(".")))
 
 
 def tokenize_clean(cleaned: Column, drop_stopwords: bool = True) -> Column:
     """Tokens of a cleaned text, in order, with repeats."""
-    tokens = F.transform(F.regexp_extract_all(cleaned, F.lit(f"({TOKEN})"), F.lit(1)), normalize_token)
-    kept = F.filter(tokens, lambda t: (t != "") & ~t.rlike("^[가-힣]$"))
-    return F.filter(kept, lambda t: ~t.isin(STOPWORDS)) if drop_stopwords else kept
+    tokens = F.transform(F.transform(F.regexp_extract_all(cleaned, F.lit(f"({TOKEN})"), F.lit(1)), F.lower), _normal_token)
+    wanted = lambda t: (t != "") & ~t.rlike("^[가-힣]$")
+    return F.filter(tokens, (lambda t: wanted(t) & ~t.isin(STOPWORDS)) if drop_stopwords else wanted)
 
 
 def tokenize(text: Column, drop_stopwords: bool = True, normal: bool = False) -> Column:
     return tokenize_clean(clean(text, normal), drop_stopwords)
 
 
+def counted(rows: DataFrame, items: Column, *keys: str) -> DataFrame:
+    """keys, value, n: each distinct item of a row's array with how often it is there, counted inside the row; no items, no rows."""
+    # Steps of their own, so that nothing is worked out again for each element.
+    ordered = rows.select(*keys, F.sort_array(items).alias("_items"))
+    at = F.col("_items")
+    first = lambda i: (i == 1) | (F.element_at(at, i) != F.element_at(at, F.greatest(i - 1, F.lit(1))))
+    begun = ordered.select("*", F.when(F.size(at) > 0, F.filter(F.sequence(F.lit(1), F.greatest(F.size(at), F.lit(1))), first)).alias("_begins"))
+    ends = F.concat(F.slice("_begins", F.lit(2), F.size("_begins")), F.array(F.size(at) + 1))
+    runs = F.zip_with("_begins", ends, lambda a, b: F.struct(F.element_at(at, a).alias("value"), (b - a).cast("long").alias("n")))
+    return begun.select(*keys, F.explode(runs).alias("_run")).select(*keys, "_run.value", "_run.n")
+
+
 def numbers_in(text: Column) -> Column:
     """All numbers of the raw text, normalised with and without their unit, each once."""
     body = F.coalesce(text, F.lit(""))

@@ -36,8 +36,8 @@ def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def merge_issues(issues: DataFrame) -> DataFrame:
-    """Issues by path, type and detail, the first of each; what a patch has settled stays."""
-    return first_wins(issues, ["path", "type", "detail"], "ord")
+    """Issues of a draft by path, type and detail, the first of each; what a patch has settled stays."""
+    return first_wins(issues, ["draft_id", "path", "type", "detail"], "ord")
 
 
 def empty_paths(fields: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -105,6 +105,18 @@ def cost_by_tier(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return priced.groupBy("tier").agg(F.count("*").alias("calls"), F.sum("in_tokens").alias("in_tokens"), F.sum("out_tokens").alias("out_tokens"), F.round(F.sum(cost), 6).alias("cost"))
 
 
+#: Fixed value: characters of a token, in tenths.
+TOKEN_CHARS = 17
+
+
+def simulated_cost(stages: DataFrame, prices: DataFrame) -> DataFrame:
+    """C11: plan, tier, calls, tokens and cost of planned calls: ``stages`` has plan, stage, tier, chars of a call, calls, out_tokens of a call."""
+    tokens = F.floor(F.col("chars") * 10 / F.lit(TOKEN_CHARS)).cast("long")
+    summed = stages.groupBy("plan", "tier").agg(F.sum("calls").alias("calls"), F.sum(F.col("calls") * tokens).alias("in_tokens"), F.sum(F.col("calls") * F.col("out_tokens")).alias("out_tokens"))
+    cost = (F.col("in_tokens") * F.col("in_price") + F.col("out_tokens") * F.col("out_price")) / 1_000_000
+    return summed.join(F.broadcast(prices), "tier").select("plan", "tier", "calls", "in_tokens", "out_tokens", F.round(cost, 6).alias("cost"))
+
+
 def ranked_models(models: DataFrame, tier: str | None = None) -> DataFrame:
     """Models with rank: the newest generation first, pro before flash, stable before preview, then the shorter name."""
     name = F.col("model")

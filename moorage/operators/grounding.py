@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from ..functions.normalize import GRAM, fold, grams, normalize_number
 
 GROUNDED, WEAK = 0.85, 0.55
+#: Quotes of so many grams are contained in a source or not; those of more are scored.
+CONTAINED = 2
+#: Bytes of quotes' grams that are sent to the workers.
+SENT_BYTES = 48_000_000
 #: The smallest numeric values of a source that derived numbers are sought among.
 VALUES = 200
 
@@ -77,6 +81,12 @@ def _scorer(held: Broadcast, least: float):
             counts = np.bincount(np.concatenate([postings[g] for g in places]), minlength=len(n_grams)) if places else np.zeros(len(n_grams), dtype=np.int64)
             found = []
             for q in np.flatnonzero((counts > 0) & (counts >= least * n_grams)).tolist():
+                if n_grams[q] <= CONTAINED:
+                    # Contained or not: its grams stand one after another.
+                    starts = [[p - i for p in places.get(g, ())] for i, g in own[q]]
+                    if set(starts[0]).intersection(*starts[1:]):
+                        found.append({"n": q, "best": int(n_grams[q])})
+                    continue
                 hit = [(i, places[g]) for i, g in own[q] if g in places]
                 pos = np.concatenate([p for _, p in hit])
                 i = np.repeat(np.array([i for i, _ in hit], dtype=np.int64), [len(p) for _, p in hit])
@@ -113,24 +123,25 @@ def _sent(spark: SparkSession, rows: list) -> tuple[Broadcast, list]:
 
 def _scored(best: DataFrame, key: str, least: float) -> DataFrame:
     score = F.col("best") / F.col("n_grams")
-    where = F.when(score >= GROUNDED, "local").when(score >= WEAK, "partial").otherwise("scattered")
+    where = F.when(F.col("n_grams") <= CONTAINED, "contained").when(score >= GROUNDED, "local").when(score >= WEAK, "partial").otherwise("scattered")
     return best.select(key, "quote", score.alias("score"), where.alias("where")).where(F.col("score") >= least)
 
 
-def score_quotes(sources: DataFrame, quotes: DataFrame, key: str, pairs: DataFrame | None = None, least: float = 0.0, most_grams: int = 2_000_000) -> DataFrame:
+def score_quotes(sources: DataFrame, quotes: DataFrame, key: str, pairs: DataFrame | None = None, least: float = 0.0, most_bytes: int = SENT_BYTES) -> DataFrame:
     """key, quote, score, where: how densely a quote's grams lie in a source.
 
-    ``pairs`` (key, quote) limits what is compared to given pairs. Pairs below
-    ``least`` are left out; with ``least`` 0 and no pairs, only pairs with a hit
-    come out, those without score 0. ``sources``: folded_sources, ``quotes``:
-    quote_table, both cached by the caller if dear. Up to ``most_grams`` grams
-    of quotes go to the workers; beyond, they are joined.
+    A quote of one or two grams has score 1 where the source contains it, else
+    0; a shorter one has no content and score 0. ``pairs`` (key, quote) limits
+    what is compared to given pairs, all of which come out. Pairs below
+    ``least`` are left out; without pairs, so are those without a hit.
+    ``sources``: folded_sources, ``quotes``: quote_table, both cached by the
+    caller if dear. Quotes go to the workers while what is sent, about 100 bytes
+    a gram, is at most ``most_bytes``; beyond, their grams are joined.
     """
-    short = quotes.where((F.col("length") < GRAM) | (F.col("n_grams") < 3))
-    full = quotes.where((F.col("length") >= GRAM) & (F.col("n_grams") >= 3))
+    full = quotes.where(F.col("length") >= GRAM)
     own = full.select("quote", "n_grams", "width", F.posexplode(grams(F.col("folded_quote"))).alias("i", "gram"))
-    few = own.limit(most_grams + 1).collect() if pairs is None else []
-    if pairs is None and len(few) <= most_grams:
+    few = own.limit(most_bytes // 100 + 1).collect() if pairs is None else []
+    if pairs is None and len(few) <= most_bytes // 100:
         held, names = _sent(sources.sparkSession, few)
         named = sources.sparkSession.createDataFrame(names, own.select(F.lit(0).alias("_n"), "quote", "n_grams").schema)
         found = sources.select(key, F.explode(_scorer(held, least)("folded")).alias("_f")).select(key, F.col("_f.n").alias("_n"), F.col("_f.best").alias("best"))
@@ -139,30 +150,25 @@ def score_quotes(sources: DataFrame, quotes: DataFrame, key: str, pairs: DataFra
     many = own.groupBy("quote", "n_grams", "gram").agg(F.count("*").alias("times"))
     each = sources.select(key, F.explode(F.array_distinct(grams(F.col("folded")))).alias("gram"))
     linked = each.join(many, "gram") if pairs is None else each.join(pairs, key).join(many, ["quote", "gram"])
-    bound = linked.groupBy(key, "quote", "n_grams").agg(F.sum("times").alias("most")).where(F.col("most") >= least * F.col("n_grams"))
-    placed = sources.join(bound.select(key).distinct(), key, "left_semi").select(key, F.posexplode(grams(F.col("folded"))).alias("pos", "gram"))
-    hits = placed.join(bound.select(key, "quote"), key).join(own, ["quote", "gram"])
+    bound = linked.groupBy(key, "quote", "n_grams").agg(F.sum("times").alias("most")).where(F.col("most") >= F.when(F.col("n_grams") <= CONTAINED, F.col("n_grams")).otherwise(least * F.col("n_grams")))
+    long = bound.where(F.col("n_grams") > CONTAINED)
+    placed = sources.join(long.select(key).distinct(), key, "left_semi").select(key, F.posexplode(grams(F.col("folded"))).alias("pos", "gram"))
+    hits = placed.join(long.select(key, "quote"), key).join(own, ["quote", "gram"])
     after = F.lead("pos").over(Window.partitionBy(key, "quote", "i").orderBy("pos"))
     spans = hits.select(key, "quote", "n_grams", "pos", F.least(F.col("pos") + F.col("width") + 1, after).alias("end"))
     ends = spans.select(key, "quote", "n_grams", F.explode(F.array(F.struct(F.col("pos").cast("long").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").cast("long").alias("at"), F.lit(-1).alias("step")))).alias("e"))
     steps = ends.groupBy(key, "quote", "n_grams", F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step"))
     depth = F.sum("step").over(Window.partitionBy(key, "quote").orderBy("at"))
     best = steps.withColumn("depth", depth).groupBy(key, "quote", "n_grams").agg(F.max("depth").alias("best"))
-    out = _scored(best, key, least)
-    # Quotes of one or two grams are contained or not; shorter ones have no content.
-    candidates = pairs.join(short, "quote") if pairs is not None else None
-    if candidates is not None:
-        told = candidates.join(sources.select(key, "folded"), key)
-        inside = F.col("folded").contains(F.col("folded_quote"))
-        few = told.select(
-            key, "quote",
-            F.when((F.col("length") >= GRAM) & inside, 1.0).otherwise(0.0).alias("score"),
-            F.when(F.col("length") < GRAM, "no content").when(inside, "contained").otherwise("absent").alias("where"),
-        )
-        found = out.unionByName(few)
-        rest = pairs.join(found, [key, "quote"], "left")
-        return rest.select(key, "quote", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("where", F.lit("no hit")).alias("where"))
-    return out
+    # Short quotes whose grams the source has: whether they stand there in a row.
+    short = bound.where(F.col("n_grams") <= CONTAINED).select(key, "quote", "n_grams").join(quotes.select("quote", "folded_quote"), "quote").join(sources.select(key, "folded"), key)
+    inside = short.where(F.col("folded").contains(F.col("folded_quote"))).select(key, "quote", "n_grams", F.col("n_grams").cast("long").alias("best"))
+    out = _scored(best.unionByName(inside), key, least)
+    if pairs is None:
+        return out
+    rest = pairs.join(out, [key, "quote"], "left").join(quotes.select("quote", "length", "n_grams"), "quote")
+    none = F.when(F.col("length") < GRAM, "no content").when(F.col("n_grams") <= CONTAINED, "absent").otherwise("no hit")
+    return rest.select(key, "quote", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("where", none).alias("where"))
 
 
 def verify_quotes(scores: DataFrame) -> DataFrame:

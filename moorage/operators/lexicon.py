@@ -8,10 +8,12 @@ are then filled in the order of their budget until the target is reached.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hangul import similarity, typo_variants
+from ..functions.hangul import letter_classes, may_reach, similarity, typo_variants
 from ..functions.normalize import normalize_token, tokenize
 
 # Endings, heads, affixes and budgets of the rules.
@@ -26,19 +28,14 @@ GENERATION = ["seed", "variant", "collo", "abbr", "affix-stem", "affix", "infl",
 TARGET, TYPOS = 10_000, 14
 FUZZY, FUZZY_TERM = 0.86, 0.88
 
-#: Our own seeds: head and members of clusters; slang, spellings and abbreviations with what they stand for.
-CLUSTERS = {
-    "개선": "향상 고도화 최적화 보완 개량", "감소": "단축 절감 축소 저감", "증가": "상승 확대 증대 성장세", "달성": "성취 도달 완수", "해결": "해소 타개 극복",
-    "기여": "공헌 이바지", "수상": "입상 시상", "담당": "전담 책임 맡음", "주도": "리드 견인 총괄", "참여": "참가 동참", "협업": "공동작업 협력 팀워크",
-    "소통": "커뮤니케이션 의사소통", "기획": "플래닝 구상", "개발": "구현 제작 코딩", "운영": "관리 유지", "분석": "조사 해석 리서치", "발표": "프레젠테이션 피칭",
-    "교육": "연수 훈련", "검증": "테스트 확인 점검", "학습": "공부 습득", "배포": "릴리스 출시", "자동화": "오토메이션", "계획": "일정 로드맵", "목표": "지향점 골",
-    "프로젝트": "과제 사업", "회사": "기업 직장", "고객": "사용자 유저 이용자", "데이터": "자료 정보", "성과": "실적 결과물", "문제": "이슈 장애 결함",
-    "인정": "승인 평가 호평", "보조": "지원 어시스트 거들기 도움", "조율": "조정 중재 협의 타협", "리뷰": "검토 피드백 감수 첨삭", "대응": "응대 조치 처리 수습", "예방": "방지 차단 대비 사전점검", "회고": "성찰 되돌아보기 복기",
-    "성장": "발전 진보 도약 레벨업", "봉사": "자원봉사 나눔 재능기부", "주최": "개최 주관 진행", "실패": "좌절 낙방 실수 시행착오", "시작": "착수 개시 출범 입문", "종료": "완료 마무리 끝맺음 폐막", "마감": "기한 데드라인 제출일", "동기": "이유 계기 의도",
-    "설계": "아키텍처 구조화 모델링", "연구": "탐구 실험 고찰", "보고서": "리포트 결과서 문서", "회의": "미팅 모임 논의", "팀": "조직 부서 그룹", "역할": "책무 포지션 임무", "기술": "스킬 역량 노하우", "경험": "체험 이력 경력",
-    "효과": "영향 파급력 임팩트", "전략": "방안 접근법 대책", "시장": "업계 마켓 산업", "마케팅": "홍보 광고 프로모션", "디자인": "시안 비주얼 그래픽", "품질": "퀄리티 완성도", "속도": "성능 응답시간 처리량", "비용": "예산 지출 경비",
-    "오류": "버그 에러 결점", "사이트": "웹페이지 홈페이지", "화면": "인터페이스 레이아웃", "수업": "강의 강좌 세미나", "시험": "평가시험 고사", "여행": "탐방 답사 출장", "건강": "체력 컨디션 웰빙", "독서": "책읽기 서평",
-    "콘텐츠": "게시물", "주문": "발주 오더", "서비스": "제품 플랫폼", "매출": "수익 판매액", "지표": "수치 메트릭",
+#: Small seeds of our own, for a start and for tests; ``load_seeds`` reads larger ones from a file. Heads with their members; every head of the rules stands for itself.
+CLUSTERS = {h: "" for h in HEADS} | {
+    "시작": "첫걸음 첫발", "종료": "끝내기", "소통": "대화나눔", "봉사": "일손돕기 이웃돕기", "회고": "돌아봄", "계획": "짜임새", "프로젝트": "팀과업", "콘텐츠": "읽을거리 볼거리",
+    "요리": "조리 밥짓기 음식준비", "식당": "음식점 밥집 한식집", "날씨": "기상 일기예보", "자전거": "두바퀴 바이크", "기차": "열차 급행열차", "버스": "시내버스 마을버스", "산책": "걷기 나들이 소풍",
+    "청소": "정돈 쓸기 닦기", "빨래": "세탁 손빨래", "장보기": "마트방문 식료품구매", "정원": "화단 텃밭", "책장": "서가 책꽂이", "의자": "걸상 좌석", "이웃": "옆집 동네사람", "아침": "새벽녘 오전", "저녁": "해질녘 초저녁",
+    "병원": "의원 보건소", "약국": "조제실", "우체국": "우편취급국", "은행": "금융창구", "도서관": "열람실 책마루", "박물관": "전시관 기념관", "바다": "해변 바닷가", "산": "봉우리 산등성이", "강": "하천 물줄기",
+    "고양이": "길냥이 반려묘", "강아지": "반려견 멍멍이", "사진": "스냅 인물사진", "노래": "가창 합창", "그림": "회화 스케치", "춤": "무용 안무", "축구": "풋살", "수영": "물놀이 자유형", "달리기": "조깅 마라톤",
+    "봄": "새봄 초봄", "여름": "한여름 초여름", "가을": "늦가을", "겨울": "한겨울", "커피": "원두커피 라테", "차": "녹차 홍차", "우유": "저지방우유", "과일": "사과 복숭아", "채소": "상추 시금치",
 }
 SPELLINGS = {"컨텐츠": "콘텐츠", "메세지": "메시지", "어플리케이션": "애플리케이션", "리더쉽": "리더십", "프리젠테이션": "프레젠테이션", "워크샵": "워크숍", "스케쥴": "스케줄"}
 SLANG = {"캐리하다": "주도", "캐리": "주도", "갈아넣다": "집중투입", "빌드업": "준비", "떡상": "증가", "떡락": "감소", "존버": "지속"}
@@ -55,11 +52,22 @@ OFTEN_MISTYPED = (
 ).split()
 
 
-def seed_tables(spark: SparkSession) -> dict[str, DataFrame]:
+SEEDS: dict = {"clusters": CLUSTERS, "spellings": SPELLINGS, "slang": SLANG, "short": SHORT, "mistyped": OFTEN_MISTYPED}
+
+
+def load_seeds(path: str) -> dict:
+    """Seeds from a JSON file in the form of SEEDS: clusters {head: "member member"}, spellings, slang, short {surface: stands for}, mistyped [word]. What is missing is empty."""
+    with open(path, encoding="utf-8") as f:
+        return {"clusters": {}, "spellings": {}, "slang": {}, "short": {}, "mistyped": []} | json.load(f)
+
+
+def seed_tables(spark: SparkSession, seeds: dict = SEEDS) -> dict[str, DataFrame]:
     """The seeds as tables with their order: clusters (head, member), spellings, slang and short (surface, stands)."""
-    members = [(n, head, m) for n, (head, m) in enumerate((h, m) for h, ms in CLUSTERS.items() for m in [h, *ms.split()])]
-    pairs = lambda d: [(n, a, b) for n, (a, b) in enumerate(d.items())]
-    return {"clusters": spark.createDataFrame(members, "n int, head string, member string")} | {"mistyped": spark.createDataFrame(list(enumerate(OFTEN_MISTYPED)), "n int, word string")} | {name: spark.createDataFrame(pairs(d), "n int, surface string, stands string") for name, d in (("spellings", SPELLINGS), ("slang", SLANG), ("short", SHORT))}
+    members = [(n, head, m) for n, (head, m) in enumerate((h, m) for h, ms in seeds["clusters"].items() for m in [h, *ms.split()])]
+    tables = {"clusters": spark.createDataFrame(members, "n int, head string, member string"), "mistyped": spark.createDataFrame(list(enumerate(seeds["mistyped"])), "n int, word string")}
+    for name in ("spellings", "slang", "short"):
+        tables[name] = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(seeds[name].items())], "n int, surface string, stands string")
+    return tables
 
 
 def _words(spark: SparkSession, words: list[str], name: str) -> DataFrame:
@@ -171,7 +179,8 @@ def with_canon(tokens: DataFrame, lexicon: DataFrame, token: str = "token") -> D
 def fuzzy_canon(tokens: DataFrame, lexicon: DataFrame, token: str = "token", threshold: float = FUZZY) -> DataFrame:
     """Token, canon, score: the most similar surface of a length one off at most.
 
-    Lengths are an equi-join on three offsets. Of equally similar ones the
+    Lengths are an equi-join on three offsets; of these pairs the ones that can
+    reach the threshold get their weighted distance. Of equally similar ones the
     shorter, then the earlier surface in order of name. Below the threshold the
     normalised token with score 0.
     """
@@ -179,7 +188,8 @@ def fuzzy_canon(tokens: DataFrame, lexicon: DataFrame, token: str = "token", thr
     exact = asked.join(F.broadcast(lexicon), F.col("_t") == F.col("surface"), "left")
     hit = exact.where("surface IS NOT NULL").select(token, "canon", F.lit(1.0).alias("score"))
     rest = exact.where("surface IS NULL").select(token, "_t", F.explode(F.array(*[F.length("_t") + d for d in (-1, 0, 1)])).alias("len"))
-    near = rest.join(lexicon, "len").withColumn("_s", similarity(F.col("_t"), F.col("surface")))
+    lettered = rest.withColumn("_l", letter_classes(F.col("_t"))).join(lexicon.withColumn("_m", letter_classes(F.col("surface"))), "len")
+    near = lettered.where(may_reach(F.col("_l"), F.col("_m"), threshold)).withColumn("_s", similarity(F.col("_t"), F.col("surface")))
     best = near.groupBy(token, "_t").agg(F.min_by(F.struct("canon", "_s"), F.struct(-F.col("_s"), "len", "surface")).alias("m"))
     told = rest.select(token, "_t").distinct().join(best.select(token, "m"), token, "left")
     ok = F.coalesce(F.col("m._s"), F.lit(0.0)) >= threshold
@@ -220,7 +230,8 @@ def checked_terms(claims: DataFrame, sources: DataFrame, tokens: DataFrame, lexi
     words = expanded(rest2, lexicon, clusters, "term")
     meant = rest2.join(words, "term").join(canons, [key, "word"], "left_semi").select(key, "term").distinct()
     rest3 = rest2.join(meant, [key, "term"], "left_anti")
-    offsets = rest3.withColumn("len", F.explode(F.array(*[F.length(t) + d for d in range(-2, 3)])))
-    near = offsets.join(tokens.withColumn("len", F.length("token")), [key, "len"]).where(similarity(t, F.col("token")) >= threshold).select(key, "term").distinct()
+    offsets = rest3.withColumn("_l", letter_classes(t)).withColumn("len", F.explode(F.array(*[F.length(t) + d for d in range(-2, 3)])))
+    lettered = offsets.join(tokens.withColumns({"len": F.length("token"), "_m": letter_classes(F.col("token"))}), [key, "len"]).where(may_reach(F.col("_l"), F.col("_m"), threshold))
+    near = lettered.where(similarity(t, F.col("token")) >= threshold).select(key, "term").distinct()
     found = trivial.union(as_token).union(inside).union(meant).union(near).distinct().withColumn("found", F.lit(True))
     return claims.join(found, [key, "term"], "left").withColumn("found", F.coalesce("found", F.lit(False)))

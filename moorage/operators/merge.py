@@ -1,4 +1,4 @@
-"""Several drafts of a form as one."""
+"""Several drafts of a form as one (A08-A11, R04, W02). Tables hold the drafts of many forms, by form_id."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ CLOSE_SCORES, MOST_CONFLICTS = 0.25, 12
 def field_scores(values: DataFrame) -> DataFrame:
     """``values`` with score.
 
-    ``values``: one row for each draft and field, with kind, value (text or
+    ``values``: one row for each form, draft and field, with kind, value (text or
     JSON; null or blank: empty), quote_scores (array), n_numbers, n_good (those
     that are literal or derived), filled_rows (of a repeater). An empty value
     scores -1.
@@ -36,33 +36,45 @@ def field_scores(values: DataFrame) -> DataFrame:
 
 
 def best_values(scored: DataFrame) -> DataFrame:
-    """Key, value, draft_id, score of the best draft of each field; the earlier draft wins a tie; empty fields are null."""
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "draft_id"))
+    """form_id, key, kind, value, draft_id, score of the best draft of each field of a form; the earlier draft wins a tie; empty fields are null."""
+    nth = F.row_number().over(Window.partitionBy("form_id", "key").orderBy(F.desc("score"), "draft_id"))
     best = scored.withColumn("_nth", nth).where("_nth = 1")
-    return best.select("key", "kind", F.when(F.col("score") >= 0, F.col("value")).when(F.length(F.trim(F.coalesce("value", F.lit("")))) > 0, F.col("value")).alias("value"), "draft_id", "score")
+    return best.select("form_id", "key", "kind", F.when(F.col("score") >= 0, F.col("value")).when(F.length(F.trim(F.coalesce("value", F.lit("")))) > 0, F.col("value")).alias("value"), "draft_id", "score")
 
 
 def merge_conflicts(scored: DataFrame) -> DataFrame:
-    """Key, a, b: fields whose best draft meets another value of nearly its score. Repeaters are merged and don't conflict."""
+    """form_id, key, a, b: fields whose best draft meets another value of nearly its score. Repeaters are merged and don't conflict."""
     full = scored.where((F.length(F.trim(F.coalesce("value", F.lit("")))) > 0) & (F.col("kind") != "repeater"))
-    best = best_values(full).select("key", F.col("value").alias("a"), F.col("score").alias("_best"))
-    others = full.join(best, "key").where(F.col("value") != F.col("a"))
-    second = others.groupBy("key", "a", "_best").agg(F.min_by(F.struct("value", "score"), F.struct(-F.col("score"), "draft_id")).alias("m"))
-    return second.where(F.abs(F.col("m.score") - F.col("_best")) < CLOSE_SCORES).select("key", "a", F.col("m.value").alias("b"))
+    best = best_values(full).select("form_id", "key", F.col("value").alias("a"), F.col("score").alias("_best"))
+    others = full.join(best, ["form_id", "key"]).where(F.col("value") != F.col("a"))
+    second = others.groupBy("form_id", "key", "a", "_best").agg(F.min_by(F.struct("value", "score"), F.struct(-F.col("score"), "draft_id")).alias("m"))
+    return second.where(F.abs(F.col("m.score") - F.col("_best")) < CLOSE_SCORES).select("form_id", "key", "a", F.col("m.value").alias("b"))
 
 
 def arbitrated(conflicts: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Key, value after decisions (key, choice, merged) on the first conflicts: A, B, merged or neither (null)."""
-    first = conflicts.orderBy("key").limit(MOST_CONFLICTS)
-    told = first.join(decisions, "key", "left")
-    value = F.when(F.col("choice") == "B", F.col("b")).when(F.col("choice") == "merged", F.col("merged")).when(F.col("choice") == "neither", F.lit(None).cast("string")).otherwise(F.col("a"))
-    return told.select("key", value.alias("value"))
+    """form_id, key, value after decisions (form_id, key, choice, merged) on each form's first conflicts: A, B, merged or neither (null).
+
+    Conflicts without a decision, and those beyond the first, keep the best draft's value.
+    """
+    nth = F.row_number().over(Window.partitionBy("form_id").orderBy("key"))
+    told = conflicts.withColumn("_nth", nth).join(decisions, ["form_id", "key"], "left")
+    choice = F.when(F.col("_nth") <= MOST_CONFLICTS, F.col("choice"))
+    value = F.when(choice == "B", F.col("b")).when(choice == "merged", F.col("merged")).when(choice == "neither", F.lit(None).cast("string")).otherwise(F.col("a"))
+    return told.select("form_id", "key", value.alias("value"))
+
+
+def decided_by_rule(conflicts: DataFrame, sources: DataFrame) -> DataFrame:
+    """A11 without a model: form_id, key, choice, merged: the value that the form's source (form_id, folded) holds, A if both or neither do."""
+    inside = lambda v: (F.length(fold(F.col(v))) > 0) & F.col("folded").contains(fold(F.col(v)))
+    told = conflicts.join(sources.select("form_id", "folded"), "form_id", "left")
+    choice = F.when(inside("b") & ~F.coalesce(inside("a"), F.lit(False)), F.lit("B")).otherwise(F.lit("A"))
+    return told.select("form_id", "key", choice.alias("choice"), F.lit(None).cast("string").alias("merged"))
 
 
 def merged_rows(cells: DataFrame) -> DataFrame:
-    """A10: field, row_key, column, value of the rows of repeaters, merged over drafts.
+    """A10: form_id, field, row_key, column, value of the rows of repeaters, merged over a form's drafts.
 
-    ``cells``: field, rank (of the draft, best first), row, row_key (the text of
+    ``cells``: form_id, field, rank (of the draft, best first), row, row_key (the text of
     the row's key column), column, value. Rows of an equal folded key are one;
     rows without a key are dropped. A row with more filled cells replaces the
     ones before it, what they had is lost; other rows fill what is empty.
@@ -73,19 +85,19 @@ def merged_rows(cells: DataFrame) -> DataFrame:
     keyed = cells.withColumn("_k", fold(F.col("row_key"))).where(F.col("_k") != "")
     full = keyed.where(F.length(F.trim(F.coalesce("value", F.lit("")))) > 0)
     at = F.struct("rank", "row")
-    filled = full.groupBy("field", "_k", "rank", "row").agg(F.count("*").alias("n"))
-    lead = filled.groupBy("field", "_k").agg(F.min_by(at, F.struct(-F.col("n"), "rank", "row")).alias("lead"))
-    late = full.join(lead, ["field", "_k"]).where(at >= F.col("lead"))
-    return late.groupBy("field", F.col("_k").alias("row_key"), "column").agg(F.min_by("value", at).alias("value"))
+    filled = full.groupBy("form_id", "field", "_k", "rank", "row").agg(F.count("*").alias("n"))
+    lead = filled.groupBy("form_id", "field", "_k").agg(F.min_by(at, F.struct(-F.col("n"), "rank", "row")).alias("lead"))
+    late = full.join(lead, ["form_id", "field", "_k"]).where(at >= F.col("lead"))
+    return late.groupBy("form_id", "field", F.col("_k").alias("row_key"), "column").agg(F.min_by("value", at).alias("value"))
 
 
 def unfilled(gaps: DataFrame, merged: DataFrame) -> DataFrame:
-    """Reasons (path, label, reason, ord) of fields that are empty after the merge, the first of each path."""
-    nth = F.row_number().over(Window.partitionBy("path").orderBy("ord"))
+    """Reasons (form_id, path, label, reason, ord) of fields that are empty after the merge, the first of each path of a form."""
+    nth = F.row_number().over(Window.partitionBy("form_id", "path").orderBy("ord"))
     root = F.regexp_extract("path", r"^([^.\[]+)", 1)
     first = gaps.withColumn("_nth", nth).where("_nth = 1").drop("_nth").withColumn("_root", root)
-    held = merged.where(F.length(F.trim(F.coalesce("value", F.lit("")))) > 0).select(F.col("key").alias("_root"))
-    return first.join(held, "_root", "left_anti").drop("_root")
+    held = merged.where(F.length(F.trim(F.coalesce("value", F.lit("")))) > 0).select("form_id", F.col("key").alias("_root"))
+    return first.join(held, ["form_id", "_root"], "left_anti").drop("_root")
 
 
 def numbers_of(value: Column) -> Column:

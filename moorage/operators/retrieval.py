@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import counted
+from ..session import cut_lineage
+
 K1, B = 1.4, 0.72
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """key, term, tf: counted before the shuffle and after it."""
-    return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """key, term, tf of each document, counted inside its row, so nothing is shuffled; ``docs`` has one row a key."""
+    return counted(docs, tokens, key).select(key, F.col("value").alias("term"), F.col("n").alias("tf"))
 
 
-def bm25_search(counts: DataFrame, keys: DataFrame, queries: DataFrame, key: str, top: int = 5, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_search(docs: DataFrame, key: str, tokens: Column, queries: DataFrame, top: int = 5, k1: float = K1, b: float = B) -> DataFrame:
     """query, key, score, rank: for each query its best documents.
 
-    ``counts`` are term_counts; ``keys`` lists all documents, those without
-    terms count as of length 1; ``queries`` has query and term, each pair once.
-    Documents without a common term have no row; ties go by key.
+    ``docs`` has one row a key; documents without terms count as of length 1.
+    ``queries`` has query and term, each pair once. Documents without a common
+    term have no row; ties go by key. Texts are tokenised once: what is written
+    is each document's length and its counts of terms that are asked for.
     """
-    lengths = counts.groupBy(key).agg(F.sum("tf").alias("dl"))
-    sized = keys.select(key).join(lengths, key, "left").select(key, F.coalesce("dl", F.lit(1)).alias("dl"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
+    asked = queries.select("term").distinct().withColumn("_asked", F.lit(True))
+    sized = docs.select(key, tokens.alias("_tokens")).select(key, "_tokens", F.greatest(F.size("_tokens"), F.lit(1)).cast("long").alias("dl"))
+    # Each document has one row without a term, for its length.
+    listed = counted(sized, F.concat(F.array(F.lit("")), "_tokens"), key, "dl").join(asked, F.col("value") == F.col("term"), "left").where("value = '' OR _asked")
+    held = cut_lineage(listed.select(key, "dl", F.col("value").alias("term"), F.col("n").alias("tf")))
+    totals = held.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
+    counts = held.where("term <> ''")
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    # The queries' terms prune the postings before anything else is joined.
-    asked = queries.join(frequency, "term")
-    hits = counts.join(asked, "term").join(sized, key).crossJoin(F.broadcast(totals))  # totals: one row
+    hits = counts.join(queries.join(frequency, "term"), "term").crossJoin(F.broadcast(totals))  # totals: one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     scored = hits.groupBy("query", key).agg(F.sum(part).alias("score")).where("score > 0")

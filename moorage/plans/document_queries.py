@@ -67,8 +67,10 @@ def doc_fold_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_TOKENS} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_distinct FROM kept GROUP BY doc_id")
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N06, N08, R02, R11."""
-    tokens = _documents(spark, sf_dir).select("doc_id", N.tokenize(F.col("text")).alias("t")).where(F.size("t") > 0)
-    return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+    tokens = _documents(spark, sf_dir).select("doc_id", N.tokenize(F.col("text")).alias("t"))
+    # A list of none or one, not a filter, which would be pushed down and tokenise again.
+    counts = F.filter(F.array(F.struct(F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))), lambda x: x["n_tokens"] > 0)
+    return tokens.select("doc_id", F.inline(counts))
 
 
 @query(f"WITH {_TOKENS} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM kept GROUP BY term ORDER BY n DESC, term LIMIT 100")
@@ -80,12 +82,11 @@ def token_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH f AS (SELECT doc_id, {FOLD_SQL} AS f FROM documents),
 g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(length(f) - 2, 1)), lambda i: substr(f, i, 4))) AS gram FROM f WHERE length(f) >= 4)
-SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS df FROM g GROUP BY gram HAVING count(DISTINCT doc_id) >= 20""")
+SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS df FROM g GROUP BY gram""")
 def doc_ngrams4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grams that at least twenty documents have."""
-    folded = _documents(spark, sf_dir).select("doc_id", N.fold(F.col("text")).alias("f")).where(F.length("f") >= 4)
-    each = folded.select("doc_id", F.explode(N.grams(F.col("f"))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    return each.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("df")).where("df >= 20")
+    """All grams, how often and in how many documents they are."""
+    folded = _documents(spark, sf_dir).select(N.fold(F.col("text")).alias("f"))
+    return N.counted(folded, F.when(F.length("f") >= 4, N.grams(F.col("f")))).groupBy(F.col("value").alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("df"))
 
 
 _NUMBERS = rf"""found AS (SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(N.NUMBER)}, 1)) AS raw FROM documents),
@@ -120,22 +121,27 @@ def number_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.classify_numbers(claims, numbers, "doc_id").select("doc_id", "raw", "kind")
 
 
+#: Asked beside the benchmark's texts: quotes of fewer grams than are scored, and one without content.
+SHORT_QUOTES = [(-1, "term"), (-2, "unter"), (-3, "Les "), (-4, "ab"), (-5, "de la")]
+
 _QUOTES = f"""d AS (SELECT doc_id, {FOLD_SQL} AS f FROM documents),
-q AS (SELECT item_id, f, length(f) AS len, length(f) - 3 AS n, (length(f) * 18) // 10 + 40 AS w FROM (SELECT item_id, {FOLD_SQL} AS f FROM benchmark) WHERE length(f) >= 6),
+q AS (SELECT item_id, f, length(f) AS len, length(f) - 3 AS n, (length(f) * 18) // 10 + 40 AS w FROM (SELECT item_id, {FOLD_SQL} AS f FROM (SELECT item_id, text FROM benchmark UNION ALL VALUES {', '.join(f"({i}, {_quoted(t)})" for i, t in SHORT_QUOTES)})) WHERE length(f) >= 4),
 qg AS (SELECT item_id, n, w, unnest(range(0, n)) AS i, unnest(list_transform(range(1, n + 1), lambda i: substr(f, i, 4))) AS gram FROM q),
 dg AS (SELECT doc_id, unnest(range(0, length(f) - 3)) AS pos, unnest(list_transform(range(1, length(f) - 2), lambda i: substr(f, i, 4))) AS gram FROM d WHERE length(f) >= 4),
 dd AS (SELECT DISTINCT doc_id, gram FROM dg),
 bound AS (SELECT doc_id, item_id FROM dd JOIN qg USING (gram) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.55 * n),
-hits AS (SELECT b.doc_id, b.item_id, pos, i, n, w FROM bound b JOIN dg USING (doc_id) JOIN qg ON qg.item_id = b.item_id AND qg.gram = dg.gram),
+short AS (SELECT doc_id, item_id, q.n FROM d JOIN q ON q.n <= 2 AND contains(d.f, q.f)),
+hits AS (SELECT b.doc_id, b.item_id, pos, i, n, w FROM bound b JOIN dg USING (doc_id) JOIN qg ON qg.item_id = b.item_id AND qg.gram = dg.gram WHERE qg.n > 2),
 win AS (SELECT doc_id, item_id, n, count(DISTINCT i) OVER (PARTITION BY doc_id, item_id ORDER BY pos RANGE BETWEEN w PRECEDING AND CURRENT ROW) AS c FROM hits),
-best AS (SELECT doc_id, item_id, max(c) / CAST(n AS DOUBLE) AS s FROM win GROUP BY doc_id, item_id, n)"""
+best AS (SELECT doc_id, item_id, max(c) / CAST(n AS DOUBLE) AS s FROM win GROUP BY doc_id, item_id, n UNION ALL SELECT doc_id, item_id, 1.0 FROM short)"""
 
 
 @query(f"WITH {_QUOTES} SELECT doc_id, item_id AS quote, round(s, 3) AS score, CASE WHEN s >= 0.85 THEN 'grounded' ELSE 'weak' END AS verdict FROM best WHERE s >= 0.55")
 def quote_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark text as a quote against every document; ungrounded pairs are left out."""
-    sources = grounding.folded_sources(_documents(spark, sf_dir), "doc_id").persist()
-    quotes = grounding.quote_table(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    """Every benchmark text, and some short ones, as a quote against every document; ungrounded pairs are left out."""
+    sources = grounding.folded_sources(_documents(spark, sf_dir), "doc_id")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(spark.createDataFrame(SHORT_QUOTES, "item_id long, text string"))
+    quotes = grounding.quote_table(asked, "item_id", "text")
     return grounding.verify_quotes(grounding.score_quotes(sources, quotes, "doc_id", least=grounding.WEAK)).select("doc_id", "quote", "score", "verdict")
 
 
@@ -158,9 +164,8 @@ SELECT item_id AS query, doc_id, round(s, 6) AS score, rank FROM r WHERE rank <=
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents for each benchmark text."""
     docs = _documents(spark, sf_dir)
-    counts = retrieval.term_counts(docs, "doc_id", N.tokenize(F.col("text"))).persist()
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(N.tokenize(F.col("text"))).alias("term")).distinct()
-    best = retrieval.bm25_search(counts, docs, asked, "doc_id")
+    best = retrieval.bm25_search(docs, "doc_id", N.tokenize(F.col("text")), asked)
     return best.select("query", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

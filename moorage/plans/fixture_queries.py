@@ -9,6 +9,7 @@ from ..functions import formats, hangul
 from ..functions import normalize as N
 from ..operators import agents, evidence, lexicon, merge, ocr, schema, validation
 from ..sources import kinds
+from . import rule_sql
 from .document_queries import CLEAN_SQL
 
 QUERIES, SQL = {}, {}
@@ -78,16 +79,17 @@ def jamo_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS = Fixture("a string, b string", [("개선", "게선"), ("개선", "향상"), ("프로젝트", "프로젝드"), ("", ""), ("가", ""), ("했다", "하다"), ("abc", "abd"), ("콘텐츠", "컨텐츠")])
 
 
-@query()
+@query(f"""WITH RECURSIVE pairs AS (SELECT * FROM {PAIRS.sql('t')}), {rule_sql.distances('pairs', 'far')}
+SELECT a, b, CASE WHEN longest = 0 THEN 1.0 ELSE round(greatest(0, 1 - d / longest), 6) END AS similarity, CAST(round(d, 6) AS DOUBLE) AS distance FROM far""")
 def jamo_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N12-N14; held against a plain version in the tests."""
+    """N12-N14."""
     p = PAIRS.df(spark)
     return p.select("a", "b", F.round(hangul.similarity(F.col("a"), F.col("b")), 6).alias("similarity"), F.round(hangul.weighted_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
-@query()
+@query(f"WITH src AS (SELECT w AS word FROM {WORDS.sql('t')}), {rule_sql.typos('src', 'wrong', 6)} SELECT word AS w, CAST(t AS INTEGER) AS n, variant FROM wrong")
 def typo_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N15; held against a plain version in the tests."""
+    """N15."""
     return WORDS.df(spark).select("w", F.posexplode(hangul.typo_variants(F.col("w"))).alias("n", "variant"))
 
 
@@ -198,11 +200,22 @@ def office_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return XML.df(spark).select("id", formats.ooxml_to_text(F.col("xml")).alias("office"), formats.hwpx_to_text(F.col("xml")).alias("hwpx"))
 
 
-@query()
+NOTEBOOKS = Fixture("id int, raw string", [
+    (1, '{"cells": [{"cell_type": "markdown", "source": ["# T\\n", "x"]}, {"cell_type": "code", "source": "1+1", "outputs": [{"text": ["2"]}, {"data": {"text/plain": "two"}}]}]}'), (2, "not json"), (3, '{"cells": []}'),
+    (4, '{"cells": [{"cell_type": "raw", "source": "left out"}, {"cell_type": "code", "source": ["a\\n", "b"], "outputs": [{"text": ""}, {"data": {"image/png": "x"}}]}, {"cell_type": "markdown", "source": "last"}]}'),
+])
+_JOINED = lambda x: f"CASE WHEN json_type({x}) = 'ARRAY' THEN array_to_string(from_json({x}, '[\"VARCHAR\"]'), '') ELSE coalesce({x} ->> '$', '') END"
+
+
+@query(f"""WITH n AS (SELECT id, raw, json_valid(raw) AS ok FROM {NOTEBOOKS.sql('t')}), c AS (SELECT id, k, json_extract(raw, '$.cells[' || k || ']') AS c FROM (SELECT id, raw, unnest(range(CAST(json_array_length(raw, '$.cells') AS BIGINT))) AS k FROM n WHERE ok)),
+o AS (SELECT id, k, j, json_extract(c, '$.outputs[' || j || ']') AS o FROM (SELECT id, k, c, unnest(range(CAST(coalesce(json_array_length(c, '$.outputs'), 0) AS BIGINT))) AS j FROM c WHERE c ->> '$.cell_type' = 'code')),
+said AS (SELECT id, k, j, coalesce(json_extract(o, '$.text'), json_extract(o, '$.data."text/plain"')) AS x FROM o), shown AS (SELECT id, k, j + 1 AS j, {_JOINED('x')} AS t FROM said),
+parts AS (SELECT id, k, 0 AS j, CASE WHEN c ->> '$.cell_type' = 'code' THEN '```' || chr(10) || {_JOINED("json_extract(c, '$.source')")} || chr(10) || '```' ELSE {_JOINED("json_extract(c, '$.source')")} END AS part FROM c WHERE c ->> '$.cell_type' IN ('code', 'markdown')
+ UNION ALL SELECT id, k, j, '출력: ' || substr(t, 1, {formats.OUTPUT_CHARS}) FROM shown WHERE t <> '')
+SELECT n.id, CASE WHEN ok THEN coalesce((SELECT string_agg(part, chr(10) || chr(10) ORDER BY k, j) FROM parts p WHERE p.id = n.id), '') ELSE raw END AS out FROM n""")
 def notebook_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S14; its expected text is in the tests."""
-    raw = '{"cells": [{"cell_type": "markdown", "source": ["# T\\n", "x"]}, {"cell_type": "code", "source": "1+1", "outputs": [{"text": ["2"]}, {"data": {"text/plain": "two"}}]}]}'
-    return spark.createDataFrame([(1, raw), (2, "not json")], "id int, raw string").select("id", formats.notebook_to_text(F.col("raw")).alias("out"))
+    """S14."""
+    return NOTEBOOKS.df(spark).select("id", formats.notebook_to_text(F.col("raw")).alias("out"))
 
 
 READS = Fixture("id int, a string, b string", [(1, "안녕하세요 반갑습니다", "안녕하세요, 반갑습니다!"), (2, "abcd", "abce"), (3, "", "x"), (4, "aaaa", "aa"), (5, "«불명» 하나", "하나"), (6, "a", "b")])
@@ -225,9 +238,19 @@ ENGINES = Fixture("image int, engine string, is_primary boolean, text string, re
 ])
 
 
-@query()
+@query(f"""WITH e AS (SELECT image, engine, is_primary, coalesce(CAST(text AS VARCHAR), '') AS text, CAST(reported AS DOUBLE) AS reported, CAST(height AS INTEGER) AS height FROM {ENGINES.sql('t')}),
+u AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY length(text) DESC, engine) AS nth, count(*) OVER (PARTITION BY image) AS n, max(reported) OVER (PARTITION BY image) AS told FROM e WHERE NOT is_primary AND length(text) > {ocr.USABLE} AND text <> {_lit(ocr.NO_TEXT)}),
+m AS (SELECT e.image, e.height, coalesce(u.n, 0) AS n, u.told, e.text IN ('', {_lit(ocr.NO_TEXT)}) AND u.image IS NOT NULL AS other, CASE WHEN other THEN u.engine ELSE e.engine END AS engine, CASE WHEN other THEN u.text ELSE e.text END AS best, CASE WHEN other THEN u.reported ELSE e.reported END AS own FROM e LEFT JOIN u ON u.image = e.image AND u.nth = 1 WHERE e.is_primary),
+p AS (SELECT u.image, u.engine, {_NORM('m.best')} AS x, {_NORM('u.text')} AS y FROM u JOIN m USING (image)),
+gx AS (SELECT image, engine, g, count(*) AS n FROM (SELECT image, engine, unnest(list_transform(range(1, length(x)), lambda i: substr(x, i, 2))) AS g FROM p) GROUP BY ALL),
+gy AS (SELECT image, engine, g, count(*) AS n FROM (SELECT image, engine, unnest(list_transform(range(1, length(y)), lambda i: substr(y, i, 2))) AS g FROM p) GROUP BY ALL),
+c AS (SELECT image, engine, sum(least(gx.n, gy.n)) AS c FROM gx JOIN gy USING (image, engine, g) GROUP BY ALL),
+d AS (SELECT image, max(CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN length(x) + length(y) > 2 THEN 2 * coalesce(c, 0) / CAST(length(x) + length(y) - 2 AS DOUBLE) ELSE 0.0 END) AS a FROM p LEFT JOIN c USING (image, engine) GROUP BY image),
+s AS (SELECT m.image, m.engine, height, n, CASE WHEN best = {_lit(ocr.NO_TEXT)} THEN '' ELSE best END AS text, coalesce(a, 0) AS a, CASE WHEN n > 0 THEN 0.55 + 0.4 * coalesce(a, 0) ELSE 0.62 END AS base, greatest(own, told) AS told FROM m LEFT JOIN d USING (image))
+SELECT image, engine, text, CAST(round(a, 6) AS DOUBLE) AS agreement, CASE WHEN text = '' THEN 0.0 ELSE CAST(round(greatest(0, least(1, CASE WHEN told IS NULL THEN base ELSE (base + told) / 2 END - 0.5 * least(1, len(regexp_extract_all(text, {_lit(ocr.UNKNOWN)})) / greatest(1, length(regexp_replace(text, '\\s+', '', 'g')) / 4.0)))), 6) AS DOUBLE) END AS confidence,
+ coalesce(height > {ocr.TILE}, false) OR (n > 0 AND a < {ocr.AGREED}) AS reread_wanted FROM s""")
 def ocr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O03, O04, R05; its expected values are in the tests."""
+    """O03, O04, R05."""
     out = ocr.consensus(ENGINES.df(spark))
     return out.select("image", "engine", "text", F.round("agreement", 6).alias("agreement"), F.round("confidence", 6).alias("confidence"), "reread_wanted")
 
@@ -258,40 +281,49 @@ def span_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.budgeted_spans(evidence.merged_spans(SPANS.df(spark), "doc"), "doc", 400)
 
 
-@query()
+_LEXICON = rule_sql.lexicon_ctes()
+
+
+@query(f"WITH {_LEXICON} SELECT surface, canon, origin, len FROM words")
 def lexicon_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L01-L05, W06, W07; its invariants are in the tests."""
+    """L01-L05, W06, W07."""
     return lexicon.build_lexicon(spark)
 
 
-@query()
+@query(f"WITH {_LEXICON} SELECT origin, count(*) AS entries FROM words GROUP BY origin")
 def lexicon_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L07, R10."""
     return lexicon.stats(lexicon.build_lexicon(spark))
 
 
-@query()
+@query(f"WITH {_LEXICON} SELECT surface, string_agg(DISTINCT canon, '|' ORDER BY canon) AS canons FROM made GROUP BY surface HAVING count(DISTINCT canon) > 1")
 def lexicon_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L06."""
-    return lexicon.conflicts(spark)
+    return lexicon.conflicts(spark).withColumn("canons", F.array_join("canons", "|"))
 
 
-TOKENS = Fixture("token string", [(t,) for t in ["향상", "고도화했습니다", "컨텐츠", "프로젝드", "없는단어임다", "API", "게선"]])
+TOKENS = Fixture("token string", [(t,) for t in ["첫걸음", "끝내기했습니다", "컨텐츠", "프로젝드", "없는단어임다", "API", "게선", "조깅", "효율화"]])
 
 
-@query()
+_NAMED = f"{_LEXICON}, tokens AS (SELECT * FROM {TOKENS.sql('t')}), {rule_sql.canon_ctes('tokens')}"
+
+
+@query(f"WITH {_NAMED} SELECT token, canon FROM named")
 def canonical_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L09, J02."""
     return lexicon.with_canon(TOKENS.df(spark), lexicon.build_lexicon(spark))
 
 
-@query()
+@query(f"WITH {_NAMED}, e AS (SELECT token, canon AS word FROM named UNION SELECT token, t FROM named UNION SELECT token, surface FROM named JOIN words USING (canon) UNION SELECT token, member FROM named JOIN clusters ON head = canon) SELECT * FROM e WHERE word <> ''")
 def expand_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L08, L11, U02."""
     return lexicon.expanded(TOKENS.df(spark), lexicon.build_lexicon(spark), lexicon.seed_tables(spark)["clusters"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NAMED}, asked AS (SELECT token, t, w.canon FROM named n LEFT JOIN words w ON w.surface = n.t),
+pairs AS (SELECT DISTINCT t AS a, w.surface AS b FROM asked JOIN words w ON w.len BETWEEN length(t) - 1 AND length(t) + 1 WHERE asked.canon IS NULL), {rule_sql.distances('pairs', 'far')},
+best AS (SELECT a AS t, canon, s FROM (SELECT a, w.canon, greatest(0, 1 - d / longest) AS s, row_number() OVER (PARTITION BY a ORDER BY 1 - d / longest DESC, w.len, w.surface) AS nth FROM far JOIN words w ON w.surface = far.b) WHERE nth = 1)
+SELECT token, CASE WHEN q.canon IS NOT NULL THEN q.canon WHEN s >= {lexicon.FUZZY} THEN best.canon ELSE t END AS canon, CASE WHEN q.canon IS NOT NULL THEN 1.0 WHEN s >= {lexicon.FUZZY} THEN round(s, 6) ELSE 0.0 END AS score FROM asked q LEFT JOIN best USING (t)""")
 def fuzzy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L10, J05."""
     out = lexicon.fuzzy_canon(TOKENS.df(spark), lexicon.build_lexicon(spark))
@@ -381,36 +413,70 @@ def term_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.term_claims(LEAVES.df(spark))
 
 
-DRAFTS = Fixture("key string, draft_id int, kind string, value string, quote_scores array<double>, n_numbers int, n_good int, filled_rows int", [
+_DRAFTS = [
     ("title", 0, "text", "가", [1.0], 0, 0, 0), ("title", 1, "text", "나", [0.9], 0, 0, 0), ("role", 0, "longtext", "a" * 40, None, 0, 0, 0), ("role", 1, "longtext", "b" * 40, None, 1, 0, 0),
     ("team", 0, "text", None, None, 0, 0, 0), ("team", 1, "text", "팀", None, 0, 0, 0), ("tasks", 0, "repeater", "[1]", None, 0, 0, 3), ("tasks", 1, "repeater", "[2]", [0.5, 0.7], 6, 6, 9), ("memo", 0, "longtext", "짧음", None, 0, 0, 0), ("memo", 1, "longtext", "짧음", None, 0, 0, 0), ("none", 0, "text", None, None, 0, 0, 0), ("none", 1, "text", "", None, 0, 0, 0),
+]
+#: Three forms of the same fields: as they are, with the drafts' values the other way round, and with a third draft and many close fields.
+DRAFTS = Fixture("form_id int, key string, draft_id int, kind string, value string, quote_scores array<double>, n_numbers int, n_good int, filled_rows int", [
+    *[(1, *r) for r in _DRAFTS], *[(2, r[0], 1 - r[1], *r[2:]) for r in _DRAFTS], *[(3, f"field{k:02}", d, "text", f"v{k}-{d}", [0.9 + d / 100], 0, 0, 0) for k in range(14) for d in range(3)],
 ])
 _SCORED = f"""s AS (SELECT *, CASE WHEN coalesce(trim(value), '') = '' THEN -1 ELSE CASE WHEN len(quote_scores) > 0 THEN 2 * list_avg(quote_scores) ELSE 0.8 END + least(0.8, 0.2 * n_good) - 1.2 * (n_numbers - n_good)
  + CASE WHEN kind = 'repeater' THEN least(1, 0.25 * filled_rows) WHEN kind = 'longtext' AND length(trim(value)) BETWEEN 30 AND 800 THEN 0.4 WHEN kind = 'longtext' AND length(trim(value)) < 15 THEN -0.4 ELSE 0 END END AS score FROM {DRAFTS.sql('t')}),
-b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, draft_id) AS nth FROM s)"""
+b AS (SELECT *, row_number() OVER (PARTITION BY form_id, key ORDER BY score DESC, draft_id) AS nth FROM s)"""
+_CONFLICTS = f"""{_SCORED}, f AS (SELECT * FROM b WHERE coalesce(trim(value), '') <> '' AND kind <> 'repeater'), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form_id, key ORDER BY score DESC, draft_id) AS n1 FROM f) WHERE n1 = 1),
+o AS (SELECT f.form_id, f.key, t.value AS a, f.value AS b, abs(f.score - t.score) AS gap, row_number() OVER (PARTITION BY f.form_id, f.key ORDER BY f.score DESC, f.draft_id) AS n2 FROM f JOIN t USING (form_id, key) WHERE f.value <> t.value), conflicts AS (SELECT form_id, key, a, b FROM o WHERE n2 = 1 AND gap < 0.25)"""
 
 
-@query(f"WITH {_SCORED} SELECT key, nullif(value, '') AS value, draft_id, CAST(round(score, 6) AS DOUBLE) AS score FROM b WHERE nth = 1")
+@query(f"WITH {_SCORED} SELECT form_id, key, nullif(value, '') AS value, draft_id, CAST(round(score, 6) AS DOUBLE) AS score FROM b WHERE nth = 1")
 def merge_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A08, A09, R04, W02."""
-    return merge.best_values(merge.field_scores(DRAFTS.df(spark))).select("key", "value", "draft_id", F.round("score", 6).alias("score"))
+    return merge.best_values(merge.field_scores(DRAFTS.df(spark))).select("form_id", "key", "value", "draft_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_SCORED}, f AS (SELECT * FROM b WHERE coalesce(trim(value), '') <> '' AND kind <> 'repeater'), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, draft_id) AS n1 FROM f) WHERE n1 = 1), o AS (SELECT f.key, t.value AS a, f.value AS b, abs(f.score - t.score) AS gap, row_number() OVER (PARTITION BY f.key ORDER BY f.score DESC, f.draft_id) AS n2 FROM f JOIN t USING (key) WHERE f.value <> t.value) SELECT key, a, b FROM o WHERE n2 = 1 AND gap < 0.25")
+@query(f"WITH {_CONFLICTS} SELECT * FROM conflicts")
 def merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A09."""
     return merge.merge_conflicts(merge.field_scores(DRAFTS.df(spark)))
 
 
-ROWS = Fixture("field string, rank int, row int, row_key string, column string, value string", [
+DECISIONS = Fixture("form_id int, key string, choice string, merged string", [(1, "title", "B", None), (2, "title", "neither", None), (3, "field00", "merged", "both"), (3, "field01", "A", None), (3, "field02", "B", None), (3, "field13", "B", None), (9, "field00", "B", None)])
+
+
+@query(f"WITH {_CONFLICTS}, n AS (SELECT *, row_number() OVER (PARTITION BY form_id ORDER BY key) AS nth FROM conflicts) SELECT n.form_id, n.key, CASE WHEN nth > 12 OR choice IS NULL OR choice = 'A' THEN a WHEN choice = 'B' THEN b WHEN choice = 'merged' THEN merged END AS value FROM n LEFT JOIN {DECISIONS.sql('d')} ON d.form_id = n.form_id AND d.key = n.key")
+def merge_arbitrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on each form's first twelve conflicts."""
+    return merge.arbitrated(merge_conflicts(spark, sf_dir), DECISIONS.df(spark))
+
+
+HELD = Fixture("form_id int, folded string", [(1, "가나다"), (2, "나라"), (3, "v00v11v22v132")])
+
+
+@query(f"WITH {_CONFLICTS} SELECT c.form_id, c.key, CASE WHEN contains(folded, lower(replace(b, '-', ''))) AND NOT contains(folded, lower(replace(a, '-', ''))) THEN 'B' ELSE 'A' END AS choice, CAST(NULL AS VARCHAR) AS merged FROM conflicts c LEFT JOIN {HELD.sql('h')} USING (form_id)")
+def merge_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11 without a model: what the source holds wins."""
+    return merge.decided_by_rule(merge_conflicts(spark, sf_dir), HELD.df(spark))
+
+
+MISSING = Fixture("form_id int, path string, label string, reason string, ord int", [(1, "title", "제목", "x", 0), (1, "none", "빈칸", "first", 1), (1, "none", "빈칸", "second", 2), (2, "none", "빈칸", "other", 0), (3, "none", "빈칸", "third", 0), (2, "tasks[0].name", "일", "row", 1)])
+
+
+@query(f"WITH {_SCORED}, h AS (SELECT form_id, key FROM b WHERE nth = 1 AND coalesce(trim(value), '') <> '') SELECT form_id, path, label, reason, ord FROM (SELECT *, row_number() OVER (PARTITION BY form_id, path ORDER BY ord) AS nth FROM {MISSING.sql('t')}) m WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM h WHERE h.form_id = m.form_id AND h.key = regexp_extract(m.path, '^([^.\\[]+)', 1))")
+def merge_unfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of what is empty after the merge."""
+    return merge.unfilled(MISSING.df(spark), merge.best_values(merge.field_scores(DRAFTS.df(spark))))
+
+
+_ROWS = [
     ("tasks", 0, 0, "로그인", "name", "로그인"), ("tasks", 0, 0, "로그인", "role", "개발"), ("tasks", 0, 1, "지도", "name", "지도"), ("tasks", 1, 0, "로 그인", "name", "로 그인"), ("tasks", 1, 0, "로 그인", "detail", "상세"), ("tasks", 1, 0, "로 그인", "tools", "React"),
     ("tasks", 1, 1, "지도", "name", "지도"), ("tasks", 1, 1, "지도", "role", ""), ("tasks", 1, 2, "", "role", "x"), ("tasks", 2, 0, "로그인", "role", "리드"),
-])
+]
+ROWS = Fixture("form_id int, field string, rank int, row int, row_key string, column string, value string", [*[(1, *r) for r in _ROWS], *[(2, r[0], 2 - r[1], *r[2:]) for r in _ROWS], *[(3, "logs", 0, k, "지도", f"c{k}", f"v{k}") for k in range(3)]])
 
 
 @query(f"""WITH c AS (SELECT *, lower(replace(row_key, ' ', '')) AS k FROM {ROWS.sql('t').replace('row,', '"row",').replace('column,', '"column",')} WHERE row_key <> '' AND value <> ''),
-n AS (SELECT field, k, rank, "row", count(*) AS n FROM c GROUP BY ALL), l AS (SELECT field, k, rank AS r0, "row" AS w0 FROM (SELECT *, row_number() OVER (PARTITION BY field, k ORDER BY n DESC, rank, "row") AS nth FROM n) WHERE nth = 1)
-SELECT field, k AS row_key, "column", value FROM (SELECT c.*, row_number() OVER (PARTITION BY c.field, c.k, c."column" ORDER BY rank, "row") AS nth FROM c JOIN l ON l.field = c.field AND l.k = c.k WHERE (rank, "row") >= (r0, w0)) WHERE nth = 1""")
+n AS (SELECT form_id, field, k, rank, "row", count(*) AS n FROM c GROUP BY ALL), l AS (SELECT form_id, field, k, rank AS r0, "row" AS w0 FROM (SELECT *, row_number() OVER (PARTITION BY form_id, field, k ORDER BY n DESC, rank, "row") AS nth FROM n) WHERE nth = 1)
+SELECT form_id, field, k AS row_key, "column", value FROM (SELECT c.*, row_number() OVER (PARTITION BY c.form_id, c.field, c.k, c."column" ORDER BY rank, "row") AS nth FROM c JOIN l ON l.form_id = c.form_id AND l.field = c.field AND l.k = c.k WHERE (rank, "row") >= (r0, w0)) WHERE nth = 1""")
 def merge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10."""
     return merge.merged_rows(ROWS.df(spark))
@@ -428,10 +494,10 @@ def extract_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.normalized_extraction(EVIDENCE.df(spark), fields).withColumn("quotes", F.array_join("quotes", "|"))
 
 
-ISSUES = Fixture("ord int, path string, type string, detail string, severity string", [(0, "a", "format", "x", "major"), (1, "a", "format", "x", "minor"), (2, "a", "format", "y", "minor"), (3, "b", "format", "x", "blocker")])
+ISSUES = Fixture("draft_id int, ord int, path string, type string, detail string, severity string", [(1, 0, "a", "format", "x", "major"), (1, 1, "a", "format", "x", "minor"), (1, 2, "a", "format", "y", "minor"), (1, 3, "b", "format", "x", "blocker"), (2, 0, "a", "format", "x", "minor"), (2, 1, "a", "format", "x", "major"), (3, 0, "b", "format", "x", "blocker")])
 
 
-@query(f"SELECT ord, path, type, detail, severity FROM (SELECT *, row_number() OVER (PARTITION BY path, type, detail ORDER BY ord) AS nth FROM {ISSUES.sql('t')}) WHERE nth = 1")
+@query(f"SELECT draft_id, ord, path, type, detail, severity FROM (SELECT *, row_number() OVER (PARTITION BY draft_id, path, type, detail ORDER BY ord) AS nth FROM {ISSUES.sql('t')}) WHERE nth = 1")
 def issue_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A17, A18, W06, U01."""
     return agents.merge_issues(ISSUES.df(spark))
@@ -477,19 +543,19 @@ def cost_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spec_sql() -> str:
     rows = []
-    for type_id, fields in {"*": schema.common_fields(), **schema.builtin_catalogue()}.items():
+    for type_id, fields in {"*": schema.common_fields(), **schema.SAMPLE}.items():
         n = 0
         for f in fields:
             for parent, x in [(None, f), *((f["key"], s) for s in f.get("fields") or [])]:
-                rows.append((type_id, n, parent, x["key"], x["label"], x["kind"], bool(x.get("required")), x.get("supersedes") or None))
+                rows.append((type_id, n, parent, x["key"], x["label"], x["kind"], bool(x.get("required")), x.get("supersedes") or None, x.get("group")))
                 n += 1
-    return f"specs AS (SELECT type_id, ord, CAST(parent_key AS VARCHAR) AS parent_key, key, label, kind, required, CAST(supersedes AS VARCHAR[]) AS supersedes FROM (VALUES {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in rows)}) t(type_id, ord, parent_key, key, label, kind, required, supersedes))"
+    return f"specs AS (SELECT type_id, ord, CAST(parent_key AS VARCHAR) AS parent_key, key, label, kind, required, CAST(supersedes AS VARCHAR[]) AS supersedes, CAST(grp AS VARCHAR) AS grp FROM (VALUES {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in rows)}) t(type_id, ord, parent_key, key, label, kind, required, supersedes, grp))"
 
 
 _SPECS = _spec_sql()
 _ALL = f"""{_SPECS}, sup AS (SELECT DISTINCT type_id, unnest(supersedes) AS key FROM specs WHERE type_id <> '*'), types AS (SELECT DISTINCT type_id FROM specs WHERE type_id <> '*'),
-fields AS (SELECT t.type_id, s.ord, s.parent_key, s.key, s.label, s.kind, s.required, false AS own FROM specs s, types t WHERE s.type_id = '*' AND NOT EXISTS (SELECT 1 FROM sup WHERE sup.type_id = t.type_id AND sup.key = s.key)
- UNION ALL SELECT type_id, ord, parent_key, key, label, kind, required, true FROM specs WHERE type_id <> '*')"""
+fields AS (SELECT t.type_id, s.ord, s.parent_key, s.key, s.label, s.kind, s.required, s.grp, false AS own FROM specs s, types t WHERE s.type_id = '*' AND NOT EXISTS (SELECT 1 FROM sup WHERE sup.type_id = t.type_id AND sup.key = s.key)
+ UNION ALL SELECT type_id, ord, parent_key, key, label, kind, required, grp, true FROM specs WHERE type_id <> '*')"""
 
 
 @query(f"WITH {_ALL} SELECT type_id, key FROM sup")
@@ -504,14 +570,14 @@ def all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.all_fields(schema.field_rows(spark)).select("type_id", "parent_key", "key", "kind", "required", "at")
 
 
-@query(f"""WITH {_ALL}, z AS (SELECT *, CASE WHEN own THEN 'specialized' WHEN key IN ('title', 'summary') THEN 'header' WHEN key = 'evidence' THEN 'evidence' ELSE 'extended' END AS zone FROM fields WHERE parent_key IS NULL)
-SELECT type_id, zone, string_agg(key, ',' ORDER BY ord) AS keys, zone = 'extended' AS collapsed FROM z GROUP BY type_id, zone""")
+@query(f"""WITH {_ALL}, z AS (SELECT *, CASE WHEN own THEN 'specialized' WHEN key IN ('title', 'summary') THEN 'header' WHEN key = 'evidence' THEN 'evidence' ELSE 'extended' END AS zone, CASE WHEN own THEN coalesce(grp, type_id) ELSE '' END AS title FROM fields WHERE parent_key IS NULL)
+SELECT type_id, zone, string_agg(key, ',' ORDER BY ord) AS keys, zone = 'extended' AS collapsed FROM z GROUP BY type_id, zone, title""")
 def form_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P08, W09."""
     return schema.layout(schema.field_rows(spark)).select("type_id", "zone", F.array_join("keys", ",").alias("keys"), "collapsed")
 
 
-PATHS = Fixture("type_id string, path string", [("career.work", "tasks[0].metrics"), ("career.work", "title"), ("career.work", "nothing"), ("career.work", "tasks[1].nothing"), ("growth.reading", "period"), ("academic.club", "summary")])
+PATHS = Fixture("type_id string, path string", [("work.shift", "duties[0].result"), ("work.shift", "title"), ("work.shift", "nothing"), ("work.shift", "duties[1].nothing"), ("trip.visit", "period"), ("study.lecture", "summary"), ("study.lecture", "sessions[12].topic"), ("work.shift", "duties[0].duty.more")])
 
 
 @query(f"""WITH {_ALL}, p AS (SELECT type_id, path, string_split(regexp_replace(path, '\\[[0-9]+\\]', '', 'g'), '.') AS k FROM {PATHS.sql('t')})
@@ -531,16 +597,27 @@ def spec_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 FORMS = Fixture("draft_id int, values string", [(1, '{"title": "T", "period": {"start": "2024", "end": null}, "tasks": [{"name": "a", "n": 3}, {"name": "b"}], "skills": ["x", "y"], "empty": null}'), (2, "{}")])
 
 
-@query("SELECT * FROM (VALUES (1, 'title', 'T'), (1, 'period.start', '2024'), (1, 'tasks[0].name', 'a'), (1, 'tasks[0].n', '3'), (1, 'tasks[1].name', 'b'), (1, 'skills[0]', 'x'), (1, 'skills[1]', 'y')) t(draft_id, path, value)")
+@query(f"""WITH t AS (SELECT draft_id, CAST(j AS JSON) AS j FROM {FORMS.sql('t').replace('values)', 'j)')}),
+a AS (SELECT draft_id, k AS path, json_extract(j, '$."' || k || '"') AS x FROM (SELECT draft_id, j, unnest(json_keys(j)) AS k FROM t)),
+b AS (SELECT draft_id, path, x FROM a WHERE json_type(x) NOT IN ('ARRAY', 'OBJECT', 'NULL')
+ UNION ALL SELECT draft_id, path || '[' || i || ']', json_extract(x, '$[' || i || ']') FROM (SELECT draft_id, path, x, unnest(range(CAST(json_array_length(x) AS BIGINT))) AS i FROM a WHERE json_type(x) = 'ARRAY')
+ UNION ALL SELECT draft_id, path || '.' || k, json_extract(x, '$."' || k || '"') FROM (SELECT draft_id, path, x, unnest(json_keys(x)) AS k FROM a WHERE json_type(x) = 'OBJECT')),
+c AS (SELECT draft_id, path, x FROM b WHERE json_type(x) <> 'OBJECT' UNION ALL SELECT draft_id, path || '.' || k, json_extract(x, '$."' || k || '"') FROM (SELECT draft_id, path, x, unnest(json_keys(x)) AS k FROM b WHERE json_type(x) = 'OBJECT'))
+SELECT draft_id, path, x ->> '$' AS value FROM c WHERE json_type(x) <> 'NULL'""")
 def leaf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P02, P04, P05."""
     return schema.leaves(FORMS.df(spark))
 
 
-VALUES = Fixture("type_id string, key string, value string", [("career.work", "employmentType", "인턴십"), ("career.work", "employmentType", "정규 직"), ("career.work", "companyName", "해당 없음"), ("career.work", "companyName", " 회사 "), ("career.work", "skills", '["a", "-", "b"]'), ("career.work", "skills", "one"), ("career.work", "employmentType", "unrelated")])
+VALUES = Fixture("type_id string, key string, value string", [("work.shift", k, v) for k, v in [("contract", "시간제 계약"), ("contract", "정 규 직"), ("contract", "unrelated"), ("contract", "-"), ("storeName", "해당 없음"), ("storeName", " 가게 "), ("storeName", None), ("tools", '["a", "-", "b"]'), ("tools", "one"), ("tools", "없음"), ("days", '["평일"]')]])
+_BLANK = ", ".join(map(_lit, schema.BLANK))
+_FOLDED = lambda x: f"lower(regexp_replace({x}, '[\\s·.\\-_/]', '', 'g'))"
 
 
-@query("SELECT * FROM (VALUES ('employmentType', '인턴', NULL), ('employmentType', '정규직', NULL), ('companyName', NULL, NULL), ('companyName', '회사', NULL), ('skills', NULL, 'a,b'), ('skills', NULL, 'one'), ('employmentType', NULL, NULL)) t(key, value, items)")
+@query(f"""WITH {_SPECS}, o(type_id, key, options) AS (VALUES ('work.shift', 'contract', {_lit(["정규직", "시간제", "인턴"])})),
+v AS (SELECT t.key, s.kind, trim(t.value) AS v, coalesce(lower(trim(t.value)) IN ({_BLANK}), true) AS blank, o.options FROM {VALUES.sql('t')} JOIN specs s ON s.type_id = t.type_id AND s.key = t.key AND s.parent_key IS NULL LEFT JOIN o ON o.type_id = t.type_id AND o.key = t.key),
+l AS (SELECT *, list_filter(CASE WHEN v LIKE '[%' THEN from_json(v, '["VARCHAR"]') ELSE [v] END, lambda x: lower(trim(x)) NOT IN ({_BLANK})) AS items, list_filter(options, lambda x: {_FOLDED('x')} = {_FOLDED('v')}) AS same, list_filter(options, lambda x: contains({_FOLDED('v')}, {_FOLDED('x')}) OR contains({_FOLDED('x')}, {_FOLDED('v')})) AS near FROM v)
+SELECT key, CASE WHEN blank OR kind IN ('tags', 'checklist') THEN NULL WHEN kind = 'select' THEN coalesce(same[1], near[1]) ELSE v END AS value, CASE WHEN NOT blank AND kind IN ('tags', 'checklist') AND len(items) > 0 THEN array_to_string(items, ',') END AS items FROM l""")
 def coerce_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N17, P12, C01."""
     return schema.coerced(VALUES.df(spark), schema.field_rows(spark)).select("key", "value", F.array_join("items", ",").alias("items"))

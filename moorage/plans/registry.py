@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import document_queries, fixture_queries
+from . import document_queries, evaluation, fixture_queries, report_queries
 
-MODULES = [document_queries, fixture_queries]
+MODULES = [document_queries, fixture_queries, evaluation, report_queries]
 
 
 def queries() -> dict[str, Callable]:

@@ -56,6 +56,12 @@ def inner_files(content: bytes) -> Iterator[tuple[int, str, bytes]]:
             yield n, info.filename, z.read(info)
 
 
+def more_files(content: bytes) -> bool:
+    """Whether an archive has more files than are read."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return sum(not i.is_dir() and not SKIPPED.search(i.filename) for i in z.infolist()) > ENTRIES
+
+
 def _number(name: str) -> int:
     return int(re.search(r"([0-9]+)", name.rsplit("/", 1)[-1])[1])
 

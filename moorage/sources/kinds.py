@@ -106,3 +106,16 @@ def exif_date(content: Column) -> Column:
     head = F.decode(F.substring(content, 1, 131_072), "ISO-8859-1")
     found = F.regexp_extract(head, r"((?:19|20)[0-9]{2}:[01][0-9]:[0-3][0-9] [0-2][0-9]:[0-5][0-9]:[0-5][0-9])", 1)
     return F.when(found != "", F.concat(F.translate(F.substring(found, 1, 10), ":", "-"), F.substring(found, 11, 9)))
+
+
+def image_size(content: Column) -> Column:
+    """Width and height in the header of a PNG, GIF or JPEG picture; nulls for others."""
+    head = F.hex(F.substring(content, 1, 131_072))
+    at = lambda i, n: F.substring(head, 2 * i + 1, 2 * n)
+    swapped = lambda i: F.concat(at(i + 1, 1), at(i, 1))
+    frame = lambda group: F.nullif(F.regexp_extract(head, r"^(?:..)*?FFC[0-2]......(....)(....)", group), F.lit(""))
+    number = lambda x: F.conv(x, 16, 10).cast("int")
+    png, gif, jpeg = head.startswith("89504E470D0A1A0A"), head.rlike("^47494638(?:37|39)61"), head.startswith("FFD8")
+    width = F.when(png, at(16, 4)).when(gif, swapped(6)).when(jpeg, frame(2))
+    height = F.when(png, at(20, 4)).when(gif, swapped(8)).when(jpeg, frame(1))
+    return F.struct(number(width).alias("width"), number(height).alias("height"))
