@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import agents, evidence, grounding, lexicon, merge, reports, schema, validation
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 from . import provider
 
 
@@ -36,9 +36,31 @@ class Organized:
     verdicts: DataFrame
 
 
-def validators(spark: SparkSession, leaves: DataFrame, provenance: DataFrame, docs: DataFrame, specs: DataFrame, typed: DataFrame) -> DataFrame:
-    """Structural and grounding issues of all drafts together."""
-    fields = schema.all_fields(specs).select("type_id", "parent_key", "key", "kind", "required", "options", "free_options")
+@dataclass
+class Grounds:
+    """What values are checked against, each written once: plans stay small however often they are used."""
+
+    fields: DataFrame
+    typed: DataFrame
+    sources: DataFrame
+    numbers: DataFrame
+    tokens: DataFrame
+    names: DataFrame
+    words: DataFrame
+    clusters: DataFrame
+
+
+def grounds(spark: SparkSession, docs: DataFrame, specs: DataFrame, typed: DataFrame) -> Grounds:
+    return Grounds(
+        cut_lineage(schema.all_fields(specs)), cut_lineage(typed), cut_lineage(grounding.folded_sources(docs, "draft_id", order="source_id")), cut_lineage(docs.select("draft_id", F.explode(N.numbers_in(F.col("text"))).alias("num")).distinct()),
+        cut_lineage(docs.select("draft_id", F.explode(N.tokenize(F.col("text"))).alias("token")).distinct()), cut_lineage(docs.select("draft_id", "name")), cut_lineage(lexicon.build_lexicon(spark)), cut_lineage(lexicon.seed_tables(spark)["clusters"]),
+    )
+
+
+def validators(leaves: DataFrame, provenance: DataFrame, held_by: Grounds) -> DataFrame:
+    """Structural and grounding issues of all drafts together; ``leaves`` and ``provenance`` are cut from their lineage."""
+    typed, sources, numbers = held_by.typed, held_by.sources, held_by.numbers
+    fields = held_by.fields.select("type_id", "parent_key", "key", "kind", "required", "options", "free_options")
     types = typed.select("draft_id", "type_id")
     top = types.join(F.broadcast(fields.where("parent_key IS NULL")), "type_id").withColumn("path", F.col("key"))
     # The cells of each row of a repeater that has any.
@@ -58,29 +80,25 @@ def validators(spark: SparkSession, leaves: DataFrame, provenance: DataFrame, do
         day(0).alias("start"), day(1).alias("end"), F.lit(None).cast("boolean").alias("ongoing"), "options", "free_options", ((F.col("kind") == "repeater") & text.isNotNull()).alias("malformed"),
     )
     structural = validation.structural_issues(cells)
-    sources = grounding.folded_sources(docs, "draft_id", order="source_id")
-    numbers = docs.select("draft_id", F.explode(N.numbers_in(F.col("text"))).alias("num")).distinct()
     quotes = provenance.select("draft_id", "path", F.explode("quotes").alias("text")).withColumn("quote", F.xxhash64("draft_id", "path", "text"))
     table = grounding.quote_table(quotes.select("quote", "text").distinct(), "quote", "text")
     verified = grounding.verify_quotes(grounding.score_quotes(sources, table, "draft_id", pairs=quotes.select("draft_id", "quote").distinct()))
     told = verified.join(quotes.select("draft_id", "quote", "path"), ["draft_id", "quote"])
     claims = grounding.classify_numbers(validation.number_claims(leaves), numbers, "draft_id")
-    words = lexicon.build_lexicon(spark)
-    tokens = docs.select("draft_id", F.explode(N.tokenize(F.col("text"))).alias("token")).distinct()
-    terms = lexicon.checked_terms(validation.term_claims(leaves), sources, tokens, words, lexicon.seed_tables(spark)["clusters"], "draft_id")
-    return structural.unionByName(validation.grounding_issues(leaves, provenance, docs.select("draft_id", "name"), told, claims, terms))
+    terms = lexicon.checked_terms(cut_lineage(validation.term_claims(leaves)), sources, held_by.tokens, held_by.words, held_by.clusters, "draft_id")
+    return structural.unionByName(validation.grounding_issues(leaves, provenance, held_by.names, cut_lineage(told), claims, cut_lineage(terms)))
 
 
-def scored_drafts(normal: DataFrame, docs: DataFrame, sources: DataFrame, typed: DataFrame, specs: DataFrame) -> DataFrame:
+def scored_drafts(normal: DataFrame, held_by: Grounds) -> DataFrame:
     """form_id, draft_id (its number), key, kind, value, score of each draft's fields; ``normal``: draft_id, draft, path, value, quotes."""
-    fields = schema.all_fields(specs).where("parent_key IS NULL").select("type_id", "key", "kind")
+    sources, numbers, typed = held_by.sources, held_by.numbers, held_by.typed
+    fields = held_by.fields.where("parent_key IS NULL").select("type_id", "key", "kind")
     rooted = normal.where("value IS NOT NULL").withColumn("key", schema.root_key(F.col("path")))
     quotes = rooted.select("draft_id", "draft", "key", F.explode("quotes").alias("text")).withColumn("quote", F.xxhash64("draft_id", "text"))
     table = grounding.quote_table(quotes.select("quote", "text").distinct(), "quote", "text")
     scores = grounding.score_quotes(sources, table, "draft_id", pairs=quotes.select("draft_id", "quote").distinct())
     by_quote = quotes.join(scores, ["draft_id", "quote"]).groupBy("draft_id", "draft", "key").agg(F.sort_array(F.collect_list("score")).alias("quote_scores"))
     told = rooted.select("draft_id", "draft", "key", F.explode(merge.numbers_of(F.col("value"))).alias("raw"))
-    numbers = docs.select("draft_id", F.explode(N.numbers_in(F.col("text"))).alias("num")).distinct()
     counted = grounding.classify_numbers(told, numbers, "draft_id").groupBy("draft_id", "draft", "key").agg(F.count("*").cast("int").alias("n_numbers"), F.count_if(F.col("kind") != "unknown").cast("int").alias("n_good"))
     cells = rooted.groupBy("draft_id", "draft", "key").agg(F.max(F.when(F.col("path") == F.col("key"), F.col("value"))).alias("value"), F.count_distinct(F.regexp_extract("path", r"(\[[0-9]+\])", 1)).cast("int").alias("filled_rows"))
     every = typed.select("draft_id", "type_id").join(F.broadcast(fields), "type_id").drop("type_id").join(cells, ["draft_id", "key"])
@@ -89,9 +107,9 @@ def scored_drafts(normal: DataFrame, docs: DataFrame, sources: DataFrame, typed:
     return merge.field_scores(shown.withColumnRenamed("draft_id", "form_id").withColumnRenamed("draft", "draft_id"))
 
 
-def merged_rows(normal: DataFrame, scored: DataFrame, specs: DataFrame) -> DataFrame:
+def merged_rows(normal: DataFrame, scored: DataFrame, fields: DataFrame) -> DataFrame:
     """A10: draft_id, path, value of the rows of repeaters over all drafts, those of the better draft first; a row's key is its repeater's first inner field."""
-    inner = schema.all_fields(specs).where("parent_key IS NOT NULL")
+    inner = fields.where("parent_key IS NOT NULL")
     first = inner.groupBy(F.col("parent_key").alias("field")).agg(F.min_by("key", "ord").alias("first"))
     part = lambda i: F.regexp_extract("path", r"^([^.\[]+)\[([0-9]+)\]\.(.+)$", i)
     cells = normal.where(F.col("value").isNotNull() & F.col("path").contains("[")).select(F.col("draft_id").alias("form_id"), F.col("draft").alias("draft_id"), part(1).alias("field"), part(2).cast("int").alias("row"), part(3).alias("column"), "value")
@@ -113,29 +131,29 @@ def organize(spark: SparkSession, docs: DataFrame, catalogue: dict | None = None
     counts, close ones are decided by the source, rows of repeaters are merged;
     the review's patch, then ``patch``, is applied, and all is validated again.
     """
+    ship(spark)
     specs = schema.field_rows(spark, catalogue)
     whole = docs.groupBy("draft_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source_id", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    typed = provider.classify(whole, signals=signals)
+    held_by = grounds(spark, docs, specs, provider.classify(whole, signals=signals))
+    typed, own, sources = held_by.typed, held_by.fields, held_by.sources
     told = drafts if drafts is not None else provider.drafts(whole, specs, typed)
-    own = schema.all_fields(specs)
     fields = own.where("parent_key IS NULL").select(F.col("key").alias("path")).distinct()
-    sources = grounding.folded_sources(docs, "draft_id", order="source_id")
     pair = told.withColumn("draft_id", F.struct("draft_id", "draft"))
     normal = agents.normalized_extraction(pair.drop("draft"), fields).where("value IS NOT NULL")
     normal = cut_lineage(normal.select("draft_id.draft_id", "draft_id.draft", "path", "value", "confidence", "quotes"))
-    scored = cut_lineage(scored_drafts(normal, docs, sources, typed, specs))
+    scored = cut_lineage(scored_drafts(normal, held_by))
     best = merge.best_values(scored)
-    conflicts = merge.merge_conflicts(scored)
+    conflicts = cut_lineage(merge.merge_conflicts(scored))
     decided = merge.arbitrated(conflicts, merge.decided_by_rule(conflicts, sources.withColumnRenamed("draft_id", "form_id")))
     chosen = best.where("kind <> 'repeater' AND value IS NOT NULL").join(decided.withColumnRenamed("value", "by_rule").withColumn("told", F.lit(True)), ["form_id", "key"], "left")
     flat = chosen.select(F.col("form_id").alias("draft_id"), F.col("key").alias("path"), F.when(F.col("told"), F.col("by_rule")).otherwise(F.col("value")).alias("value")).where("value IS NOT NULL")
-    leaves = flat.unionByName(merged_rows(normal, scored, specs))
+    leaves = cut_lineage(flat.unionByName(merged_rows(normal, scored, own)))
     # The proof of a value: the quotes of the drafts that say it.
     said = normal.withColumn("root", schema.root_key(F.col("path"))).join(leaves.select("draft_id", F.col("path").alias("root"), F.col("value").alias("final")), ["draft_id", "root"], "left")
     proof = said.where((F.col("value") == F.col("final")) | F.col("path").contains("[")).groupBy("draft_id", F.col("root").alias("path")).agg(F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("quotes")))).alias("quotes"))
-    provenance = proof.where(F.size("quotes") > 0)
+    provenance = cut_lineage(proof.where(F.size("quotes") > 0))
     valid = fields.select(F.col("path").alias("key"))
-    first = cut_lineage(validators(spark, leaves, provenance, docs, specs, typed))
+    first = cut_lineage(validators(leaves, provenance, held_by))
     needles = leaves.select("draft_id", F.col("value").alias("needle")).unionByName(provenance.select("draft_id", F.explode("quotes").alias("needle"))).distinct().withColumn("pad", F.lit(evidence.GAP))
     spans = evidence.evidence_spans(needles, sources, "draft_id")
     verdicts, _, rework = reports.reviewed(provider.review(first), first)
@@ -143,7 +161,7 @@ def organize(spark: SparkSession, docs: DataFrame, catalogue: dict | None = None
     if patch is not None:
         leaves, provenance = agents.apply_patch(leaves, patch, valid), agents.patched_provenance(provenance, patch)
     leaves, provenance = cut_lineage(leaves), cut_lineage(provenance)
-    issues = validators(spark, leaves, provenance, docs, specs, typed)
+    issues = cut_lineage(validators(leaves, provenance, held_by))
     per_type = typed.select("draft_id", "type_id").join(F.broadcast(own.where("parent_key IS NULL").select("type_id", "key", F.when(F.col("required"), agents.REQUIRED_WEIGHT).otherwise(1).alias("w"))), "type_id")
     held = leaves.select("draft_id", schema.root_key(F.col("path")).alias("key")).distinct().withColumn("held", F.lit(1))
     both = per_type.join(held, ["draft_id", "key"], "left")
