@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, forget, fresh, ship
+from .workers import give_back
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -130,6 +131,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(np.array(high, dtype=np.uint64).view(np.int64)),
             _list_array([x[:SKETCH] for x in sets]),
         ], names=["doc_id", "tx", "n", "low", "high", "sketch"])
+    hashes.clear()
+    give_back()
 
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
@@ -148,6 +151,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first.setdefault(c, i)
         own = part.take(pa.array(list(first.values()), type=pa.int64()))
         yield pa.RecordBatch.from_arrays([own["cls"], _list_array([shingle_set(t.as_py(), hashes) for t in own["text"]])], names=["cls", "shingles"])
+    hashes.clear()
+    give_back()
 
 
 def index_rows(classes: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import re
-import sys
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -44,6 +44,10 @@ _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 _PLAIN = regex.compile(r"(?:(?!<\|)[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e])+")
 
 
+#: Letters only, of the same kind, with at most one mark behind them: at most two parts.
+_LETTERS_ONLY = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,;:!?]?)")
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write each byte as a visible character: printable ones as they are, the others from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -84,7 +88,7 @@ class WordTokenizer:
         return same and marked and model["type"] == "BPE" and not (model.get("dropout") or model.get("unk_token") or model.get("byte_fallback"))
 
     def _keep(self, held: dict[str, bytes], word: str, ids: bytes) -> bytes:
-        self.spent += sys.getsizeof(word) + sys.getsizeof(ids) + 104
+        self.spent += 2 * len(word) + len(ids) + 190
         if self.spent > KEPT_BYTES:
             self.words.clear()
             self.parts.clear()
@@ -95,11 +99,16 @@ class WordTokenizer:
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            shown = part.encode().decode("latin-1").translate(_LETTERS)
-            ids = self._keep(self.parts, part, np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes())
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
+            found = [t.id for t in self.model.tokenize(shown)]
+            ids = self._keep(self.parts, part, struct.pack(f"<{len(found)}I", *found))
         return ids
 
     def _word(self, word: str) -> bytes:
+        if m := _LETTERS_ONLY.fullmatch(word):
+            letters, mark = m.groups()
+            ids = self._part(letters.lower())
+            return self._keep(self.words, word, ids + self._part(mark) if mark else ids)
         if _PLAIN.fullmatch(word):
             return self._keep(self.words, word, b"".join(map(self._part, _PARTS.findall(word.lower()))))
         return self._keep(self.words, word, np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes())

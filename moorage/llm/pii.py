@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, fresh, ship
+from .workers import give_back
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that must hold both term and entity before the term is judged; of an entity in fewer documents, all of them.
@@ -31,8 +32,8 @@ SMOOTH = 1
 GENERALISE, REMOVE = 0.7, 0.9
 #: Entities in JOINT documents or more whose frequencies are sent to the workers; beyond, the highest one stands for all.
 KNOWN_ENTITIES = 100_000
-#: Counts that a worker gathers before it passes them on.
-KEPT_PAIRS, KEPT_TERMS = 100_000, 200_000
+#: Counts that a worker gathers before it passes them on; they are summed once more before the shuffle.
+KEPT_PAIRS, KEPT_TERMS = 50_000, 50_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -111,6 +112,7 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((doc_id, part << 40 | n, text if names else None, names))
             n += 1
         yield pd.DataFrame(rows, columns=["doc_id", "row", "text", "entities"]).astype({"doc_id": "Int64"})
+    give_back()
 
 
 FOUND = "doc_id long, row long, text string, entities array<string>"
@@ -154,6 +156,7 @@ def _counts(docs: DataFrame, most: dict[str, float], other: float) -> DataFrame:
                 if len(df) > KEPT_TERMS:
                     yield out()
         yield out()
+        give_back()
 
     return docs.select("text").mapInPandas(count, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
 
@@ -217,6 +220,7 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = _digest(batch)
         out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
         yield out
+    give_back()
 
 
 def _revealed(held: DataFrame, key: str, reveal: DataFrame) -> DataFrame:

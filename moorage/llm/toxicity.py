@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .workers import give_back
 
 #: The most labelled rows that are learned from: toxic ones and others.
 BOUND = (3_000, 9_000)
@@ -128,6 +129,8 @@ def counted_features(rows: DataFrame) -> DataFrame:
                     yield out()
                     held.clear()
         yield out()
+        held.clear()
+        give_back()
 
     return rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInPandas(count, "feature string, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
