@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import match_enum, trim
 from .agents import SURE_OF_TYPE, ranked_gaps
-from .schema import BLANK, all_fields, layout
+from .schema import BLANK, TRUE, all_fields, layout
 
 # A fact sheet's parts with their labels and the most entries shown of each.
 FACTS = (
@@ -126,7 +126,7 @@ def coerced_value(value: Column, node: dict) -> Column:
         hit = match_enum(text, F.array(*[F.lit(o) for o in options]))
         return F.when(~_blank(value), hit if nullable else F.coalesce(hit, F.lit(options[0])))
     if kind == "boolean":
-        truth = F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).otherwise(F.lower(text).isin("true", "예", "yes", "y", "1"))
+        truth = F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).otherwise(F.lower(text).isin(TRUE))
         return F.when(~_blank(value), truth)
     if kind in ("number", "integer"):
         digits = F.regexp_replace(text, r"[^0-9.\-]", "")
