@@ -10,6 +10,8 @@ BUNDLE_CHARS, SPAN_CHARS = 180_000, 9_000
 LEAST_SHARE, HEAD_SHARE, CUT_MARK = 2_000, 0.62, 60
 DIGEST_CHARS = 6_000
 GAP = 120
+#: Characters around a quote and around a value; the most values of a form that are looked for, and the length a value must exceed.
+QUOTE_PAD, VALUE_PAD, LEAVES, LEAST_VALUE = 260, 180, 120, 12
 
 
 def bundle_shares(docs: DataFrame, group: str, budget: int = BUNDLE_CHARS) -> DataFrame:
@@ -96,6 +98,14 @@ def located(needles: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     return hit.select(key, F.greatest(F.lit(0).cast("long"), F.col("_at") - F.col("pad")).alias("start"), F.least(F.length("raw").cast("long"), F.col("_at") + F.length("needle") + F.col("pad")).alias("end"))
 
 
+def needles(leaves: DataFrame, provenance: DataFrame, key: str = "draft_id") -> DataFrame:
+    """Key, needle, pad: a form's quotes (key, path, quotes), and the longer ones of its first LEAVES values (key, path, value) in order of path."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("path"))
+    first = leaves.withColumn("_nth", nth).where((F.col("_nth") <= LEAVES) & (F.length("value") > LEAST_VALUE))
+    values = first.select(key, F.col("value").alias("needle"), F.lit(VALUE_PAD).alias("pad"))
+    return provenance.select(key, F.explode("quotes").alias("needle"), F.lit(QUOTE_PAD).alias("pad")).unionByName(values).distinct()
+
+
 def evidence_spans(needles: DataFrame, sources: DataFrame, key: str, budget: int = SPAN_CHARS) -> DataFrame:
     """key, evidence: the merged, budgeted stretches around the needles; the beginning of the text where none is found."""
     spans = budgeted_spans(merged_spans(located(needles, sources, key), key), key, budget)

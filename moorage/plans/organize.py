@@ -154,7 +154,7 @@ def organize(spark: SparkSession, docs: DataFrame, catalogue: dict | None = None
     provenance = cut_lineage(proof.where(F.size("quotes") > 0))
     valid = fields.select(F.col("path").alias("key"))
     first = cut_lineage(validators(leaves, provenance, held_by))
-    needles = leaves.select("draft_id", F.col("value").alias("needle")).unionByName(provenance.select("draft_id", F.explode("quotes").alias("needle"))).distinct().withColumn("pad", F.lit(evidence.GAP))
+    needles = evidence.needles(leaves, provenance)
     spans = evidence.evidence_spans(needles, sources, "draft_id")
     verdicts, _, rework = reports.reviewed(provider.review(first), first)
     leaves, provenance = agents.apply_patch(leaves, rework, valid), agents.patched_provenance(provenance, rework)

@@ -194,6 +194,16 @@ def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.evidence_spans(NEEDLES.df(spark), sources, "doc", 300)
 
 
+VALUES_OF = Fixture("draft_id int, path string, value string", [(1, f"f{k:03}", f"값 {k} 은 열두 글자보다 길다") for k in range(125)] + [(1, "a", "짧다"), (2, "title", "열두 글자보다 긴 제목이다"), (2, "none", None)])
+PROOF = Fixture("draft_id int, path string, quotes array<string>", [(1, "a", ["인용 하나", "인용 둘"]), (2, "b", ["인용 하나", "인용 하나"]), (2, "c", [])])
+
+
+@query(f"SELECT DISTINCT draft_id, unnest(quotes) AS needle, 260 AS pad FROM {PROOF.sql('p')} UNION SELECT draft_id, value, 180 FROM (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY path) AS nth FROM {VALUES_OF.sql('v')}) WHERE nth <= 120 AND length(value) > 12")
+def evidence_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is looked for in a source."""
+    return evidence.needles(VALUES_OF.df(spark), PROOF.df(spark))
+
+
 TALK = Fixture("doc int, text string", [(1, "첫걸음을 내디뎠습니다 그리고 자전거에서 바이크로 바꿨다"), (2, "컨텐츠 API와 프로젝트 리더쉽 조깅 조깅"), (3, ""), (4, "및 등")])
 
 
