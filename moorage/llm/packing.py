@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship
+from .workers import give_back
 
 CAPACITY = 2048
 END = 1
@@ -87,12 +88,16 @@ class WordTokenizer:
         same = told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == _PRE_TOKENIZER and not any(told.get(k) for k in ("truncation", "padding", "post_processor"))
         return same and marked and model["type"] == "BPE" and not (model.get("dropout") or model.get("unk_token") or model.get("byte_fallback"))
 
+    def forget(self) -> None:
+        """Drops the kept words; another partition's rare words are other ones."""
+        self.words.clear()
+        self.parts.clear()
+        self.spent = 0
+
     def _keep(self, held: dict[str, bytes], word: str, ids: bytes) -> bytes:
         self.spent += 2 * len(word) + len(ids) + 190
         if self.spent > KEPT_BYTES:
-            self.words.clear()
-            self.parts.clear()
-            self.spent = 0
+            self.forget()
         held[word] = ids
         return ids
 
@@ -133,6 +138,9 @@ class PieceTokenizer:
             tokenizer = Tokenizer.from_file(path)
             self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
+    def forget(self) -> None:
+        """Keeps nothing."""
+
     def __call__(self, text: str) -> bytes:
         return np.array(self.encode(text), dtype="<u4").tobytes()
 
@@ -141,7 +149,7 @@ _loaded: dict[str, WordTokenizer | PieceTokenizer] = {}
 
 
 def loaded(path: str) -> WordTokenizer | PieceTokenizer:
-    """This worker's tokenizer; workers, and with them the kept words, outlive tasks."""
+    """This worker's tokenizer; workers outlive tasks."""
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path) if path.endswith(".json") and WordTokenizer.knows(path) else PieceTokenizer(path)
     return _loaded[path]
@@ -167,6 +175,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Dat
                     ranks[n] += 1
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
             yield out.astype({"doc_id": "Int64"})
+        encode.forget()
+        give_back()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(pieces, schema)
