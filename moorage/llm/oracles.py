@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality
+from . import fill_middle, license_scan, quality, spelling
 
 _SPACE = r"\x20\x09-\x0D"
 
@@ -69,3 +69,41 @@ def ablations(policy: str) -> str:
     all_bits = quality.mask(held)
     rows = " UNION ALL ".join(f"SELECT '{r}' AS rule, CAST(count(*) FILTER (failed & {quality.mask([r])} <> 0) AS BIGINT) AS fails, CAST(count(*) FILTER (failed & {all_bits} = {quality.mask([r])}) AS BIGINT) AS alone FROM f" for r in held)
     return f"WITH {_measures()} {rows}"
+
+
+def spelling_words() -> str:
+    """The checksum byte by byte, its table from the polynomial."""
+    table = "list_transform(range(256), lambda b: list_reduce(range(8), lambda r, _: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, b))"
+    return rf"""t AS MATERIALIZED (SELECT {table} AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+times AS (SELECT doc_id, run, count(*) AS times FROM runs GROUP BY ALL),
+bytes AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), 128 + (unicode(c) & 63)] END)) AS b FROM times),
+crc AS (SELECT doc_id, run, times, xor(list_reduce(b, lambda c, x: xor(c >> 8, t.t[1 + (xor(c, x) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM bytes, t),
+cut AS (SELECT CASE WHEN h % {spelling.ODD} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, times FROM crc),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY word HAVING sum(times) >= {spelling.LEAST_TIMES})"""
+
+
+def spelling_groups() -> str:
+    """op11: words compared with words of like length. The distance counts bytes, so the letters beyond ASCII are told as other single ones."""
+    wide, single = "".join(map(chr, range(0xC0, 0x100))), "".join(map(chr, range(33, 97)))
+    return rf"""
+WITH RECURSIVE {spelling_words()},
+own AS (SELECT word, n, translate(word, '{wide}', {_text(single)}) AS w, length(word) AS len FROM words),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM own a JOIN own b ON b.len BETWEEN a.len - 1 AND a.len + 1 AND a.word <> b.word WHERE levenshtein(a.w, b.w) = 1),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {spelling.FACTOR} * n THEN other END AS form, CASE WHEN m >= {spelling.FACTOR} * n THEN m END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+steps AS (SELECT word, word AS root FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL),
+roots AS (SELECT s.word, s.root FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
+
+
+def fill_in_middle() -> str:
+    """op13: one unit is one code point, so offsets are the cuts themselves."""
+    h = lambda i: f"CAST('0x' || substr(h, {8 * i - 7}, 8) AS BIGINT)"
+    plain = f"n = 0 OR regexp_matches(text, '{fill_middle.ANY_MARK}') OR {h(3)} % 100 >= {100 - fill_middle.PLAIN}"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('{fill_middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+f AS (SELECT *, CASE WHEN {plain} THEN 'plain' WHEN {h(4)} % 100 < {fill_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form, least({h(1)} % (n + 1), {h(2)} % (n + 1)) AS a, greatest({h(1)} % (n + 1), {h(2)} % (n + 1)) AS b FROM d),
+p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""

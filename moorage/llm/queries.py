@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, license_scan, near_dedup, oracles, packing, pii, quality, sharding, toxicity, url_rules
+from . import chat, decontaminate, fill_middle, license_scan, near_dedup, oracles, packing, pii, quality, sharding, spelling, toxicity, url_rules
 
 SHARDS = 40
 
@@ -73,8 +73,20 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    form, output = F.col("fim.form"), F.col("fim.output")
+    back = fill_middle.restored(output, form)
+    lengths = {"prefix_chars": F.length("fim.prefix").cast("long"), "middle_chars": F.length("fim.middle").cast("long")}
+    return made.select("doc_id", F.col("fim.n").alias("n"), form.alias("form"), *[c.alias(k) for k, c in lengths.items()], F.sha2(output, 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_licenses, op3_pii, op4_toxicity, op5_chat, op6_packing, op7_near_dedup, op8_quality, quality_ablations, op9_decontaminate, op10_url_rules)
+    f.__name__: f for f in (op1_sharding, op2_licenses, op3_pii, op4_toxicity, op5_chat, op6_packing, op7_near_dedup, op8_quality, quality_ablations, op9_decontaminate, op10_url_rules, op11_spelling, op13_fill_middle)
 }
 
 SQL = {
@@ -82,6 +94,8 @@ SQL = {
     "op7_near_dedup": oracles.near_groups(),
     "op8_quality": oracles.ledger(),
     "quality_ablations": oracles.ablations("v2"),
+    "op11_spelling": oracles.spelling_groups(),
+    "op13_fill_middle": oracles.fill_in_middle(),
     "op5_chat": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
