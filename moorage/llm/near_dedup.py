@@ -244,8 +244,8 @@ def outsider_pairs(named: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def full_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """v, cls, n, p: of each set the rarest quarter of its shingles that other members have too, p being the place from the rarest.
+def full_lists(members: DataFrame, sets: DataFrame, like: int = LIKE) -> DataFrame:
+    """v, cls, n, p: of each set the rarest shingles that other members have too, p being the place from the rarest: a quarter of all, or what ``like`` leaves.
 
     Shingles that no other member has are the rarest, so they use up places.
     Two sets share no shingle before the first shared one: they share at most
@@ -255,17 +255,20 @@ def full_lists(members: DataFrame, sets: DataFrame) -> DataFrame:
     shared = cut_lineage(held.groupBy("v").agg(F.count("*").alias("often")).where("often > 1"))
     own = held.join(shared, "v").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("own"))
     alone = (F.col("n") - F.size("own")).cast("int")
-    places = F.floor(F.col("n") * F.lit(100 - LIKE) / F.lit(100)).cast("int") + 1
+    places = F.floor(F.col("n") * F.lit(100 - like) / F.lit(100)).cast("int") + 1
     each = own.select("cls", "n", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), F.greatest(places - alone, F.lit(0)))).alias("at", "x"))
     out = cut_lineage(each.select(F.col("x.v").alias("v"), "cls", "n", (F.col("alone") + F.col("at")).cast("long").alias("p")))
     forget(shared)
     return out
 
 
-def zones(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """cls, n, comp, zone of the members of full lists that can hold links: those that hang together by such lists have one zone."""
+def zones(lists: DataFrame, labels: DataFrame, like: int = LIKE) -> DataFrame:
+    """cls, n, comp, zone of the members of full lists that can hold links: those that hang together by such lists have one zone.
+
+    Of a link the smaller set shares 2 * like parts in 100 + like at least, so it has at most the rest before the first shared shingle.
+    """
     named = lists.join(labels, "cls")
-    cores = named.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(7 * F.col("p") <= F.col("n")).alias("core"), F.min("cls").alias("head"))
+    cores = named.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max((100 + like) * F.col("p") <= (100 - like) * F.col("n")).alias("core"), F.min("cls").alias("head"))
     still = cut_lineage(cores.where("core AND x <> y").select("v", "head"))
     left = cut_lineage(named.join(still, "v").select("cls", "n", "comp", "head").distinct())
     members = cut_lineage(left.select("cls", F.col("cls").alias("comp")).distinct())
@@ -275,15 +278,15 @@ def zones(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def blocked(members: DataFrame) -> DataFrame:
+def blocked(members: DataFrame, like: int = LIKE) -> DataFrame:
     """cls, n, comp, lo, hi: each member once for each pair of blocks that its block is in, from ``zones``.
 
-    Blocks hold members of one zone whose sizes are within a factor of 4/3, of
+    Blocks hold members of one zone whose sizes are within a factor of 4/3 (100 / ``like``), of
     the zone's largest component or of others. Sizes of links lie in the same or
     the next band, and of two blocks of the largest component nothing is sought.
     """
     main = members.groupBy("zone", "comp").agg(F.count("*").alias("held")).groupBy("zone").agg(F.max(F.struct("held", "comp")).alias("top")).select("zone", F.col("top.comp").alias("main"))
-    banded = members.join(main, "zone").select("cls", "n", "comp", "zone", F.floor(F.log("n") / F.log(F.lit(100 / LIKE))).cast("int").alias("band"), (F.col("comp") == F.col("main")).alias("inside"))
+    banded = members.join(main, "zone").select("cls", "n", "comp", "zone", F.floor(F.log("n") / F.log(F.lit(100 / like))).cast("int").alias("band"), (F.col("comp") == F.col("main")).alias("inside"))
     sized = banded.groupBy("zone", "band", "inside").agg(F.count("*").alias("held"), F.sum("n").alias("shingles"))
     many = cut_lineage(sized.select("zone", "band", "inside", F.ceil(F.greatest(F.col("held") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")))
     block = lambda i: F.struct("band", "inside", i.alias("i"))

@@ -33,16 +33,25 @@ m AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, piece) AS best FROM s)
 SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS n_pieces FROM m WHERE dice = best AND dice >= {license_scan.THRESHOLD} GROUP BY doc_id, license"""
 
 
-def near_groups() -> str:
-    """op7: shingles joined with shingles, links on full sets, then all that is reached."""
+def _reached(like: int) -> str:
+    """Shingles joined with shingles, links on full sets, then all that is reached: tables sets (doc_id, own) and c (doc_id, component_id)."""
     return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{_SPACE}]+') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS own FROM w),
 s AS (SELECT doc_id, len(own) AS n, unnest(own) AS x FROM sets),
-e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {like} * (a.n + b.n - count(*))),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
-c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
-SELECT doc_id, CAST(len(own) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN c USING (doc_id)"""
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+
+def near_groups() -> str:
+    """op7."""
+    return f"{_reached(75)} SELECT doc_id, CAST(len(own) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN c USING (doc_id)"
+
+
+def ngram_groups() -> str:
+    """op12."""
+    return f"{_reached(80)} SELECT doc_id, CAST(len(own) AS BIGINT) AS n_shingles, component_id FROM sets JOIN c USING (doc_id)"
 
 
 def _measures() -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, fill_middle, license_scan, near_dedup, oracles, packing, pii, quality, sharding, spelling, toxicity, url_rules
+from . import chat, decontaminate, fill_middle, license_scan, near_dedup, ngram_join, oracles, packing, pii, quality, sharding, spelling, toxicity, url_rules
 
 SHARDS = 40
 
@@ -77,6 +77,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     form, output = F.col("fim.form"), F.col("fim.output")
@@ -86,7 +90,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_licenses, op3_pii, op4_toxicity, op5_chat, op6_packing, op7_near_dedup, op8_quality, quality_ablations, op9_decontaminate, op10_url_rules, op11_spelling, op13_fill_middle)
+    f.__name__: f for f in (op1_sharding, op2_licenses, op3_pii, op4_toxicity, op5_chat, op6_packing, op7_near_dedup, op8_quality, quality_ablations, op9_decontaminate, op10_url_rules, op11_spelling, op12_ngram_join, op13_fill_middle)
 }
 
 SQL = {
@@ -95,6 +99,7 @@ SQL = {
     "op8_quality": oracles.ledger(),
     "quality_ablations": oracles.ablations("v2"),
     "op11_spelling": oracles.spelling_groups(),
+    "op12_ngram_join": oracles.ngram_groups(),
     "op13_fill_middle": oracles.fill_in_middle(),
     "op5_chat": r"""
 WITH rows AS (

@@ -11,7 +11,7 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-def near_groups(rows):
+def near_groups(rows, like=75):
     """[(doc_id, text)] -> [(doc_id, size, component)], in order; null ids don't name a component."""
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
@@ -29,7 +29,7 @@ def near_groups(rows):
                 near[j] += 1
             seen[x].append(i)
         for j, both in near.items():
-            if 100 * both >= 75 * (len(s) + len(sets[j]) - both):
+            if 100 * both >= like * (len(s) + len(sets[j]) - both):
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
