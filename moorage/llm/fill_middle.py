@@ -22,7 +22,7 @@ from ..session import fresh
 #: A unit: one code point.
 UNIT = "."
 #: Units of a run, from the first step to the last.
-SIZES = (256, 16, 1)
+SIZES = (128, 16, 1)
 MARKS = {"prefix": "<P>", "suffix": "<S>", "middle": "<M>"}
 ANY_MARK = "<[PSM]>"
 #: Percents of the texts that are left plain, and of the others that get the suffix first.
@@ -36,9 +36,9 @@ def runs(text: Column, unit: str, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?:{one}){{1,{size}}}+"), F.lit(0))
 
 
-def n_units(held: Column, unit: str, size: int) -> Column:
-    """How many units runs of ``size`` hold."""
-    return F.when(F.size(held) > 0, (F.size(held) - 1).cast("long") * size + F.size(runs(F.element_at(held, -1), unit, 1))).otherwise(F.lit(0).cast("long"))
+def n_units(text: Column, unit: str) -> Column:
+    """How many units a text has."""
+    return F.length(text).cast("long") if unit == "." else F.size(runs(text, unit, 1)).cast("long")
 
 
 def drawn(doc_id: Column, i: int, seed: str = SEED) -> Column:
@@ -51,7 +51,7 @@ def _lower_runs(rows: DataFrame, keys: list[str], unit: str, size: int) -> DataF
     """``rows`` (keys, cut, want, begin, piece: a run) with the run of ``size`` units in it that holds the unit wanted."""
     each = rows.select(*keys, "cut", "want", "begin", F.posexplode(runs(F.col("piece"), unit, size)).alias("at", "run"))
     before = Window.partitionBy(*keys, "cut").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    units = F.lit(1) if size == 1 else F.size(runs(F.col("run"), unit, 1))
+    units = F.lit(1) if size == 1 else n_units(F.col("run"), unit)
     sized = each.withColumns({"units": units.cast("long"), "chars": F.length("run").cast("long")})
     summed = sized.withColumns({"units_before": F.coalesce(F.sum("units").over(before), F.lit(0)), "chars_before": F.coalesce(F.sum("chars").over(before), F.lit(0))})
     held = summed.where("units_before < want AND want <= units_before + units")
@@ -65,17 +65,17 @@ def cut_offsets(texts: DataFrame, keys: list[str], unit: str = UNIT) -> DataFram
     (from 1 on; others have no row) after which they lie. Rows of equal keys are
     equal and count once.
     """
-    asked = F.map_filter("wanted", lambda _, u: u > 0)
-    base = texts.select(*keys, asked.alias("wanted"), runs(F.col("text"), unit, SIZES[0]).alias("runs")).where(F.size("wanted") > 0)
-    requests = base.select(*keys, F.explode("wanted").alias("cut", "want")).distinct()
-    each = base.select(*keys, "wanted", F.posexplode("runs").alias("at", "run"))
-    units = F.size(runs(F.col("run"), unit, 1)) if unit != "." else F.length("run")
-    asked_here = F.exists(F.map_values("wanted"), lambda u: F.floor((u - 1) / SIZES[0]) == F.col("at"))
-    sized = each.select(*keys, "at", units.cast("long").alias("units"), F.length("run").cast("long").alias("chars"), F.when(asked_here, F.col("run")).alias("piece"))
+    asked = texts.select(*keys, "text", F.map_filter("wanted", lambda _, u: u > 0).alias("wanted")).where(F.size("wanted") > 0)
+    requests = asked.select(*keys, F.explode("wanted").alias("cut", "want")).distinct()
+    numbers = F.transform(F.map_values("wanted"), lambda u: F.floor((u - 1) / SIZES[0]).cast("int"))
+    split = asked.select(*keys, numbers.alias("numbers"), runs(F.col("text"), unit, SIZES[0]).alias("runs"))
+    # Of a run its length, and its text only if a cut lies in it.
+    told = F.transform("runs", lambda r, i: F.struct(n_units(r, unit).alias("units"), F.length(r).cast("long").alias("chars"), F.when(F.array_contains("numbers", i), r).alias("piece")))
     # Repeated rows give the same runs; one of each stays. Taken before the shuffle as well.
-    once = sized.groupBy(*keys, "at").agg(F.max("units").alias("units"), F.max("chars").alias("chars"), F.max("piece").alias("piece"))
+    once = split.select(*keys, told.alias("runs")).groupBy(*keys).agg(F.first("runs").alias("runs"))
+    sized = once.select(*keys, F.posexplode("runs").alias("at", "r")).select(*keys, "at", "r.*")
     before = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = once.withColumns({"units_before": F.coalesce(F.sum("units").over(before), F.lit(0)), "begin": F.coalesce(F.sum("chars").over(before), F.lit(0))}).where("piece IS NOT NULL")
+    placed = sized.withColumns({"units_before": F.coalesce(F.sum("units").over(before), F.lit(0)), "begin": F.coalesce(F.sum("chars").over(before), F.lit(0))}).where("piece IS NOT NULL")
     a, b = placed.alias("a"), requests.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     # By the keys alone as an equality, so that the rows stay where the window has them.
@@ -104,7 +104,7 @@ def transform(docs: DataFrame, unit: str = UNIT, seed: str = SEED, plain: int =
     text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id")
     # A row's key: its id, and a hash of id and text.
     keyed = docs.withColumns({body: text, k1: F.coalesce(doc_id.cast("long"), F.lit(-1)), k2: F.xxhash64(doc_id, doc_id.isNull(), text)})
-    held = keyed.withColumn(num, n_units(runs(F.col(body), unit, SIZES[0]), unit, SIZES[0]))
+    held = keyed.withColumn(num, n_units(F.col(body), unit))
     left_plain = (F.col(num) == 0) | F.col(body).rlike(ANY_MARK) | (drawn(doc_id, 3, seed) % 100 >= 100 - plain)
     one, two = (drawn(doc_id, i, seed) % (F.col(num) + 1) for i in (1, 2))
     named = held.withColumns({form: F.when(left_plain, "plain").when(drawn(doc_id, 4, seed) % 100 < suffix_first, "spm").otherwise("psm"), fore: F.least(one, two), back: F.greatest(one, two)})
