@@ -14,9 +14,11 @@ What is joined where follows from exact bounds, so no link is lost:
   they occur, the rarest ones but ``more(n) - 1`` must hold a common one. Shingles
   that nobody else has use up these places, so documents that have but some
   passages in common with others don't meet. Classes of equal sets count once.
-* Lists of classes by such a shingle are not expanded. In each round every class
-  is joined with the leaders that it meets most often, in tries of a leader's
-  classes; what links becomes one component, and lists of one component go.
+* Lists of classes by such a shingle are not expanded. First every class is
+  joined with the leader that it meets most often, in tries of a leader's
+  classes; what links becomes one component, and lists of one component go. Where
+  more than SHORT members of a list are still outside its largest component,
+  further leaders follow.
 * What is left gets lists of full sets and zones (see near_dedup), whose members
   outside the largest component meet the zone block by block, trie by trie.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, forget, ship
-from .near_dedup import _list_array, _mixed, _sets, _slices, _WordHashes, blocked, connected, full_lists, open_lists, shingle_set, zones
+from .near_dedup import SHORT, _list_array, _mixed, _sets, _slices, _WordHashes, blocked, connected, full_lists, largest, open_lists, shingle_set, zones
 from .workers import give_back
 
 #: Similarity in hundredths.
@@ -50,19 +52,19 @@ def least(n: int) -> int:
 
 def head(n: int) -> int:
     """How many of a set's first shingles are looked at."""
-    return n - least(n) + 1 + n // 20
+    return n - least(n) + 1 + n // 10
 
 
 def more(n: int) -> int:
     """How many of its head a set shares with the head of any that it links with: the smallest such set has least(n) shingles."""
-    return 1 + least(n) // 20
+    return 1 + least(n) // 10
 
 
 def _column(f, n: Column) -> Column:
     """``head`` or ``more`` over a column."""
     low = F.ceil(LIKE * n / 100).cast("long")
-    twentieth = lambda x: F.floor(x / 20).cast("long")
-    return n - low + 1 + twentieth(n) if f is head else 1 + twentieth(low)
+    tenth = lambda x: F.floor(x / 10).cast("long")
+    return n - low + 1 + tenth(n) if f is head else 1 + tenth(low)
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,6 +310,13 @@ def joined(docs: DataFrame) -> DataFrame:
     labels = cut_lineage(known.select("cls", F.col("cls").alias("comp")))
     for turn in range(ROUNDS):
         named = open_lists(lists, labels)
+        if turn:
+            # Further leaders only where many are still outside a list's largest component.
+            every, named = named, cut_lineage(named.join(largest(named).where(F.col("outside") > SHORT).select("v"), "v"))
+            forget(every)
+            if named.isEmpty():
+                forget(named)
+                break
         links = leader_links(leaders(named, turn), known.select("cls", "n").join(labels, "cls"), sets)
         labels = connected(links, labels)
         forget(named, links)
