@@ -10,6 +10,12 @@ substituted, wherever the substituted ones are.
 The masks find every such passage: those of MASKS any three substitutions in
 NEED words, those of short_masks a quarter of a shorter item (checked for all
 placements in the tests).
+
+A benchmark whose seeds fit into a worker is sent there, in parts if need be.
+A larger one is joined by a shuffle (``joined_overlaps``): hashes of documents
+with hashes of the benchmark's distinct windows of NEED words. Items that have a
+phrase in common have its windows in common, so a phrase of many items costs a
+document one candidate a place, and items come in where a window is verified.
 """
 
 from __future__ import annotations
@@ -21,17 +27,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut_lineage, forget, fresh, ship
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 5, 7, 8, 9), (0, 1, 2, 6, 8))
 #: Words in a row that an overlap must span, or all of an item with fewer words.
 NEED = 12
 #: Characters of benchmark text that are broadcast at once; a larger benchmark is taken in parts, each of them against all documents.
 PART_CHARS = 8_000_000
+#: Parts of a benchmark from which on hashes are joined: each part is a pass over the documents, the join moves some rows a word, once.
+JOIN_PARTS = 10
 _WORDS = re.compile(r"[^\W_]+")
 _BITS = 20
 
@@ -188,6 +198,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, part_chars: int = PART_
     An empty table on either side gives an empty result.
     """
     ship(docs.sparkSession)
+    if (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) > part_chars * JOIN_PARTS:
+        return joined_overlaps(docs, benchmark)
     spark, out = docs.sparkSession, None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for part in benchmark_parts(benchmark, part_chars):
@@ -196,6 +208,119 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, part_chars: int = PART_
     return out
 
 
+def _word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) | 1 for w in words), dtype=np.uint64, count=len(words))
+
+
+def shapes(sizes: list[int]) -> list[tuple[int, ...]]:
+    """The masks that windows of these numbers of words need, each from its first word on."""
+    short = [tuple(k - m[0] for k in m) for n in sorted(set(sizes)) if n < NEED for m in short_masks(n)]
+    return list(dict.fromkeys([*(MASKS if NEED in sizes else ()), *short]))
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each item its windows of NEED words, or all of a shorter one: win (a hash of its words), words, item, text, at."""
+    for batch in batches:
+        out = []
+        for item_id, text in zip(batch["item_id"], batch["text"]):
+            words = _word_hashes(words_of(text))
+            n = min(NEED, len(words))
+            for at in range(len(words) - n + 1 if n else 0):
+                own = words[at : at + n]
+                out.append((xxhash.xxh64_intdigest(own.tobytes()) - 2**63, own.view(np.int64).tolist(), item_id, text, at))
+        yield pd.DataFrame(out, columns=["win", "words", "item_id", "text", "at"]).astype({"item_id": "Int64"})
+
+
+def _window_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each window its hashes under the masks that are sought in it, and where they are: h, win, at."""
+    for batch in batches:
+        out = []
+        for win, words in zip(batch["win"], batch["words"]):
+            ids = np.asarray(words, dtype=np.int64).view(np.uint64)
+            masks = MASKS if len(ids) == NEED else short_masks(len(ids))
+            for m in masks:
+                own, first = tuple(k - m[0] for k in m), m[0]
+                factors = _factors(NEED)
+                for at, h in enumerate(hashes(ids, own, factors).tolist()):
+                    if len(ids) == NEED or at == first:
+                        out.append((h - 2**63, win, at))
+        yield pd.DataFrame(out, columns=["h", "win", "at"]).drop_duplicates()
+
+
+def _place_seeds(masks: list[tuple[int, ...]]):
+    """Of each text its hashes under all masks: h, row, place."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _factors(NEED)
+        for batch in batches:
+            for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist()):
+                ids = _word_hashes(words_of(text))
+                for m in masks:
+                    h = (hashes(ids, m, factors) - np.uint64(2**63)).view(np.int64)
+                    if len(h):
+                        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), row, dtype=np.int64)), pa.array(np.arange(len(h), dtype=np.int64))], names=["h", "row", "place"])
+
+    return seeds
+
+
+def _verified(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """Windows that a text has with at most a quarter of their words substituted: row, win, place. A place may lie before the text or reach beyond it."""
+    out = []
+    for row, text in zip(texts["row"], texts["text"]):
+        ids = _word_hashes(words_of(text))
+        for win, place, words in zip(found["win"], found["place"], found["words"]):
+            own = np.asarray(words, dtype=np.int64).view(np.uint64)
+            first, end = max(0, place), min(len(ids), place + len(own))
+            if end > first and int((ids[first:end] == own[first - place : end - place]).sum()) * 4 >= 3 * len(own):
+                out.append((row, win, place))
+    return pd.DataFrame(out, columns=["row", "win", "place"])
+
+
+def _best_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for row, text, item_id, item, shifts in zip(batch["row"], batch["text"], batch["item_id"], batch["item"], batch["shifts"]):
+            ids, own = _word_hashes(words_of(text)), _word_hashes(words_of(item))
+            best = None
+            for shift in sorted(set(shifts)):
+                first, end = max(0, shift), min(len(ids), shift + len(own))
+                same = ids[first:end] == own[first - shift : end - shift]
+                if best_stretch(same)[0] >= min(NEED, len(own)):
+                    equal, a, b = passage(same)
+                    if best is None or equal > best[0]:
+                        best = (equal, first + a, first + b)
+            if best:
+                rows.append((row, item_id, best[0], len(own), best[1], best[2]))
+        yield pd.DataFrame(rows, columns=["row", "item_id", "equal_words", "item_words", "first_word", "end_word"]).astype({"item_id": "Int64"})
+
+
+def joined_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """find_overlaps by a join of hashes, whatever the benchmark's size; texts of more than one row are sought once."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").where("text IS NOT NULL")
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    texts = cut_lineage(rows.groupBy("row").agg(F.first("text").alias("text")))
+    placed = cut_lineage(items.mapInPandas(_windows, "win long, words array<long>, item_id long, text string, at long"))
+    windows = cut_lineage(placed.groupBy("win").agg(F.first("words").alias("words")))
+    sizes = [r.n for r in windows.select(F.size("words").alias("n")).distinct().collect()]  # at most NEED
+    seeds = cut_lineage(windows.mapInPandas(_window_seeds, "h long, win long, at long"))
+    places = texts.mapInArrow(_place_seeds(shapes(sizes)), "h long, row long, place long")
+    # What one list of each side holds is met once: a seed of several windows, at several places.
+    known = seeds.select("h").distinct()
+    hit = cut_lineage(places.join(known, "h", "left_semi"))
+    candidates = hit.join(seeds, "h").select("row", "win", (F.col("place") - F.col("at")).alias("place")).distinct().join(windows, "win")
+    met = texts.join(candidates.select("row").distinct(), "row", "left_semi")
+    held = cut_lineage(met.groupBy("row").cogroup(candidates.groupBy("row")).applyInPandas(_verified, "row long, win long, place long"))
+    # Only now the items come in: all of these overlap.
+    each = held.join(placed.select("win", "item_id", F.col("text").alias("item"), "at"), "win")
+    pairs = each.groupBy("row", "item_id", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("shifts"))
+    best = pairs.join(texts, "row").mapInPandas(_best_places, "row long, item_id long, equal_words long, item_words long, first_word long, end_word long")
+    # An item's id may stand on several texts: as many rows as overlap.
+    out = cut_lineage(rows.select("doc_id", "row").join(best, "row").select("doc_id", "item_id", "equal_words", "item_words", "first_word", "end_word"))
+    forget(texts, placed, windows, seeds, hit, held)
+    return out
+
+
 def _tester(held: Broadcast):
     def clean(texts: pd.Series) -> pd.Series:
         part = held.value
@@ -211,6 +336,10 @@ def drop_overlapping(docs: DataFrame, benchmark: DataFrame, part_chars: int = PA
     repeated rows stay or go alike.
     """
     ship(docs.sparkSession)
+    if (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) > part_chars * JOIN_PARTS:
+        (key,) = fresh(docs, "text_hash")
+        gone = joined_overlaps(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
+        return docs.withColumn(key, F.xxhash64("text")).join(gone, key, "left_anti").select(docs.columns)
     spark = docs.sparkSession
     for part in benchmark_parts(benchmark, part_chars):
         docs = docs.where(F.pandas_udf(_tester(spark.sparkContext.broadcast(build(part))), "boolean")("text"))

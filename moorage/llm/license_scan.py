@@ -17,6 +17,7 @@ Only DataFrame expressions.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -57,8 +58,16 @@ TEMPLATES = {
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
-    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ],
+    "LGPL-3.0": [
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
     "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
     "BSD-3-Clause": [
         "Released under the BSD 3-Clause License.",
@@ -79,11 +88,41 @@ TEMPLATES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work."],
     "proprietary": ["All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher."],
 }
+#: Words and pairs that tell a licence from its neighbours. A piece is compared with templates only that have the same of them as it has.
+TELLING = (
+    "affero", "lesser", "library general", "noncommercial", "sharealike", "noderivatives", "by nc", "by sa", "by nd", "nc sa", "nc nd",
+    "version 1", "version 2", "version 3", "version 4", "2 1", "bsd 2", "bsd 3", "v 1", "v 2", "not licensed", "not released", "not covered", "not available", "not distributed", "not under",
+)
+#: Names that count only where a text has no other one: they stand in the headers of other licences too.
+WEAK_NAMES = ("proprietary",)
+
+
+def tagged(templates: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The templates with the line that names each in a machine-readable header."""
+    out = {}
+    for name, sentences in templates.items():
+        tags = [] if name in WEAK_NAMES else [name] + [f"{name}-{more}" for more in ("only", "or-later") if "GPL-" in name]
+        out[name] = [*sentences, *(f"SPDX-License-Identifier: {tag}" for tag in tags)]
+    return out
+
+
+TEMPLATES = tagged(TEMPLATES)
+
+
+def load_templates(path: str) -> dict[str, list[str]]:
+    """A catalogue from a JSON file, {licence: [sentence or paragraph]}; it may have any number of them."""
+    with open(path, encoding="utf-8") as f:
+        return tagged(json.load(f))
+
+
 #: Lines without a letter or digit part paragraphs; sentences end before white space.
-PARAGRAPH, SENTENCE = r"\n(?:[^A-Za-z0-9\n]*\n)+", r"[.!?]+[ \t\r\n]+"
+PARAGRAPH, SENTENCE = r"\n[^A-Za-z0-9]*\n", r"[.!?]+[ \t\r\n]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters that a single word needs to be an anchor; shorter ones are in too many texts.
 LONG_WORD = 7
@@ -96,20 +135,26 @@ def bigrams(sentence: str) -> list[str]:
     return list(dict.fromkeys(pairs))
 
 
+def telling(sentence: str) -> list[str]:
+    """The TELLING words and pairs that a sentence has, in their order."""
+    words = " ".join(re.findall(r"[a-z0-9]+", sentence.translate(str.maketrans(UPPER, LOWER))))
+    return [x for x in TELLING if f" {x} " in f" {words} "]
+
+
 def least_common(own: int, threshold: float) -> int:
     """The fewest of a template's bigrams that a piece must have: 2 c / (own + size) >= threshold, where size >= c."""
     return max(1, math.ceil(own * threshold / (2 - threshold) - 1e-9))
 
 
-def template_rows(templates: dict[str, list[str]], threshold: float) -> list[tuple[int, list[tuple[str, list[str], int]]]]:
-    """(size, templates that admit it as (license, bigrams, their number)): 2 min / (a + b) >= threshold bounds the sizes."""
-    rows: dict[int, list] = {}
+def template_rows(templates: dict[str, list[str]], threshold: float) -> list[tuple[int, str, list[tuple[str, list[str], int]]]]:
+    """(size, what tells, templates that admit these as (license, bigrams, their number)): 2 min / (a + b) >= threshold bounds the sizes."""
+    rows: dict[tuple[int, str], list] = {}
     for name, sentences in templates.items():
         for sentence in sentences:
             own = bigrams(sentence)
             for size in range(least_common(len(own), threshold), math.floor(len(own) * (2 - threshold) / threshold + 1e-9) + 1):
-                rows.setdefault(size, []).append((name, own, len(own)))
-    return sorted(rows.items())
+                rows.setdefault((size, ",".join(telling(sentence))), []).append((name, own, len(own)))
+    return [(size, told, known) for (size, told), known in sorted(rows.items())]
 
 
 def anchors(templates: dict[str, list[str]], threshold: float) -> list[str]:
@@ -172,20 +217,29 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     compared whole; an empty table gives an empty result. Rows of one doc_id
     are taken together, repeated rows counting each; a null id is an id like any
     other. A piece counts for the licence whose template it is most like, for
-    each of them in a tie. The work is linear in the text.
+    each of them in a tie. Templates whose telling words (TELLING) the piece
+    doesn't have, or that lack one that it has, aren't compared with it, so a
+    licence isn't taken for its neighbour; WEAK_NAMES are left out where the
+    documents of an id have another licence. The work is linear in the text.
     """
     # At most as many rows as the templates' sizes admit, whatever the input.
-    sizes = F.broadcast(docs.sparkSession.createDataFrame(template_rows(templates, threshold), "size int, known array<struct<license:string,own:array<string>,n_own:int>>"))
+    sizes = F.broadcast(docs.sparkSession.createDataFrame(template_rows(templates, threshold), "size int, told string, known array<struct<license:string,own:array<string>,n_own:int>>"))
     marks = anchored(anchors(templates, threshold))
     likely = docs.select("doc_id", "text").where(F.col("text").rlike(marks))
     paragraphs = F.split("text", PARAGRAPH)
     cut = F.concat(F.split("text", "\n"), paragraphs, F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE))))
     # Step by step inside the row: each lambda's argument is worked out once.
     pieces = F.array_distinct(F.transform(F.filter(cut, lambda p: p.rlike(marks)), lambda p: F.trim(_plain(p))))
-    sized = likely.select("doc_id", F.explode(F.transform(F.transform(pieces, lambda p: F.split(p, " ")), _pairs)).alias("pairs")).withColumn("size", F.size("pairs"))
+    told = F.array_join(F.filter(F.array(*[F.lit(x) for x in TELLING]), lambda x: F.concat(F.lit(" "), F.col("piece"), F.lit(" ")).contains(F.concat(F.lit(" "), x, F.lit(" ")))), ",")
+    each = likely.select("doc_id", F.explode(pieces).alias("piece"))
+    sized = each.select("doc_id", told.alias("told"), _pairs(F.split("piece", " ")).alias("pairs")).withColumn("size", F.size("pairs"))
     dice = lambda k: 2.0 * F.size(F.array_intersect(F.col("pairs"), k["own"])) / (F.col("size") + k["n_own"])
-    scored = sized.join(sizes, "size").select("doc_id", F.transform("known", lambda k: F.struct(dice(k).alias("dice"), k["license"].alias("license"))).alias("scored"))
+    scored = sized.join(sizes, ["size", "told"]).select("doc_id", F.transform("known", lambda k: F.struct(dice(k).alias("dice"), k["license"].alias("license"))).alias("scored"))
     best = scored.withColumn("best", F.array_max("scored")["dice"]).where(F.col("best") >= threshold)
-    told = F.array_distinct(F.transform(F.filter("scored", lambda s: s["dice"] == F.col("best")), lambda s: s["license"]))
-    each = best.select("doc_id", "best", F.explode(told).alias("license"))
-    return each.groupBy("doc_id", "license").agg(F.round(F.max("best"), 6).alias("dice"), F.count("*").alias("n_pieces"))
+    names = F.array_distinct(F.transform(F.filter("scored", lambda s: s["dice"] == F.col("best")), lambda s: s["license"]))
+    hits = best.select("doc_id", "best", F.explode(names).alias("license"))
+    found = hits.groupBy("doc_id", "license").agg(F.round(F.max("best"), 6).alias("dice"), F.count("*").alias("n_pieces"))
+    # As many rows of an id as there are licences, at most.
+    by_id = found.groupBy("doc_id").agg(F.collect_list(F.struct("license", "dice", "n_pieces")).alias("all"))
+    strong = F.filter("all", lambda x: ~x["license"].isin(*WEAK_NAMES))
+    return by_id.select("doc_id", F.inline(F.when(F.size(strong) > 0, strong).otherwise(F.col("all"))))

@@ -20,17 +20,22 @@ def _plain(text: str) -> str:
 
 
 def licenses() -> str:
-    """op2: every distinct piece of a text against every template."""
+    """op2: every distinct piece of a text against every template that has the same telling words."""
     known = ", ".join(f"({_text(name)}, {_text(s)})" for name, sentences in license_scan.TEMPLATES.items() for s in sentences)
+    marks = ", ".join(map(_text, license_scan.TELLING))
+    told = lambda x: f"list_filter([{marks}], lambda m: contains(' ' || {x} || ' ', ' ' || m || ' '))"
+    weak = ", ".join(map(_text, license_scan.WEAK_NAMES))
     return rf"""
-WITH t(license, sentence) AS (VALUES {known}), tw AS (SELECT license, string_split({_plain('sentence')}, ' ') AS w FROM t), tb AS (SELECT license, {_bigrams('w')} AS own FROM tw),
+WITH t(license, sentence) AS (VALUES {known}), tw AS (SELECT license, {_plain('sentence')} AS p FROM t), tb AS (SELECT license, {_bigrams("string_split(p, ' ')")} AS own, {told('p')} AS tells FROM tw),
 p AS (SELECT doc_id, string_split_regex(text, {_text(license_scan.PARAGRAPH)}) AS paragraphs, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, list_concat(list_concat(lines, paragraphs), flatten(list_transform(paragraphs, lambda x: string_split_regex(x, {_text(license_scan.SENTENCE)})))) AS cut FROM p),
 q AS (SELECT doc_id, unnest(list_distinct(list_transform(cut, lambda x: {_plain('x')}))) AS piece FROM c),
 w AS (SELECT doc_id, piece, string_split(piece, ' ') AS w FROM q WHERE piece <> ''), b AS (SELECT doc_id, piece, {_bigrams('w')} AS pairs FROM w),
-s AS (SELECT doc_id, piece, license, max(CAST(2 * len(list_intersect(pairs, own)) AS DOUBLE) / (len(pairs) + len(own))) AS dice FROM b, tb WHERE list_has_any(pairs, own) GROUP BY ALL),
-m AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, piece) AS best FROM s)
-SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS n_pieces FROM m WHERE dice = best AND dice >= {license_scan.THRESHOLD} GROUP BY doc_id, license"""
+n AS (SELECT doc_id, piece, license, pairs, own, tells FROM b, tb WHERE list_has_any(pairs, own)),
+s AS (SELECT doc_id, piece, license, max(CAST(2 * len(list_intersect(pairs, own)) AS DOUBLE) / (len(pairs) + len(own))) AS dice FROM n WHERE tells = {told('piece')} GROUP BY ALL),
+m AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, piece) AS best FROM s),
+f AS (SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS n_pieces FROM m WHERE dice = best AND dice >= {license_scan.THRESHOLD} GROUP BY doc_id, license)
+SELECT * FROM f WHERE license NOT IN ({weak}) OR doc_id NOT IN (SELECT doc_id FROM f WHERE license NOT IN ({weak}))"""
 
 
 def _reached(like: int) -> str:

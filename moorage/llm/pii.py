@@ -1,11 +1,18 @@
 """Op 3, personal data: patterns, then information-theoretic sanitisation.
 
 Patterns find protected entities. All terms of the documents that hold an
-entity are then judged by what the whole corpus says of them: the pointwise
-mutual information of term and entity, over documents, against the information
-content of the entity. A term that reveals most of it is removed, one that
-reveals a good part is generalised, wherever it occurs in these documents; both
-are spans of kind ``term``.
+entity are then judged by what the whole corpus says of them: how likely a
+document with the term holds the entity, and one with the entity the term, each
+drawn towards the general frequency by ``PRIOR`` documents. Their geometric mean
+is what term and entity tell of each other: its logarithm is the information
+that is left of one once the other is known, whatever the corpus's size. A term
+that leaves little is removed, one that leaves some is generalised, wherever it
+occurs in these documents; both are spans of kind ``term``.
+
+Entities that stand in the same documents have the same counts with every term,
+so they are one group: a list of thousands of addresses in one document is
+counted once. Only terms that can reach the threshold meet the groups, and each
+text gets its terms once, whatever entities they reveal.
 """
 
 from __future__ import annotations
@@ -16,28 +23,24 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, fresh, ship
+from ..session import cut_lineage, forget, fresh, ship
 from .workers import give_back
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that must hold both term and entity before the term is judged; of an entity in fewer documents, all of them.
-JOINT = 3
-#: For an entity in fewer than JOINT documents, a term counts as if it also stood in this many documents without the entity.
-SMOOTH = 1
-#: Parts of an entity's information at which a term is generalised, and removed.
-GENERALISE, REMOVE = 0.7, 0.9
-#: Entities in JOINT documents or more whose frequencies are sent to the workers; beyond, the highest one stands for all.
-KNOWN_ENTITIES = 100_000
-#: Counts that a worker gathers before it passes them on; they are summed once more before the shuffle.
-KEPT_PAIRS, KEPT_TERMS = 50_000, 50_000
+#: Documents' worth of doubt: term and entity count as if each also stood in so many documents that hold the other as often as any.
+PRIOR = 1.0
+#: Values of ``bond`` from which a term is generalised, and removed. A term and an entity of one and the same document have 1/2, of two 2/3, of three 3/4; if one stands in a further document, about 0.41, 0.58, 0.67.
+GENERALISE, REMOVE = 0.5, 0.7
+#: Terms that a worker counts before it passes them on; counts are summed once more before the shuffle.
+KEPT_TERMS = 50_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Numbers with single dots between them: it cannot fail once begun, so a run of digits is read once.
+_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -68,13 +71,29 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def _ips(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping matches: four numbers at a time of each chain of numbers."""
+    spans = []
+    for m in _NUMBERS.finditer(text):
+        if m[0].count(".") < 3:
+            continue
+        parts, at = m[0].split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(x) <= 3 or len(x.lstrip("0")) <= 3 for x in four) and all(int(x.lstrip("0") or 0) <= 255 for x in four):
+                spans.append((at, end))
+            at = end + 1
+    return spans
+
+
 def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     """(start, kind's number, end) of every entity, in order; code points, end exclusive."""
     if not text:
         return []
     found = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))]
+        found += [(a, 1, b) for a, b in _ips(text)] if "." in text else []
         for m in _CARD.finditer(text):
             digits = _NOT_DIGIT.sub("", m[0])
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -104,110 +123,96 @@ def terms_outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tupl
 
 
 def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    part, n = TaskContext.get().partitionId(), 0
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             names = sorted({entity(text, k, a, b) for a, k, b in base_spans(text)})
-            rows.append((doc_id, part << 40 | n, text if names else None, names))
-            n += 1
-        yield pd.DataFrame(rows, columns=["doc_id", "row", "text", "entities"]).astype({"doc_id": "Int64"})
+            rows.append((doc_id, text if names else None, names))
+        yield pd.DataFrame(rows, columns=["doc_id", "text", "entities"]).astype({"doc_id": "Int64"})
     give_back()
 
 
-FOUND = "doc_id long, row long, text string, entities array<string>"
-
-
 def find_entities(docs: DataFrame) -> DataFrame:
-    """Each row's entities, and its text if it has any, cut from the lineage: row numbers stay as written."""
+    """doc_id, digest, text and entities of each row, the digest and the text only where there is an entity; cut from the lineage."""
     ship(docs.sparkSession)
-    return cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_find, FOUND))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_find, "doc_id long, text string, entities array<string>")
+    return cut_lineage(found.select("doc_id", F.sha2("text", 256).alias("digest"), "text", "entities"))
 
 
-def _counts(docs: DataFrame, most: dict[str, float], other: float) -> DataFrame:
-    """entity, term, n: documents with both, and with a null entity documents with the term. Summed before the shuffle.
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    df: Counter[str] = Counter()
 
-    A pair is left out where the term stands in more documents than let it
-    disclose the entity: ``most`` by entity, ``other`` for the rest.
-    """
+    def out() -> pd.DataFrame:
+        rows = pd.DataFrame({"term": list(df), "n": list(df.values())})
+        df.clear()
+        return rows.astype({"term": object, "n": "int64"})
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df: Counter[str] = Counter()
-        pairs: Counter[tuple[str, str]] = Counter()
-
-        def out() -> pd.DataFrame:
-            rows = [(None, t, n) for t, n in df.items()]
-            rows += [(e, t, n) for (e, t), n in pairs.items() if df[t] <= most.get(e, other)]
-            df.clear()
-            pairs.clear()
-            return pd.DataFrame(rows, columns=["entity", "term", "n"])
-
-        for batch in batches:
-            for text in batch["text"]:
-                if not text:
-                    continue
+    for batch in batches:
+        for text in batch["text"]:
+            if text:
                 df.update({t.lower() for t in set(_TERM.findall(text))})
-                spans = base_spans(text)
-                terms = {t for t, _, _ in terms_outside(text, spans)} if spans else ()
-                for name in {entity(text, k, a, b) for a, k, b in spans}:
-                    pairs.update((name, t) for t in terms)
-                    if len(pairs) > KEPT_PAIRS:
-                        yield out()
                 if len(df) > KEPT_TERMS:
                     yield out()
-        yield out()
-        give_back()
+    yield out()
+    give_back()
 
-    return docs.select("text").mapInPandas(count, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
 
+def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for digest, text in zip(batch["digest"], batch["text"]):
+            terms = list({t for t, _, _ in terms_outside(text, base_spans(text))})
+            yield pd.DataFrame({"digest": [digest] * len(terms), "term": terms})
+    give_back()
 
-def disclosing(docs: DataFrame, found: DataFrame, joint: int = JOINT, generalise: float = GENERALISE, remove: float = REMOVE, smooth: int = SMOOTH) -> DataFrame:
-    """entity, term, action of the terms that reveal an entity, from the whole corpus.
 
-    With N documents, of which e hold the entity, t the term and j both, the
-    information is log(N j / (e t)) of log(N / e). Of an entity in fewer than
-    ``joint`` documents all must hold the term, and t is smoothed.
-    """
-    n = found.count()
-    held = cut_lineage(found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("e")))
-    often = held.where(F.col("e") >= joint)
-    known = often.limit(KNOWN_ENTITIES + 1).collect()
-    # A share of ``generalise`` needs t <= e (N / e) ** (1 - generalise), as j is e at most; this grows with e.
-    bound = lambda e: 1.001 * e * max(1.0, n / e) ** (1 - generalise)
-    if len(known) <= KNOWN_ENTITIES:
-        counts = _counts(docs, {r.entity: bound(r.e) for r in known}, bound(max(1, joint - 1)))
-    else:
-        counts = _counts(docs, {}, bound(often.agg(F.max("e")).first()[0]))
-    counts = cut_lineage(counts)
-    pairs = counts.where("entity IS NOT NULL").withColumnRenamed("n", "j").join(held, "entity").where((F.col("j") >= F.least(F.lit(joint), "e")) & (F.col("e") < n))
-    df = counts.where("entity IS NULL").select("term", F.col("n").alias("df"))
-    t = F.col("df") + F.when(F.col("e") < joint, F.lit(smooth)).otherwise(F.lit(0))
-    share = F.log(F.lit(float(n)) * F.col("j") / (F.col("e") * t)) / F.log(F.lit(float(n)) / F.col("e"))
-    kept = pairs.join(df, "term").where(share >= generalise)
-    return kept.select("entity", "term", F.when(share >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
-
-
-def term_spans(text: str, spans: list[tuple[int, int, int]], reveal: dict[tuple[str, str], str]) -> list[tuple[int, int, str]]:
-    """(start, end, action) of every occurrence of a term that reveals one of the text's entities."""
-    names, out = {entity(text, k, a, b) for a, k, b in spans}, []
-    for term, a, b in terms_outside(text, spans) if reveal else ():
-        # A term that reveals two entities is removed if either says so: "remove" sorts last.
-        action = max((reveal.get((name, term), "") for name in names), default="")
-        if action:
-            out.append((a, b, action))
+def bond(j: Column, t: Column, e: Column, n: int, prior: float = PRIOR) -> Column:
+    """What term and entity tell of each other: of ``n`` documents ``e`` hold the entity, ``t`` the term and ``j`` both. It grows with j."""
+    return F.sqrt((j + prior * e / n) / (t + prior) * (j + prior * t / n) / (e + prior))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, prior: float = PRIOR) -> DataFrame:
+    """digest, term, remove: for each text with an entity the terms that reveal one, and whether they are to be removed; from the whole corpus, cut from the lineage."""
+    n = max(1, found.count())
+    # Equal texts once, with their number.
+    texts = cut_lineage(found.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("w"), F.first("entities").alias("entities"), F.first("text").alias("text")))
+    held = texts.select("digest", "w", F.explode("entities").alias("entity"))
+    # What texts hold an entity, as hashes of the set: entities of one set are one group.
+    hashed = held.withColumns({"x": F.xxhash64("digest"), "y": F.xxhash64(F.lit(1), "digest")})
+    sets = hashed.groupBy("entity").agg(F.sum("w").alias("e"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.count("*").alias("k"))
+    groups = cut_lineage(held.join(sets.select("entity", "e", F.xxhash64("x", "y", "k").alias("grp")).where(F.col("e") < n), "entity").select("digest", "w", "grp", "e").distinct())
+    # The term needs to stand in few documents: ``bond`` at its largest, j being the smaller of e and t.
+    may = lambda: bond(F.least("e", "t"), F.col("t"), F.col("e"), n, prior) >= generalise
+    widest = groups.groupBy("digest").agg(F.max("e").alias("e"))
+    df = docs.select("text").mapInPandas(_counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("t"))
+    # (e + prior) / (t + prior) >= generalise squared, whatever else.
+    rare = df.where(F.col("t") <= ((groups.agg(F.max("e")).first()[0] or 0) + prior) / generalise**2)
+    terms = texts.select("digest", "text").mapInPandas(_terms, "digest string, term string")
+    likely = cut_lineage(terms.join(rare, "term").join(widest, "digest").where(F.col("t") <= (F.col("e") + prior) / generalise**2).select("digest", "term", "t"))
+    pairs = likely.join(groups, "digest").where(may())
+    both = pairs.groupBy("grp", "term").agg(F.sum("w").alias("j"), F.max("t").alias("t"), F.max("e").alias("e"))
+    p = bond(F.col("j"), F.col("t"), F.col("e"), n, prior)
+    judged = cut_lineage(both.withColumn("p", p).where(F.col("p") >= generalise).select("grp", "term", (F.col("p") >= remove).alias("remove")))
+    # A term that reveals two entities is removed if it is for either.
+    out = cut_lineage(likely.select("digest", "term").join(groups.select("digest", "grp"), "digest").join(judged, ["grp", "term"]).groupBy("digest", "term").agg(F.max("remove").alias("remove")))
+    forget(texts, groups, likely, judged)
     return out
 
 
-def _pairs_of(more) -> dict[tuple[str, str], str]:
-    return {(x["entity"], r["term"]): r["action"] for x in (more if more is not None else ()) for r in x["own"]}
+def term_spans(text: str, spans: list[tuple[int, int, int]], reveal: dict[str, bool]) -> list[tuple[int, int, bool]]:
+    """(start, end, whether it is to be removed) of every occurrence of a revealing term."""
+    return [(a, b, reveal[t]) for t, a, b in terms_outside(text, spans) if t in reveal] if reveal else []
+
+
+def _reveals(own) -> dict[str, bool]:
+    return {r["term"]: r["remove"] for r in own} if own is not None else {}
 
 
 def _digest(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
-    for text, more in zip(rows["text"], rows["more"]):
+    for text, own in zip(rows["text"], rows["own"]):
         spans = base_spans(text)
         base = written(spans)
-        extra = [(a, len(KINDS), b) for a, b, _ in term_spans(text, spans, _pairs_of(more))] if spans else []
+        extra = [(a, len(KINDS), b) for a, b, _ in term_spans(text, spans, _reveals(own))] if spans else []
         names = (*KINDS, "term")
         every = ",".join(f"{names[y]}:{x}:{z}" for x, y, z in sorted(spans + extra))
         kinds = [y for _, y, _ in spans]
@@ -223,10 +228,9 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     give_back()
 
 
-def _revealed(held: DataFrame, key: str, reveal: DataFrame) -> DataFrame:
-    """``key`` and, as ``more``, its entities with their revealing terms; held: key, entity. An entity's terms travel as one row."""
-    own = reveal.groupBy("entity").agg(F.collect_list(F.struct("term", "action")).alias("own"))
-    return held.join(own, "entity").groupBy(key).agg(F.collect_list(F.struct("entity", "own")).alias("more"))
+def _by_text(reveal: DataFrame) -> DataFrame:
+    """digest, own: a text's revealing terms, no more than it has terms."""
+    return reveal.groupBy("digest").agg(F.collect_list(F.struct("term", "remove")).alias("own"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -238,9 +242,11 @@ def scan(docs: DataFrame) -> DataFrame:
     an empty table gives an empty result.
     """
     found = find_entities(docs)
-    more = _revealed(found.select("row", F.explode("entities").alias("entity")), "row", disclosing(docs, found))
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return found.join(more, "row", "left").select("doc_id", "text", "more").mapInPandas(_digests, schema)
+    own = _by_text(disclosing(docs, found))
+    held = found.where("digest IS NOT NULL").join(own, "digest", "left").select("doc_id", "text", "own")
+    rest = found.where("digest IS NULL").select("doc_id", "text", F.lit(None).cast("array<struct<term:string,remove:boolean>>").alias("own"))
+    return held.unionByName(rest).mapInPandas(_digests, schema)
 
 
 def generalised(term: str) -> str:
@@ -248,13 +254,13 @@ def generalised(term: str) -> str:
     return "[ID]" if _DIGIT.search(term) else "[NAME]" if term[:1].isupper() else "[TERM]"
 
 
-def sanitise_text(text: str | None, reveal: dict[tuple[str, str], str]) -> str | None:
+def sanitise_text(text: str | None, reveal: dict[str, bool]) -> str | None:
     """The text with entities replaced by their kind, and revealing terms generalised to their class or removed; null stays null."""
     spans = base_spans(text)
     if not spans:
         return text
     cuts, end = [(a, b, f"[{KINDS[k].upper()}]") for a, k, b in spans], -1
-    cuts += [(a, b, "" if action == "remove" else generalised(text[a:b])) for a, b, action in term_spans(text, spans, reveal)]
+    cuts += [(a, b, "" if remove else generalised(text[a:b])) for a, b, remove in term_spans(text, spans, reveal)]
     out, at = [], 0
     for a, b, mark in sorted(cuts):
         if a >= end:  # of overlapping entities the first says what stands there; the rest is covered by it
@@ -270,34 +276,35 @@ def sanitise(docs: DataFrame, part: int = 100_000) -> DataFrame:
     count each in the corpus statistics; texts of any length are cleaned whole;
     of overlapping entities the first one's mark stands for all; a term that
     discloses two entities is removed if it is for either. An empty table gives
-    an empty result. The revealing pairs are sent to the workers up to ``part``; if there are
-    more, each entity's pairs go to the documents that hold it by a join.
+    an empty result. The texts' revealing terms are sent to the workers up to
+    ``part`` of them; if there are more, texts with a digit or an @ (others hold
+    no entity) are joined with theirs.
     """
     found = find_entities(docs)
-    reveal = cut_lineage(disclosing(docs, found))
+    reveal = disclosing(docs, found)
+    forget(found)
     pairs = reveal.limit(part + 1).collect()
     if len(pairs) <= part:
-        known = {(r.entity, r.term): r.action for r in pairs}
-        clean = F.pandas_udf(_cleaner(known), "string")
-        return docs.withColumn("text", clean("text"))
+        known: dict[str, dict[str, bool]] = {}
+        for r in pairs:
+            known.setdefault(r.digest, {})[r.term] = r.remove
+        return docs.withColumn("text", F.pandas_udf(_cleaner(known), "string")("text"))
     key, own = fresh(docs, "text_digest", "reveal")
-    entities = F.array_distinct(F.pandas_udf(_entities, "array<string>")("text"))
-    digest = F.sha2("text", 256)
-    held = docs.select(digest.alias(key), F.explode(entities).alias("entity")).distinct()
-    each = _revealed(held, key, reveal).withColumnRenamed("more", own)
-    return docs.withColumn(key, digest).join(each, key, "left").withColumn("text", F.pandas_udf(_clean_each, "string")("text", own)).select(docs.columns)
+    may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
+    each = _by_text(reveal).select(F.col("digest").alias(key), F.col("own").alias(own))
+    held = docs.where(may).withColumn(key, F.sha2("text", 256)).join(each, key, "left")
+    return held.withColumn("text", F.pandas_udf(_clean_each, "string")("text", own)).select(docs.columns).unionByName(docs.where(~may))
+
 
+def _cleaner(known: dict[str, dict[str, bool]]):
+    def one(text: str | None) -> str | None:
+        return sanitise_text(text, known.get(hashlib.sha256(text.encode()).hexdigest(), {})) if text and base_spans(text) else text
 
-def _cleaner(known: dict[tuple[str, str], str]):
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([sanitise_text(t, known) for t in texts], dtype="object")
+        return pd.Series([one(t) for t in texts], dtype="object")
 
     return clean
 
 
-def _entities(texts: pd.Series) -> pd.Series:
-    return pd.Series([[entity(t, k, a, b) for a, k, b in base_spans(t)] for t in texts], dtype="object")
-
-
-def _clean_each(texts: pd.Series, pairs: pd.Series) -> pd.Series:
-    return pd.Series([sanitise_text(t, _pairs_of(p)) for t, p in zip(texts, pairs)], dtype="object")
+def _clean_each(texts: pd.Series, own: pd.Series) -> pd.Series:
+    return pd.Series([sanitise_text(t, _reveals(x)) for t, x in zip(texts, own)], dtype="object")

@@ -26,8 +26,8 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: The trie is broadcast up to this many characters of rules; a longer list is taken in parts of this size.
-PART_CHARS = 32_000_000
+#: The trie is broadcast up to this many characters of rules, about 60 bytes each in a worker; a longer list is taken in parts of this size.
+PART_CHARS = 3_000_000
 
 
 def build_trie(rules: Sequence[tuple[str, str, str]]) -> dict:

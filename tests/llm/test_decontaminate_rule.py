@@ -38,3 +38,33 @@ def test_the_rule_on_random_passages():
         assert found(words, item) == want, (words, item)
         seen.add((want, len(item)))
     assert len(seen) == 20
+
+
+def test_a_join_of_hashes_finds_the_same(spark, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    frame, items = say(14), []
+    for i in range(40):
+        items.append((i, " ".join(frame + say(6) if i % 4 == 0 else say(rng.choice((1, 2, 3, 5, 8, 11, 12, 20, 40))))))
+    items += [(100, None), (101, ""), (102, items[3][1]), (3, items[3][1]), (None, items[5][1])]
+    rows = []
+    for k in range(120):
+        own = (items[rng.randrange(40)][1] or "").split()
+        for _ in range(rng.randint(0, 1 + len(own) // 3)):
+            own[rng.randrange(len(own))] = rng.choice(words + ["new"])
+        if k % 5 == 0:
+            own = own[rng.randint(0, 4) :]
+        rows.append((k, " ".join(say(rng.choice((0, 0, 7))) + own + say(rng.choice((0, 9))))))
+    rows += [(200, " ".join(frame)), (201, None), (202, ""), (None, rows[4][1]), (203, rows[4][1]), (203, rows[4][1])]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, text_hash string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, decontaminate.find_overlaps(docs, bench).collect()))
+    assert len(want) > 60
+    assert sorted(map(str, decontaminate.joined_overlaps(docs, bench).collect())) == want
+    kept = sorted(map(str, decontaminate.drop_overlapping(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "JOIN_PARTS", 0)
+    assert sorted(map(str, decontaminate.drop_overlapping(docs, bench).collect())) == kept
+    assert decontaminate.joined_overlaps(docs, bench.limit(0)).collect() == [] == decontaminate.joined_overlaps(docs.limit(0), bench).collect()

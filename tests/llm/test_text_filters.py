@@ -115,12 +115,16 @@ def test_decontamination(spark):
 
 
 def slow_licences(rows):
-    """(doc_id, license) -> (dice, pieces): every distinct piece of a text against every template."""
+    """(doc_id, license) -> (dice, pieces): every distinct piece of a text against every template with the same telling words."""
 
     def pairs(text):
         return set(license_scan.bigrams(text))
 
-    known = [(name, pairs(s)) for name, sentences in license_scan.TEMPLATES.items() for s in sentences]
+    def marks(text):
+        words = re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in text))
+        return {x for n in (1, 2) for i in range(len(words)) for x in [" ".join(words[i : i + n])] if x in license_scan.TELLING}
+
+    known = [(name, pairs(s), marks(s)) for name, sentences in license_scan.TEMPLATES.items() for s in sentences]
     best, count = {}, Counter()
     for d, text in rows:
         paragraphs = re.split(r"\n(?:[^A-Za-z0-9\n]*\n)+", text or "")
@@ -128,14 +132,17 @@ def slow_licences(rows):
         for piece in {" ".join(re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in p))) for p in cut} - {""}:
             own = pairs(piece)
             scores = {}
-            for name, other in known:
+            for name, other, told in known:
+                if told != marks(piece):
+                    continue
                 scores[name] = max(scores.get(name, 0), 2 * len(own & other) / (len(own) + len(other)))
-            top = max(scores.values())
+            top = max(scores.values(), default=0)
             for name in scores if top >= license_scan.THRESHOLD else ():
                 if scores[name] == top:
                     best[d, name] = max(best.get((d, name), 0), round(top, 6))
                     count[d, name] += 1
-    return {k: (best[k], count[k]) for k in best}
+    strong = {d for d, name in best if name not in license_scan.WEAK_NAMES}
+    return {k: (best[k], count[k]) for k in best if k[1] not in license_scan.WEAK_NAMES or k[0] not in strong}
 
 
 def test_licences(spark):
@@ -159,6 +166,36 @@ def test_licences(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_licences_are_not_taken_for_their_neighbours(spark, tmp_path):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    bsd = license_scan.TEMPLATES["BSD"]
+    cases = [
+        (gnu.format("Affero ", 3), {"AGPL-3.0"}), (gnu.format("Lesser ", 3), {"LGPL-3.0"}), (gnu.format("Lesser ", "2.1").replace("program", "library").replace(":", ";"), {"LGPL-2.1"}), (gnu.format("", 3), {"GPL-3.0"}), (gnu.format("", 2), {"GPL-2.0"}),
+        ("Licensed under the GNU Affero General Public License, version 3.", {"AGPL-3.0"}), ("Licensed under the GNU Lesser General Public License, version 2.1.", {"LGPL-2.1"}), ("Licensed under the GNU General Public License, version 1.", set()),
+        ("Licensed under CC BY-NC-SA 4.0.", {"CC-BY-NC-SA-4.0"}), ("Licensed under CC BY-NC 4.0.", {"CC-BY-NC-4.0"}), ("Licensed under CC BY-SA 4.0.", {"CC-BY-SA-4.0"}), ("Licensed under CC BY-ND 4.0.", {"CC-BY-ND-4.0"}), ("Licensed under CC BY 4.0.", {"CC-BY-4.0"}),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", {"CC-BY-NC-SA-4.0"}),
+        ("Not licensed under the MIT License.", set()), ("Licensed under the MIT License.", {"MIT"}), ("Released under the BSD 2-Clause License.", {"BSD-2-Clause"}), ("Released under the BSD 3-Clause License.", {"BSD-3-Clause"}),
+        ("Copyright (c) 2020, Someone. All rights reserved.\n\n" + "\n\n".join(bsd), {"BSD"}), ("Copyright 2020. All rights reserved.", {"proprietary"}),
+        ("# SPDX-License-Identifier: MIT", {"MIT"}), ("// SPDX-License-Identifier: GPL-2.0-only", {"GPL-2.0"}), ("SPDX-License-Identifier: LGPL-3.0-or-later", {"LGPL-3.0"}), ("SPDX-License-Identifier: AGPL-3.0-or-later", {"AGPL-3.0"}), ("SPDX-License-Identifier: Apache-2.0", {"Apache-2.0"}), ("SPDX-License-Identifier: None", set()),
+    ]
+    df = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")
+    got = {}
+    for r in license_scan.scan(df).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert [(t, got.get(i, set())) for i, (t, _) in enumerate(cases)] == cases
+    path = tmp_path / "own.json"
+    path.write_text('{"House-1.0": ["You may share this text with your neighbours if you name its source."]}')
+    own = license_scan.load_templates(str(path))
+    rows = [(1, "Note.\nYou may share this text with your neighbours if you name the source."), (2, "SPDX-License-Identifier: House-1.0"), (3, "Licensed under the MIT License.")]
+    assert {(r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), own).collect()} == {(1, "House-1.0"), (2, "House-1.0")}
+
+
+def test_long_runs_of_marks_end_no_worker(spark):
+    rows = [(i, f"before\n{mark * 1_000_000}\nReleased under the MIT License.") for i, mark in enumerate(["\n", " \n", ".", "-", "|", " ", "\t", "#", "a", "1", "가", "é"])]
+    got = {r.doc_id for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(len(rows)))
+
+
 def test_fold():
     assert toxicity.fold("1D10T! Ídïот") == " idiot  idiot "
     assert toxicity.fold(None) == "  "
