@@ -1,17 +1,14 @@
-"""Hangul syllables and typing errors.
+"""Hangul syllables and typing errors (N11-N15), as Column expressions.
 
-Taking syllables apart, and the likely typing errors of a word, are Column
-expressions over constant arrays. The weighted edit distance is an Arrow UDF:
-it is a dynamic program per pair, run on pairs that blocking has left.
+The weighted edit distance is a dynamic program by ``aggregate``, row by row,
+so pairs are compared in the JVM. ``distance`` is the same in plain Python, for
+the letter trie and the tests.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Letters, keyboard and confusions that results depend on.
 CHO = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
@@ -139,29 +136,60 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
     return F.levenshtein(a, b) * NEXT_KEY_COST <= F.greatest(F.length(a), F.length(b)) * F.lit(1 - threshold) + 1e-9
 
 
-def _by_pair(f):
-    """A UDF over two texts; a null gives a null, and each distinct pair of a batch is worked out once."""
+def cheap_pairs() -> dict[tuple[str, str], float]:
+    """Pairs of letters that cost less than 1 to take for each other."""
+    return _CHEAP
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        done: dict[tuple[str, str], float] = {}
-        out = np.empty(len(a), dtype=object)
-        for k, pair in enumerate(zip(a, b)):
-            if pair[0] is None or pair[1] is None:
-                out[k] = None
-            else:
-                if pair not in done:
-                    done[pair] = f(*pair)
-                out[k] = done[pair]
-        return pd.Series(out)
 
-    return F.pandas_udf(run, T.DoubleType())
+def _pairs_of(cost: float) -> str:
+    """The pairs of that cost as one text, blanks between them."""
+    return " ".join(a + b for (a, b), c in sorted(_CHEAP.items()) if c == cost)
 
 
-similarity = _by_pair(pair_similarity)
+def _swap_cost(a: Column, b: Column) -> Column:
+    pair = F.concat(a, b)
+    return F.when(a == b, 0.0).when(F.lit(_pairs_of(CONFUSED_COST)).contains(pair), CONFUSED_COST).when(F.lit(_pairs_of(NEXT_KEY_COST)).contains(pair), NEXT_KEY_COST).otherwise(1.0)
+
+
+def _last_row(x: Column, y: Column, cap: Column) -> Column:
+    """row, over of two arrays of letters: the last row of distances, and whether one row was above the cap altogether."""
+    places = F.when(F.size(y) > 0, F.sequence(F.lit(1), F.size(y))).otherwise(F.array().cast("array<int>"))
+
+    def next_row(acc: Column, letter: Column) -> Column:
+        above = acc["row"]
+
+        def cell(row: Column, j: Column) -> Column:
+            swap = F.element_at(above, j) + _swap_cost(letter, F.element_at(y, j))
+            return F.concat(row, F.array(F.least(F.element_at(above, j + 1) + 1, F.element_at(row, -1) + 1, swap)))
+
+        return F.aggregate(places, F.array(F.element_at(above, 1) + 1), cell, lambda row: F.struct(row.alias("row"), (acc["over"] | (F.array_min(row) > cap)).alias("over")))
+
+    first = F.transform(F.concat(F.array(F.lit(0)), places), lambda i: i.cast("double"))
+    return F.aggregate(x, F.struct(first.alias("row"), F.lit(False).alias("over")), next_row)
+
+
+def _letters(text: Column) -> Column:
+    return F.filter(F.split(decompose(text), ""), lambda c: c != "")
+
+
+def _distance(a: Column, b: Column, x: Column, y: Column, cap: Column) -> Column:
+    """``distance`` of two texts whose letters are x and y."""
+    # Of an array of one, so that the rows are worked out once for both of their parts.
+    told = F.transform(F.array(F.struct(x.alias("x"), y.alias("y"), cap.cast("double").alias("cap"))), lambda p: F.struct(p["cap"].alias("cap"), _last_row(p["x"], p["y"], p["cap"]).alias("r"), F.abs(F.size(p["x"]) - F.size(p["y"])).alias("gap")))
+    value = F.transform(told, lambda t: F.when((t["gap"] > t["cap"]) | t["r"]["over"], t["cap"] + 1).otherwise(F.element_at(t["r"]["row"], -1)))
+    return F.when(a.isNull() | b.isNull(), None).when(a == b, 0.0).otherwise(F.element_at(value, 1))
 
 
 def weighted_distance(a: Column, b: Column, cap: float = 6) -> Column:
-    return _by_pair(lambda x, y: distance(letters_of(x), letters_of(y), cap))(a, b)
+    """The distance of two texts' letters, cap + 1 once it must exceed the cap; null if one is null."""
+    return _distance(a, b, _letters(a), _letters(b), F.lit(cap))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """1 less the distance for each letter of the longer text; 1 for two empty ones, null if one is null."""
+    x, y = _letters(a), _letters(b)
+    longest = F.greatest(F.size(x), F.size(y))
+    return F.when(a.isNull() | b.isNull(), None).when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - _distance(a, b, x, y, longest) / longest))
 
 
 def _replacements() -> dict[str, list[list[str]]]:

@@ -15,13 +15,17 @@ from pyspark.sql import types as T
 
 # The patterns, lists and units that results depend on.
 #: White space of the regular expressions, the Unicode kind.
-WS = r"[\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_BLANKS = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+WS = f"[{_BLANKS}]"
+#: The same as characters.
+BLANKS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Each is linear in the text, whatever runs of one mark it has: no group is repeated, and nothing that a step repeats can begin the next one.
 CLEAN_STEPS = [
     (r"«불명»|\[손글씨\]|\[\[NO_TEXT\]\]", " "),
-    (r"(?m)^[ \t]*[-—–]?[ \t]*[0-9]{1,3}[ \t]*[-—–]?[ \t]*$", ""),
+    (r"(?m)^[ \t]*(?:[-—–][ \t]*)?[0-9]{1,3}[ \t]*(?:[-—–][ \t]*)?$", ""),
     (rf"(?i)(?:page|페이지|쪽){WS}*[0-9]+{WS}*(?:/{WS}*[0-9]+)?", " "),
     (r"(?m)^[ \t]*[-=*_]{3,}[ \t]*$", ""),
-    (rf"\|(?:{WS}|[:\-])*\|", " "),
+    (rf"\|[{_BLANKS}:\-]*\|", " "),
     (r"(?m)^[ \t]*(?:[-•◦▪▶■●○◆□※·]|[0-9]{1,2}[.)]|[가-힣][.)]|\([0-9가-힣]+\))[ \t]*", ""),
     (r"\n{3,}", "\n\n"),
 ]
@@ -58,7 +62,7 @@ nfkc = F.pandas_udf(_normal, T.StringType())
 
 def trim(text: Column) -> Column:
     """Without white space of the Unicode kind at the ends."""
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean(text: Column, normal: bool = False) -> Column:
@@ -75,7 +79,7 @@ def clean(text: Column, normal: bool = False) -> Column:
 
 def fold_clean(cleaned: Column) -> Column:
     """The skeleton of a cleaned text: no marks, punctuation or white space, lower case."""
-    return F.lower(F.regexp_replace(cleaned, f"(?:{MARKS}|{PUNCTUATION}|{SPACES})+", ""))
+    return F.lower(F.regexp_replace(cleaned, f"[{MARKS}{PUNCTUATION}{SPACES.removesuffix('+')}]+", ""))
 
 
 def fold(text: Column, normal: bool = False) -> Column:

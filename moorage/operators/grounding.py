@@ -26,7 +26,7 @@ GROUNDED, WEAK = 0.85, 0.55
 CONTAINED = 2
 #: Bytes of quotes' grams that are sent to the workers.
 SENT_BYTES = 48_000_000
-#: The smallest numeric values of a source that derived numbers are sought among.
+#: The smallest numeric values of a source that derived numbers are sought among, unless all are asked for.
 VALUES = 200
 
 
@@ -127,6 +127,16 @@ def _scored(best: DataFrame, key: str, least: float) -> DataFrame:
     return best.select(key, "quote", score.alias("score"), where.alias("where")).where(F.col("score") >= least)
 
 
+def best_windows(hits: DataFrame, key: str) -> DataFrame:
+    """key, quote, n_grams, best: the most distinct grams of a quote within one window of its width; ``hits``: key, quote, n_grams, width, i, pos."""
+    after = F.lead("pos").over(Window.partitionBy(key, "quote", "i").orderBy("pos"))
+    spans = hits.select(key, "quote", "n_grams", "pos", F.least(F.col("pos") + F.col("width") + 1, after).alias("end"))
+    ends = spans.select(key, "quote", "n_grams", F.explode(F.array(F.struct(F.col("pos").cast("long").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").cast("long").alias("at"), F.lit(-1).alias("step")))).alias("e"))
+    steps = ends.groupBy(key, "quote", "n_grams", F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step"))
+    depth = F.sum("step").over(Window.partitionBy(key, "quote").orderBy("at"))
+    return steps.withColumn("depth", depth).groupBy(key, "quote", "n_grams").agg(F.max("depth").alias("best"))
+
+
 def score_quotes(sources: DataFrame, quotes: DataFrame, key: str, pairs: DataFrame | None = None, least: float = 0.0, most_bytes: int = SENT_BYTES) -> DataFrame:
     """key, quote, score, where: how densely a quote's grams lie in a source.
 
@@ -154,12 +164,7 @@ def score_quotes(sources: DataFrame, quotes: DataFrame, key: str, pairs: DataFra
     long = bound.where(F.col("n_grams") > CONTAINED)
     placed = sources.join(long.select(key).distinct(), key, "left_semi").select(key, F.posexplode(grams(F.col("folded"))).alias("pos", "gram"))
     hits = placed.join(long.select(key, "quote"), key).join(own, ["quote", "gram"])
-    after = F.lead("pos").over(Window.partitionBy(key, "quote", "i").orderBy("pos"))
-    spans = hits.select(key, "quote", "n_grams", "pos", F.least(F.col("pos") + F.col("width") + 1, after).alias("end"))
-    ends = spans.select(key, "quote", "n_grams", F.explode(F.array(F.struct(F.col("pos").cast("long").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").cast("long").alias("at"), F.lit(-1).alias("step")))).alias("e"))
-    steps = ends.groupBy(key, "quote", "n_grams", F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step"))
-    depth = F.sum("step").over(Window.partitionBy(key, "quote").orderBy("at"))
-    best = steps.withColumn("depth", depth).groupBy(key, "quote", "n_grams").agg(F.max("depth").alias("best"))
+    best = best_windows(hits, key)
     # Short quotes whose grams the source has: whether they stand there in a row.
     short = bound.where(F.col("n_grams") <= CONTAINED).select(key, "quote", "n_grams").join(quotes.select("quote", "folded_quote"), "quote").join(sources.select(key, "folded"), key)
     inside = short.where(F.col("folded").contains(F.col("folded_quote"))).select(key, "quote", "n_grams", F.col("n_grams").cast("long").alias("best"))
@@ -176,32 +181,81 @@ def verify_quotes(scores: DataFrame) -> DataFrame:
     return scores.withColumn("verdict", verdict(F.col("score"), F.col("where"))).withColumn("score", F.round("score", 3))
 
 
-def source_values(numbers: DataFrame, key: str) -> DataFrame:
-    """key, vals: the smallest VALUES distinct numeric values of a source; ``numbers`` has key and num."""
+def source_values(numbers: DataFrame, key: str, most: int | None = VALUES) -> DataFrame:
+    """key, vals: the smallest ``most`` distinct numeric values of a source (None: all), in order; ``numbers`` has key and num."""
     value = numbers.select(key, F.col("num").try_cast("double").alias("v")).where("v IS NOT NULL").distinct()
-    nth = value.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("v"))).where(F.col("nth") <= VALUES)
-    return nth.groupBy(key).agg(F.sort_array(F.collect_list("v")).alias("vals"))
+    if most is not None:
+        value = value.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("v"))).where(F.col("nth") <= most)
+    return value.groupBy(key).agg(F.sort_array(F.collect_list("v")).alias("vals"))
 
 
-def classify_numbers(claims: DataFrame, numbers: DataFrame, key: str, raw: str = "raw") -> DataFrame:
+#: Pairs of values that are checked at once.
+PAIRS = 1_000_000
+
+
+def gives(v: float, vals: np.ndarray) -> bool:
+    """Whether two of the values a < b (in order, none negative) give v as difference, sum, share or growth.
+
+    For each a the b that can are one stretch of the values, found by bisection
+    with a little to spare; what lies there is checked by the rule itself, so the
+    work is n log n unless many pairs come close.
+    """
+    if len(vals) < 2 or not np.isfinite(v):
+        return False
+    eps = max(0.05, abs(v) * 1e-6)
+    a, spare = vals[:-1], 1e-9 * (1 + abs(v) + vals[-1])
+    own = np.arange(len(a))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        # |100 b / a - v| < 0.05 and |100 (b - a) / a - v| < 0.05; of a / b the other way round.
+        share_low = np.where(v + 0.05 > 0, 100 * a / max(v + 0.05, 1e-300), np.inf)
+        share_high = 100 * a / (v - 0.05) if v > 0.05 else np.full(len(a), np.inf)
+        stretches = [
+            (a + v - eps, a + v + eps, lambda x, y: np.abs(np.abs(x - y) - v) < eps),
+            (v - a - eps, v - a + eps, lambda x, y: np.abs(x + y - v) < eps),
+            (share_low, share_high, lambda x, y: (y != 0) & (np.abs(x / y * 100 - v) < 0.05)),
+            (a * (v - 0.05) / 100, a * (v + 0.05) / 100, lambda x, y: (x != 0) & (np.abs(y / x * 100 - v) < 0.05)),
+            (a * (1 + (v - 0.05) / 100), a * (1 + (v + 0.05) / 100), lambda x, y: (x != 0) & (np.abs((y - x) / x * 100 - v) < 0.05)),
+        ]
+        for low, high, rule in stretches:
+            first = np.maximum(np.searchsorted(vals, low - spare - 1e-9 * np.abs(low), "left"), own + 1)
+            last = np.searchsorted(vals, high + spare + 1e-9 * np.abs(high), "right")
+            sizes = np.maximum(last - first, 0)
+            ends = np.cumsum(sizes)
+            begin = 0
+            while begin < len(a):
+                done = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+                n = sizes[begin:end]
+                if total := int(n.sum()):
+                    x = np.repeat(own[begin:end], n)
+                    y = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[begin:end], n)
+                    if rule(vals[x], vals[y]).any():
+                        return True
+                begin = end
+    return False
+
+
+def _kinds(asked: pd.Series, vals: pd.Series) -> pd.Series:
+    out = []
+    for claims, held in zip(asked, vals):
+        own = np.asarray(held if held is not None else [], dtype=np.float64)
+        near = lambda v, own=own: bool(len(own)) and bool(np.abs(own - v).min() < 1e-9)
+        out.append([{"v": float(v), "kind": "literal" if near(v) else "derived" if gives(float(v), own) else "unknown"} for v in claims])
+    return pd.Series(out, dtype="object")
+
+
+def classify_numbers(claims: DataFrame, numbers: DataFrame, key: str, raw: str = "raw", most: int | None = VALUES) -> DataFrame:
     """``claims`` (key, raw, ...) with kind: literal, derived or unknown.
 
     A number is literal if the source has it, as text or as a value; derived if
     two of the source's values a < b give it as difference, sum, share or
-    growth. The search for pairs is within an array of at most VALUES numbers.
+    growth. Pairs are sought among the ``most`` smallest values, or all (None).
+    A source's values meet all of its claims at once, in one row.
     """
-    asked = claims.withColumn("_n", normalize_number(F.col(raw)))
+    asked = claims.withColumn("_n", normalize_number(F.col(raw))).withColumn("_v", F.col("_n").try_cast("double"))
     exact = numbers.select(key, F.col("num").alias("_n"), F.lit(True).alias("_literal")).distinct()
-    seen = asked.join(exact, [key, "_n"], "left").join(source_values(numbers, key), key, "left")
-    v = F.col("_n").try_cast("double")
-    near = F.exists("vals", lambda m: F.abs(m - v) < 1e-9)
-    eps = F.greatest(F.lit(0.05), F.abs(v) * 1e-6)
-
-    def gives(a: Column, b: Column) -> Column:
-        share = F.when(b != 0, F.abs(a / b * 100 - v) < 0.05).otherwise(False)
-        more = F.when(a != 0, (F.abs(b / a * 100 - v) < 0.05) | (F.abs((b - a) / a * 100 - v) < 0.05)).otherwise(False)
-        return (F.abs(F.abs(a - b) - v) < eps) | (F.abs(a + b - v) < eps) | share | more
-
-    derived = F.exists("vals", lambda a: F.exists("vals", lambda b: (a < b) & gives(a, b)))
-    kind = F.when(F.col("_literal") | near, "literal").when(v.isNull(), "unknown").when(derived, "derived").otherwise("unknown")
-    return seen.withColumn("kind", kind).drop("_n", "_literal", "vals")
+    gathered = asked.where("_v IS NOT NULL").groupBy(key).agg(F.collect_set("_v").alias("_asked")).join(source_values(numbers, key, most), key, "left")
+    kinds = gathered.select(key, F.explode(F.pandas_udf(_kinds, "array<struct<v:double,kind:string>>")("_asked", "vals")).alias("_k")).select(key, F.col("_k.v").alias("_v"), F.col("_k.kind").alias("_kind"))
+    seen = asked.join(exact, [key, "_n"], "left").join(kinds, [key, "_v"], "left")
+    kind = F.when(F.col("_literal"), "literal").otherwise(F.coalesce("_kind", F.lit("unknown")))
+    return seen.withColumn("kind", kind).select(*claims.columns, "kind")

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hangul import letter_classes, may_reach, similarity, typo_variants
+from ..functions.letter_trie import LetterTrie
 from ..functions.normalize import normalize_token, tokenize
+from ..session import cut_lineage
 
 # Endings, heads, affixes and budgets of the rules.
 INFLECTIONS = "하다 했다 하는 하여 하고 함 하기 한 했음 했습니다 하였다 해왔다 하려 하도록 하며 해야 되다 됐다 되는 되어 된 됨 되었다 됐음 되었습니다 시키다 시킴 시켰다".split()
@@ -176,24 +179,43 @@ def with_canon(tokens: DataFrame, lexicon: DataFrame, token: str = "token") -> D
     return found.withColumn("canon", F.coalesce("_ca", "_cb", "_t")).drop("_t", "_p", "_a", "_b", "_ca", "_cb")
 
 
-def fuzzy_canon(tokens: DataFrame, lexicon: DataFrame, token: str = "token", threshold: float = FUZZY) -> DataFrame:
+#: Surfaces of a trie, and tokens that are looked up in it by one task, about.
+TRIE, ASKED = 50_000, 20_000
+
+
+def _look_up(threshold: float):
+    """Each token with the best of the surfaces that its group has, if there is any."""
+
+    def look_up(asked: pd.DataFrame, surfaces: pd.DataFrame) -> pd.DataFrame:
+        trie = LetterTrie(surfaces["surface"])
+        rows = [(t, *hit) for t in asked["_t"] if (hit := trie.best(t, threshold, (len(t) - 1, len(t), len(t) + 1)))]
+        return pd.DataFrame(rows, columns=["_t", "surface", "score"])
+
+    return look_up
+
+
+def fuzzy_canon(tokens: DataFrame, lexicon: DataFrame, token: str = "token", threshold: float = FUZZY, trie: int = TRIE, asked_at_once: int = ASKED) -> DataFrame:
     """Token, canon, score: the most similar surface of a length one off at most.
 
-    Lengths are an equi-join on three offsets; of these pairs the ones that can
-    reach the threshold get their weighted distance. Of equally similar ones the
-    shorter, then the earlier surface in order of name. Below the threshold the
+    Tokens that the lexicon lacks go down a trie of its surfaces with a weighted
+    automaton (``LetterTrie``), each distinct one once. A lexicon of more than
+    ``trie`` surfaces is several tries, and tokens are dealt out, so a task has a
+    bounded part of both. Of equally similar ones the shorter, then the earlier
+    surface in order of name. Below the threshold, and for a null token, the
     normalised token with score 0.
     """
-    asked = tokens.select(token).distinct().withColumn("_t", normalize_token(F.col(token)))
-    exact = asked.join(F.broadcast(lexicon), F.col("_t") == F.col("surface"), "left")
-    hit = exact.where("surface IS NOT NULL").select(token, "canon", F.lit(1.0).alias("score"))
-    rest = exact.where("surface IS NULL").select(token, "_t", F.explode(F.array(*[F.length("_t") + d for d in (-1, 0, 1)])).alias("len"))
-    lettered = rest.withColumn("_l", letter_classes(F.col("_t"))).join(lexicon.withColumn("_m", letter_classes(F.col("surface"))), "len")
-    near = lettered.where(may_reach(F.col("_l"), F.col("_m"), threshold)).withColumn("_s", similarity(F.col("_t"), F.col("surface")))
-    best = near.groupBy(token, "_t").agg(F.min_by(F.struct("canon", "_s"), F.struct(-F.col("_s"), "len", "surface")).alias("m"))
-    told = rest.select(token, "_t").distinct().join(best.select(token, "m"), token, "left")
-    ok = F.coalesce(F.col("m._s"), F.lit(0.0)) >= threshold
-    return hit.unionByName(told.select(token, F.when(ok, F.col("m.canon")).otherwise(F.col("_t")).alias("canon"), F.when(ok, F.col("m._s")).otherwise(0.0).alias("score")))
+    named = cut_lineage(tokens.select(token).distinct().withColumn("_t", normalize_token(F.col(token))))
+    rest = cut_lineage(named.where("_t IS NOT NULL").select("_t").distinct().join(lexicon.select(F.col("surface").alias("_t")), "_t", "left_anti"))
+    parts, deals = (max(1, -(-n // most)) for n, most in ((lexicon.count(), trie), (rest.count(), asked_at_once)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = rest.select("_t", F.pmod(F.xxhash64("_t"), F.lit(deals)).cast("int").alias("_deal"), every(parts).alias("_part"))
+    held = lexicon.select("surface", F.pmod(F.xxhash64("surface"), F.lit(parts)).cast("int").alias("_part"), every(deals).alias("_deal"))
+    found = asked.groupBy("_part", "_deal").cogroup(held.groupBy("_part", "_deal")).applyInPandas(_look_up(threshold), "_t string, surface string, score double")
+    best = found.groupBy("_t").agg(F.min(F.struct((-F.col("score")).alias("s"), F.length("surface").alias("len"), "surface")).alias("m"))
+    near = best.select("_t", F.col("m.surface").alias("surface"), (-F.col("m.s")).alias("score")).join(lexicon.select("surface", "canon"), "surface")
+    exact = named.join(lexicon.select(F.col("surface").alias("_t"), "canon"), "_t").select("_t", "canon", F.lit(1.0).alias("score")).distinct()
+    told = named.join(exact.unionByName(near.select("_t", "canon", "score")), "_t", "left")
+    return told.select(token, F.coalesce("canon", "_t").alias("canon"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def expanded(tokens: DataFrame, lexicon: DataFrame, clusters: DataFrame, token: str = "token") -> DataFrame:

@@ -85,10 +85,14 @@ def term_claims(leaves: DataFrame) -> DataFrame:
 def unproven_issues(leaves: DataFrame, provenance: DataFrame) -> DataFrame:
     """G07.5, J06: long values on whose path, or on a beginning or continuation of it, there is no provenance."""
     told = leaves.where(~F.regexp_extract("path", r"([^.\[]+)(?:\[[0-9]+\])?$", 1).rlike(FILE_KEYS) & (F.length(trim(F.col("value"))) > LEAST_UNPROVEN))
-    given = provenance.groupBy("draft_id").agg(F.collect_set("path").alias("given"))
-    asked = told.join(given, "draft_id", "left")
-    held = F.exists(F.coalesce("given", F.array().cast("array<string>")), lambda p: F.col("path").startswith(p) | p.startswith(F.col("path")))
-    return _issue(asked, ~held, "minor", "G07 unproven", "hallucination")
+    beginnings = F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring("path", F.lit(1), n)))
+    given = provenance.select("draft_id", "path").distinct()
+    # Beginnings of paths are joined with whole paths, either way round, so a draft's paths never meet in one row.
+    below = told.select("draft_id", "path", beginnings.alias("given")).join(given.withColumnRenamed("path", "given"), ["draft_id", "given"], "left_semi").select("draft_id", "path")
+    above = given.select("draft_id", beginnings.alias("path"))
+    proven = below.unionByName(above).distinct().withColumn("_held", F.lit(True))
+    asked = told.join(proven, ["draft_id", "path"], "left")
+    return _issue(asked, F.col("_held").isNull(), "minor", "G07 unproven", "hallucination")
 
 
 def quote_issues(verified: DataFrame) -> DataFrame:

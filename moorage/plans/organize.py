@@ -51,8 +51,11 @@ class Grounds:
 
 
 def grounds(spark: SparkSession, docs: DataFrame, specs: DataFrame, typed: DataFrame) -> Grounds:
+    typed = cut_lineage(typed)
+    if (unknown := typed.join(specs.select("type_id").distinct(), "type_id", "left_anti").first()) is not None:
+        raise ValueError(f"draft {unknown.draft_id} is of type {unknown.type_id}, which the catalogue lacks")
     return Grounds(
-        cut_lineage(schema.all_fields(specs)), cut_lineage(typed), cut_lineage(grounding.folded_sources(docs, "draft_id", order="source_id")), cut_lineage(docs.select("draft_id", F.explode(N.numbers_in(F.col("text"))).alias("num")).distinct()),
+        cut_lineage(schema.all_fields(specs)), typed, cut_lineage(grounding.folded_sources(docs, "draft_id", order="source_id")), cut_lineage(docs.select("draft_id", F.explode(N.numbers_in(F.col("text"))).alias("num")).distinct()),
         cut_lineage(docs.select("draft_id", F.explode(N.tokenize(F.col("text"))).alias("token")).distinct()), cut_lineage(docs.select("draft_id", "name")), cut_lineage(lexicon.build_lexicon(spark)), cut_lineage(lexicon.seed_tables(spark)["clusters"]),
     )
 

@@ -54,8 +54,13 @@ def with_retry(call: Callable[[], str], retryable: Callable[[Exception], bool] =
     raise AssertionError
 
 
-def ask(requests: DataFrame, provider: Provider) -> DataFrame:
-    """The answers to ``requests`` (request_id, stage, prompt, temperature), with usage; exceptions are values."""
+def retryable(error: Exception) -> bool:
+    """Errors of the way to a model, which may pass; others are those of the request."""
+    return isinstance(error, (ConnectionError, TimeoutError))
+
+
+def ask(requests: DataFrame, provider: Provider, waits: list[int] | None = None) -> DataFrame:
+    """The answers to ``requests`` (request_id, stage, prompt, temperature), with usage; exceptions are values. Calls are tried again after ``waits`` seconds, by default 1, 2 and 4."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,7 +68,7 @@ def ask(requests: DataFrame, provider: Provider) -> DataFrame:
             for r in batch.itertuples():
                 began, answer, error = time.time(), None, None
                 try:
-                    answer = with_retry(lambda r=r: provider.answer(r.stage, r.prompt, r.temperature), waits=[0])
+                    answer = with_retry(lambda r=r: provider.answer(r.stage, r.prompt, r.temperature), retryable, waits)
                 except Exception as e:
                     error = f"{type(e).__name__}: {e}"
                 rows.append((r.request_id, r.stage, provider.resolve_model(r.stage), answer, len(r.prompt) * 10 // 17, len(answer or "") * 10 // 17, int(1000 * (time.time() - began)), error))
@@ -120,7 +125,7 @@ def extract(docs: DataFrame, specs: DataFrame, typed: DataFrame, key: str = "dra
     fields = all_fields(specs)
     top = fields.where("parent_key IS NULL").select("type_id", F.col("key").alias("path"), F.explode(F.array(F.lower("label"), F.lower("key"))).alias("said"), F.lit(None).cast("string").alias("sub")).distinct()
     cells = fields.where("parent_key IS NOT NULL").select("type_id", F.col("parent_key").alias("path"), F.lower(F.concat("parent_key", F.lit("[]."), "key")).alias("said"), F.col("key").alias("sub"))
-    pattern = r"^\s*(?:[-*#>|]\s*)*\**([^:|*]{1,60}?)\**\s*[:|]\s*\**\s*(.+?)\s*\|?\s*$"
+    pattern = r"^[\s\-*#>|]*+([^:|*]{1,60}?)\**\s*[:|]\s*\**\s*(.+?)\s*\|?\s*$"
     told = _lines(docs, typed, key, text).select(key, "type_id", "ord", F.col("line").alias("quote"), F.lower(F.trim(F.regexp_extract("line", pattern, 1))).alias("_said"), F.regexp_extract("line", pattern, 2).alias("value")).where("_said <> '' AND value <> ''")
     index = F.regexp_extract("_said", r"\[([0-9]+)\]\.", 1)
     asked = told.withColumn("said", F.regexp_replace("_said", r"\[[0-9]+\]", "[]")).withColumn("_i", index)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import document_queries, evaluation, fixture_queries, report_queries
+from . import document_queries, evaluation, fixture_queries, index_queries, report_queries, surface_queries, table_queries
 
-MODULES = [document_queries, fixture_queries, evaluation, report_queries]
+MODULES = [document_queries, index_queries, fixture_queries, evaluation, report_queries, surface_queries, table_queries]
 
 
 def queries() -> dict[str, Callable]:
