@@ -23,7 +23,7 @@ def normalized_extraction(evidence: DataFrame, fields: DataFrame) -> DataFrame:
     weak = F.col("confidence") < LEAST_CONFIDENCE
     value = F.get(F.filter(F.transform("rows", lambda r: r["value"]), lambda v: v.isNotNull()), F.lit(0))
     quotes = F.filter(F.transform("rows", lambda r: r["quote"]), lambda q: q.isNotNull())
-    told = per.select("draft_id", "path", F.when(~weak, value).alias("value"), "confidence", quotes.alias("quotes"), F.when(weak, F.lit("low confidence")).when(value.isNull(), F.lit("not found")).alias("reason"))
+    told = per.select("draft_id", "path", F.when(~weak, value).alias("value"), "confidence", quotes.alias("quotes"), F.when(weak, F.lit("low confidence")).alias("reason"))
     every = evidence.select("draft_id").distinct().crossJoin(F.broadcast(fields.select("path")))  # fields: the constants of a type
     missing = every.join(told, ["draft_id", "path"], "left_anti")
     return told.unionByName(missing.select("draft_id", "path", F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("confidence"), F.array().cast("array<string>").alias("quotes"), F.lit("not found").alias("reason")))

@@ -180,16 +180,22 @@ def with_canon(tokens: DataFrame, lexicon: DataFrame, token: str = "token") -> D
 
 
 #: Surfaces of a trie, and tokens that are looked up in it by one task, about.
-TRIE, ASKED = 50_000, 20_000
+TRIE, ASKED = 50_000, 5_000
 
 
 def _look_up(threshold: float):
     """Each token with the best of the surfaces that its group has, if there is any."""
 
     def look_up(asked: pd.DataFrame, surfaces: pd.DataFrame) -> pd.DataFrame:
-        trie = LetterTrie(surfaces["surface"])
-        rows = [(t, *hit) for t in asked["_t"] if (hit := trie.best(t, threshold, (len(t) - 1, len(t), len(t) + 1)))]
-        return pd.DataFrame(rows, columns=["_t", "surface", "score"])
+        # One for each length, so that a walk is bounded by words of that length.
+        tries = {n: LetterTrie(part) for n, part in surfaces["surface"].groupby(surfaces["surface"].str.len())}
+        rows = []
+        for t in asked["_t"]:
+            hits = [(-hit[1], n, hit[0]) for n in (len(t) - 1, len(t), len(t) + 1) if n in tries and (hit := tries[n].best(t, threshold, (n,)))]
+            if hits:
+                score, _, surface = min(hits)
+                rows.append((t, surface, -score))
+        return pd.DataFrame(rows, columns=["_t", "surface", "score"]).astype({"_t": object, "surface": object, "score": float})
 
     return look_up
 

@@ -110,10 +110,13 @@ def conversation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.empty_paths(X.FIELDS.df(spark), FORMS.df(spark, sf_dir))
 
 
-@query("number_claims", (X.LEAVES, FORMS))
-def conversation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+TEXTS = Derived("documents", lambda d: "SELECT doc_id AS draft_id, 'summary' AS path, text AS value FROM documents")
+
+
+@query("number_claims", (X.LEAVES, TEXTS))
+def document_number_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G07.3."""
-    return validation.number_claims(FORMS.df(spark, sf_dir))
+    return validation.number_claims(TEXTS.df(spark, sf_dir))
 
 
 @query("term_claims", (X.LEAVES, FORMS))
@@ -203,7 +206,8 @@ def conversation_unfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines of an order as rows of a repeater, said by several drafts; a row's key is its part's number.
-ROWS = Derived("lineitem", lambda d: ("SELECT l_orderkey AS form_id, 'items' AS field, CAST(l_linenumber % 3 AS INTEGER) AS rank, l_linenumber AS " + ('"row"' if d.duck else "row") + ", CAST(l_partkey % 4 AS STRING) AS row_key, concat('c', CAST(l_suppkey % 3 AS STRING)) AS " + ('"column"' if d.duck else "column") + ", concat(l_returnflag, ' ', l_partkey) AS value FROM lineitem"))
+_ROW = "CAST(l_linenumber % 3 AS INTEGER) AS rank, l_linenumber AS {q}row{q}, concat('part ', min(l_partkey) % 4) AS row_key, concat('c', min(l_suppkey) % 3) AS {q}column{q}, concat(min(l_returnflag), ' ', min(l_partkey)) AS value"
+ROWS = Derived("lineitem", lambda d: f"SELECT l_orderkey AS form_id, 'items' AS field, {_ROW.format(q=chr(34) if d.duck else '')} FROM lineitem GROUP BY l_orderkey, l_linenumber")
 
 
 @query("merge_rows", (X.ROWS, ROWS))
@@ -212,7 +216,7 @@ def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merged_rows(ROWS.df(spark, sf_dir))
 
 
-EVIDENCE = Derived("conversations", lambda d: f"SELECT conv_id AS draft_id, CAST(turn AS INTEGER) AS ord, {d.at(['title', 'summary', 'period', 'tasks'], 'turn')} AS path, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE text END AS value, (length(text) % 100) / CAST(100 AS DOUBLE) AS confidence, CASE WHEN length(text) % 3 > 0 THEN substr(text, 1, 30) END AS quote FROM conversations")
+EVIDENCE = Derived("conversations", lambda d: f"SELECT conv_id AS draft_id, CAST(turn AS INTEGER) AS ord, {d.at(['title', 'summary', 'period', 'tasks'], 'turn')} AS path, text AS value, (length(text) % 100) / CAST(100 AS DOUBLE) AS confidence, CASE WHEN length(text) % 3 > 0 THEN substr(text, 1, 30) END AS quote FROM conversations")
 
 
 @query("extract_normalize", (X.EVIDENCE, EVIDENCE))
@@ -225,7 +229,7 @@ def conversation_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 ISSUES = Derived("events", lambda d: "SELECT user_id AS draft_id, event_id AS ord, event_type AS path, 'format' AS type, props AS detail, CASE WHEN value > 50 THEN 'major' ELSE 'minor' END AS severity FROM events")
 GAPS = Derived("orders", lambda d: "SELECT o_custkey AS draft_id, concat('order ', o_orderkey) AS path, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' ELSE 'low' END AS priority, o_orderkey AS ord FROM orders")
 CALLS = Derived("events", lambda d: "SELECT event_type AS tier, event_id % 5000 AS in_tokens, user_id % 700 AS out_tokens FROM events")
-PRICES = Derived("events", lambda d: "SELECT DISTINCT event_type AS tier, length(event_type) / CAST(4 AS DOUBLE) AS in_price, length(event_type) / CAST(2 AS DOUBLE) AS out_price FROM events")
+PRICES = Derived("events", lambda d: "SELECT DISTINCT event_type AS tier, CAST(length(event_type) AS DOUBLE) AS in_price, CAST(length(event_type) * 3 AS DOUBLE) AS out_price FROM events")
 MODELS = Derived("part", lambda d: "SELECT DISTINCT concat('gen-', p_size, '.', p_partkey % 10, CASE WHEN p_partkey % 3 = 0 THEN '-pro' WHEN p_partkey % 3 = 1 THEN '-flash' ELSE '' END, CASE WHEN p_size % 5 = 0 THEN '-preview' ELSE '' END) AS model FROM part")
 
 
@@ -301,9 +305,12 @@ def part_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jamo_similarity", (X.PAIRS, PAIRS))
 def part_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N12-N14."""
-    a, b = F.col("a"), F.col("b")
-    return PAIRS.df(spark, sf_dir).select("a", "b", F.round(hangul.similarity(a, b), 6).alias("similarity"), F.round(hangul.weighted_distance(a, b), 6).alias("distance"))
+    """N12, N14."""
+    return PAIRS.df(spark, sf_dir).select("a", "b", F.round(hangul.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+# The SQL's distance has no cap.
+SQL["part_similarity"] = f"SELECT a, b, similarity FROM ({SQL['part_similarity']})"
 
 
 @query("typo_variants", (X.WORDS, WORDS))
@@ -349,7 +356,8 @@ def part_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.tiles(HEIGHTS.df(spark, sf_dir))
 
 
-SHEETS = Derived("customer", lambda d: "SELECT concat('c', c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '.csv' ELSE '.tsv' END) AS name, concat('name,', chr(9), 'segment', chr(10), c_name, ',', c_mktsegment, chr(9), c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN chr(10) ELSE '' END, chr(10), ',', c_acctbal > 0) AS text FROM customer")
+_BY = "CASE WHEN c_custkey % 2 = 0 THEN ',' ELSE chr(9) END"
+SHEETS = Derived("customer", lambda d: f"SELECT concat('c', c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '.csv' ELSE '.tsv' END) AS name, concat('name', {_BY}, 'segment', CASE WHEN c_custkey % 3 = 0 THEN chr(10) ELSE '' END, chr(10), c_name, {_BY}, c_mktsegment, chr(10), {_BY}, c_nationkey) AS text FROM customer")
 
 
 @query("csv_pairs", (X.TABLES, SHEETS))
