@@ -85,6 +85,10 @@ def ablations(policy: str) -> str:
     return f"WITH {_measures()} {rows}"
 
 
+def trials() -> str:
+    return " UNION ALL ".join(f"SELECT '{p}' AS policy, * FROM ({ablations(p)})" for p in sorted(quality.POLICIES))
+
+
 def spelling_words() -> str:
     """The checksum byte by byte, its table from the polynomial."""
     table = "list_transform(range(256), lambda b: list_reduce(range(8), lambda r, _: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, b))"

@@ -113,3 +113,18 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
         F.sum(F.when(F.col("hit").bitwiseAND(F.col("r.bit")) != 0, F.col("n")).otherwise(0)).alias("fails"),
         F.sum(F.when(F.col("hit") == F.col("r.bit"), F.col("n")).otherwise(0)).alias("alone"),
     )
+
+
+def store(docs: DataFrame, path: str) -> DataFrame:
+    """The ledger written to ``path`` and read back: texts are measured once, whatever policies are tried on it later."""
+    ledger(docs).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def trials(rows: DataFrame, policies: list[str] | None = None) -> DataFrame:
+    """policy, rule, fails, alone for all of the policies, from the bits of one stored ledger; an empty ledger has no rows."""
+    out = None
+    for name in sorted(POLICIES) if policies is None else policies:
+        own = ablations(rows, name).withColumn("policy", F.lit(name)).select("policy", "rule", "fails", "alone")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import shared_folder, table
 from . import chat, decontaminate, fill_middle, license_scan, near_dedup, ngram_join, oracles, packing, pii, quality, sharding, spelling, toxicity, url_rules
 
 SHARDS = 40
@@ -64,6 +65,11 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")), "v2")
 
 
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All policies tried on one stored ledger."""
+    return quality.trials(quality.store(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -90,7 +96,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_licenses, op3_pii, op4_toxicity, op5_chat, op6_packing, op7_near_dedup, op8_quality, quality_ablations, op9_decontaminate, op10_url_rules, op11_spelling, op12_ngram_join, op13_fill_middle)
+    f.__name__: f for f in (op1_sharding, op2_licenses, op3_pii, op4_toxicity, op5_chat, op6_packing, op7_near_dedup, op8_quality, quality_ablations, quality_policies, op9_decontaminate, op10_url_rules, op11_spelling, op12_ngram_join, op13_fill_middle)
 }
 
 SQL = {
@@ -98,6 +104,7 @@ SQL = {
     "op7_near_dedup": oracles.near_groups(),
     "op8_quality": oracles.ledger(),
     "quality_ablations": oracles.ablations("v2"),
+    "quality_policies": oracles.trials(),
     "op11_spelling": oracles.spelling_groups(),
     "op12_ngram_join": oracles.ngram_groups(),
     "op13_fill_middle": oracles.fill_in_middle(),
