@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, forget, ship
+from ..session import cut_lineage, forget, give_back_disk, ship
 from .near_dedup import SHORT, _list_array, _mixed, _sets, _slices, _WordHashes, blocked, connected, full_lists, largest, open_lists, shingle_set, zones
 from .workers import give_back
 
@@ -88,14 +88,16 @@ def head_rows(docs: DataFrame) -> DataFrame:
 
 
 def head_lists(classes: DataFrame) -> DataFrame:
-    """v, cls, n: of each class (cls, n, head) the rarest shingles of its head, as many as must hold one in common with any class that it links with; lists of one class are left out."""
+    """v, cls, n, h: of each class (cls, n, head) the rarest shingles of its head, as many as must hold one in common with any class that it links with; lists of one class are left out. h: how many shingles of the head others have."""
     values = classes.select("cls", "n", F.explode("head").alias("v"))
     shared = cut_lineage(values.groupBy("v").agg(F.count("*").alias("often")).where("often > 1"))
+    give_back_disk(classes.sparkSession)
     own = values.join(shared, "v").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("own"))
     alone = _column(head, F.col("n")) - F.size("own")
     places = (_column(head, F.col("n")) - _column(more, F.col("n")) + 1 - alone).cast("int")
-    every = cut_lineage(own.select("cls", "n", F.explode(F.slice("own", F.lit(1), F.greatest(places, F.lit(0)))).alias("x")).select(F.col("x.v").alias("v"), "cls", "n"))
-    live = cut_lineage(every.groupBy("v").agg(F.count("*").alias("g")).where("g > 1"))
+    rarest = F.explode(F.slice("own", F.lit(1), F.greatest(places, F.lit(0)))).alias("x")
+    every = cut_lineage(own.select("cls", "n", F.size("own").alias("h"), rarest).select(F.col("x.v").alias("v"), "cls", "n", "h"))
+    live = cut_lineage(every.groupBy("v").agg(F.count("*").alias("g")).where("g > 1").select("v"))
     out = cut_lineage(every.join(live, "v"))
     forget(shared, every, live)
     return out
@@ -242,14 +244,10 @@ def _by_block(rows: pd.DataFrame) -> pd.DataFrame:
 def leaders(lists: DataFrame, turn: int) -> DataFrame:
     """cls, leader: the leaders of other components that each class meets in most lists, of a size that lets them link.
 
-    A list is led by the class with the most members in all its lists, in later
-    rounds by a random one. ``lists``: v, cls, n, g, comp.
+    A list is led by the class whose head others share most of, in later rounds
+    by a random one. ``lists``: v, cls, n, h, comp.
     """
-    if turn == 0:
-        weight = lists.groupBy("cls").agg(F.sum("g").alias("h"))
-        ranked = lists.join(weight, "cls")
-    else:
-        ranked = lists.withColumn("h", F.xxhash64("cls", "v", F.lit(turn)))
+    ranked = lists.withColumn("h", F.xxhash64("cls", "v", F.lit(turn))) if turn else lists
     first = ranked.groupBy("v").agg(F.max(F.struct("h", F.col("cls").alias("leader"), F.col("comp").alias("lcomp"), F.col("n").alias("ln"))).alias("m"))
     # Written, so that adaptive execution can split a long list in the join.
     led = cut_lineage(first.select("v", "m.leader", "m.lcomp", "m.ln"))
@@ -300,20 +298,30 @@ def joined(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("tx", "doc_id")).alias("first")
     classes = cut_lineage(made.where("cls IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min("doc_id").alias("smallest"), first))
     forget(made)
+    give_back_disk(docs.sparkSession)
     lists = head_lists(classes)
+    # From here on without the heads.
+    whole, classes = classes, cut_lineage(classes.drop("head"))
+    forget(whole)
+    give_back_disk(docs.sparkSession)
     members = lists.select("cls").distinct()
     known = cut_lineage(classes.select("cls", "n", "first").join(members, "cls"))
     wanted = known.select("cls", F.col("first.tx").alias("tx"), F.col("first.doc_id").alias("of"))
     texts = docs.select(F.xxhash64("text").alias("tx"), F.col("doc_id").cast("long").alias("id"), "text")
     texts = texts.join(wanted, (texts["tx"] == wanted["tx"]) & texts["id"].eqNullSafe(wanted["of"])).select("cls", "text")
     sets = cut_lineage(texts.mapInArrow(_sets, "cls long, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles")))
+    give_back_disk(docs.sparkSession)
     labels = cut_lineage(known.select("cls", F.col("cls").alias("comp")))
     for turn in range(ROUNDS):
-        named = open_lists(lists, labels)
-        if turn:
-            # Further leaders only where many are still outside a list's largest component.
-            every, named = named, cut_lineage(named.join(largest(named).where(F.col("outside") > SHORT).select("v"), "v"))
-            forget(every)
+        if turn == 0:
+            named = lists.withColumn("comp", F.col("cls"))
+        else:
+            # Lists of one component stay so. Further leaders only where many are still outside a list's largest component.
+            every = open_lists(lists, labels)
+            forget(lists)
+            lists = every.drop("comp")
+            lists._moorage_path = every._moorage_path
+            named = cut_lineage(every.join(largest(every).where(F.col("outside") > SHORT).select("v"), "v"))
             if named.isEmpty():
                 forget(named)
                 break
