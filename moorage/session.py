@@ -116,6 +116,11 @@ def forget(*frames: DataFrame | None) -> None:
             _remove(df.sparkSession, path)
 
 
+def give_back_disk(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: executors keep the shuffle files of finished queries until it does, which a driver with little to do may put off for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of an operator's own, by default ``names``, that no column of ``df`` has (upper and lower case alike)."""
     held, out = {c.lower() for c in df.columns}, []
