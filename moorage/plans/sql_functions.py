@@ -45,10 +45,21 @@ def _whole_number(s: str) -> str:
     return f"CASE WHEN contains({decimal}, '.') THEN regexp_replace({decimal}, {_text(r'\.?0+$')}, '') ELSE {decimal} END"
 
 
+def _shortest(v: str) -> str:
+    """``normalize._shortest`` of a double by name."""
+    text = f"CAST({v} AS STRING)"
+    high = f"CAST(floor({v} / 4294967296D) AS BIGINT)"
+    whole = f"CAST({high} AS DECIMAL(20, 0)) * CAST(4294967296 AS DECIMAL(10, 0)) + CAST(CAST({v} - {high} * 4294967296D AS BIGINT) AS DECIMAL(10, 0))"
+    ten = "CAST(pow(10D, greatest(length(CAST(w AS STRING)) - n, 0)) AS DECIMAL(10, 0))"
+    rounded = f"CAST(CAST((w + CAST(floor({ten} / 2) AS DECIMAL(10, 0))) div {ten} AS DECIMAL(20, 0)) * {ten} AS STRING)"
+    tries = f"CASE WHEN {v} < 1e23D AND {v} = rint({v}) THEN flatten(transform(array({whole}), w -> transform(array(15, 16, 17), n -> {rounded}))) ELSE transform(array(15, 16, 17), n -> format_string(concat('%.', n - 1, 'e'), {v})) END"
+    return f"CASE WHEN length({text}) < 17 THEN {text} ELSE coalesce(get(filter({tries}, c -> TRY_CAST(c AS DOUBLE) = {v}), 0), {text}) END"
+
+
 def _functions() -> dict[str, tuple[str, str]]:
     """name -> (type, body) over the argument t."""
     clean = _blank_trimmed(_steps("nfkc_text(coalesce(t, ''))", N.CLEAN_STEPS))
-    folded = f"lower(regexp_replace(clean_text(t), {_text(f'[{N.MARKS}{N.PUNCTUATION}{N.SPACES[:-1]}]+')}, ''))"
+    folded = f"lower(regexp_replace(clean_text(t), {_text(N.LEFT_OUT)}, ''))"
     units = " ".join(f"WHEN {_text(u)} THEN {v!r}D" for u, v in N.UNITS.items())
     shape = r"^([0-9]+(?:\.[0-9]+)?)([천만억조])?$"
     without = lambda x, ends: f"regexp_replace({x}, {_text(f'^(.{{2,}}?)(?:{chr(124).join(ends)})$')}, '$1')"
@@ -56,15 +67,15 @@ def _functions() -> dict[str, tuple[str, str]]:
     def number(x: str) -> str:
         bare = f"regexp_replace({x}, {_text(f',|{N.WS}')}, '')"
         value = f"CAST(regexp_extract({bare}, {_text(shape)}, 1) AS DOUBLE) * CASE regexp_extract({bare}, {_text(shape)}, 2) {units} ELSE 1.0D END"
-        return f"CASE WHEN rlike({bare}, {_text(shape)}) THEN {_whole_number(f'CAST({value} AS STRING)')} ELSE {bare} END"
+        return f"CASE WHEN rlike({bare}, {_text(shape)}) THEN get(transform(array({value}), v -> {_whole_number(_shortest('v'))}), 0) ELSE {bare} END"
 
     def token(x: str) -> str:
         particle = f"CASE WHEN length({x}) <= 2 THEN {x} ELSE {without(x, N.PARTICLES)} END"
-        return f"CASE WHEN rlike({x}, '^[0-9][0-9,.]*$') THEN {number(x)} WHEN rlike({x}, '^[가-힣]+$') THEN {without(without(f'({particle})', N.ENDINGS), N.ENDINGS)} ELSE trim(TRAILING '.' FROM {x}) END"
+        return f"CASE WHEN {x} >= 'a' AND {x} < '{{' THEN trim(TRAILING '.' FROM {x}) WHEN rlike({x}, '^[0-9][0-9,.]*$') THEN {number(x)} WHEN rlike({x}, '^[가-힣]+$') THEN {without(without(f'({particle})', N.ENDINGS), N.ENDINGS)} ELSE trim(TRAILING '.' FROM {x}) END"
 
     stops = ", ".join(map(_text, N.STOPWORDS))
     # A lambda takes no function of the session, so a token's form is written out in it.
-    tokens = f"filter(transform(transform(regexp_extract_all(clean_text(t), {_text(f'({N.TOKEN})')}, 1), x -> lower(x)), x -> {token('x')}), x -> x <> '' AND NOT rlike(x, '^[가-힣]$') AND x NOT IN ({stops}))"
+    tokens = f"filter(transform(transform(regexp_extract_all(clean_text(t), {_text(f'({N.TOKEN})')}, 1), x -> lower(x)), x -> {token('x')}), x -> x <> '' AND (x < '가' OR NOT rlike(x, '^[가-힣]$') AND x NOT IN ({stops})))"
     return {"clean_text": ("STRING", clean), "fold_text": ("STRING", folded), "normalize_number": ("STRING", number("t")), "normal_token": ("STRING", token("t")), "tokenize_ko": ("ARRAY<STRING>", tokens)}
 
 
