@@ -1,12 +1,14 @@
 """What larger tables showed: numbers of many digits, classes of marks, work that has to grow with the input."""
 
 import random
+from collections import Counter
 from decimal import Decimal
 
+import duckdb
 from pyspark.sql import functions as F
 
 from moorage.functions import normalize as N
-from moorage.plans import sql_functions
+from moorage.plans import registry, sql_functions
 
 
 def test_numbers_of_many_digits_are_printed_by_their_shortest_form(spark):
@@ -28,3 +30,21 @@ def test_skeletons_lack_what_the_three_classes_name(spark):
     rows = spark.createDataFrame([(f"a{chr(i)}b",) for i in range(1, 65536) if not 0xD800 <= i <= 0xDFFF], "t string")
     named = f"[{N.MARKS}{N.PUNCTUATION}{N.SPACES.removesuffix('+')}]+"
     assert rows.where(F.regexp_replace("t", named, "") != F.regexp_replace("t", N.LEFT_OUT, "")).count() == 0
+
+
+def agrees(spark, folder, name):
+    """Whether a query gives the rows of its SQL on the tables in the folder."""
+    got = registry.queries()[name](spark, str(folder))
+    con = duckdb.connect()
+    for path in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}/*.parquet'")
+    cols = ", ".join(f'"{c}"' for c in got.columns)
+    return Counter(map(tuple, got.collect())) == Counter(con.execute(f"SELECT {cols} FROM ({registry.oracle_sql()[name]})").fetchall())
+
+
+def test_numbers_beyond_the_decimal_are_as_in_the_sql(spark, tmp_path):
+    long = "123456789012345678901234567890"
+    texts = [f"code {long} and 42 of 603", f"{long} {long}1", "x 90819894045335504 y 12", "plain words here plains wordz"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("doc_numbers", "doc_tokens", "number_classify", "number_classify_all", "token_fuzzy", "stage_progress", "sql_text_stats"):
+        assert agrees(spark, tmp_path, name), name
