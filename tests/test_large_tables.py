@@ -8,6 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from moorage.functions import normalize as N
+from moorage.operators import gram_index, grounding
 from moorage.plans import registry, sql_functions
 
 
@@ -48,3 +49,19 @@ def test_numbers_beyond_the_decimal_are_as_in_the_sql(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("doc_numbers", "doc_tokens", "number_classify", "number_classify_all", "token_fuzzy", "stage_progress", "sql_text_stats"):
         assert agrees(spark, tmp_path, name), name
+
+
+def test_index_finds_quotes_by_their_rare_grams(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(5, 80))) for _ in range(80)] + [None, "", "abc"]
+    quotes = [t[a : a + 50] + rng.choice(["", " xyzzy" * 3]) for t in texts[:40] for a in (0, 13)] + ["abcd", "abcde", "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = grounding.quote_table(spark.createDataFrame(list(enumerate(quotes)), "id long, text string"), "id", "text")
+    gram_index.add_sources(docs.where("doc_id % 3 > 0"), "doc_id", f"{tmp_path}/grams", rows=5)
+    gram_index.add_sources(docs.where("doc_id % 3 = 0"), "doc_id", f"{tmp_path}/grams", rows=5)
+    for least in (0.55, 0.9):
+        joined = grounding.score_quotes(grounding.folded_sources(docs, "doc_id"), asked, "doc_id", least=least, most_bytes=0)
+        want = sorted(map(tuple, joined.collect()))
+        assert want and sorted(map(tuple, gram_index.score_indexed(spark, f"{tmp_path}/grams", asked, "doc_id", least).collect())) == want
+        assert sorted(map(tuple, grounding.score_quotes(grounding.folded_sources(docs, "doc_id"), asked, "doc_id", least=least).collect())) == want
