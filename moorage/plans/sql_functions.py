@@ -13,7 +13,6 @@ import json
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -86,14 +85,10 @@ def scored(source: str, quote: str) -> tuple[float, str]:
         return 0.0, "no content"
     if n <= grounding.CONTAINED:
         return (1.0, "contained") if quote in source else (0.0, "absent")
-    own: dict[str, list[int]] = {}
-    for i in range(n):
-        own.setdefault(quote[i : i + grounding.GRAM], []).append(i)
-    hits = [(p, i) for p in range(len(source) - grounding.GRAM + 1) for i in own.get(source[p : p + grounding.GRAM], ())]
-    if not hits:
+    found = grounding.QuoteGrams([(quote, len(quote) * 18 // 10 + 40)], 0.0).best(source)
+    if not found:
         return 0.0, "no hit"
-    pos, i = np.array(hits).T
-    score = grounding.densest(pos, i, len(quote) * 18 // 10 + 40) / n
+    score = found[0][1] / n
     return score, "local" if score >= grounding.GROUNDED else "partial" if score >= grounding.WEAK else "scattered"
 
 

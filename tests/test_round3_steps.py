@@ -38,3 +38,11 @@ def test_quotes_in_long_texts_of_few_words(spark):
             n = len(text) - 3
             want = float(text in held[d]) if n <= grounding.CONTAINED else plain_best(held[d], text, len(text) * 18 // 10 + 40)
             assert got.get((d, q)) == (want if want >= 0.55 else None)
+
+
+def test_a_quote_is_verified_once(spark, tmp_path):
+    from moorage.plans import surface_queries
+
+    spark.createDataFrame([(i, f"text {i} of some words " * 20) for i in range(5)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = surface_queries.sql_verify_quotes(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [verify_folded") == 1
