@@ -46,3 +46,20 @@ def test_a_quote_is_verified_once(spark, tmp_path):
     spark.createDataFrame([(i, f"text {i} of some words " * 20) for i in range(5)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     plan = surface_queries.sql_verify_quotes(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [verify_folded") == 1
+
+
+def test_documents_are_scored_in_their_rows(spark, monkeypatch):
+    from moorage.operators import retrieval
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(f"d{i:03}" if i else None, rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randint(0, 30))) for i in range(300)]
+    docs += [(f"e{i:02}", ["w1", "w50"]) for i in range(20)] + [("f", None)]
+    df = spark.createDataFrame(docs, "k string, words array<string>").repartition(5)
+    asked = spark.createDataFrame([(q, w) for q in range(12) for w in {rng.choice(words) for _ in range(4)}] + [(12, "w1"), (12, "w50"), (13, "none"), (14, None)], "query long, term string")
+    search = lambda: sorted(map(tuple, retrieval.bm25_search(df, "k", F.col("words"), asked).select("query", "rank", "k", F.round("score", 9)).collect()))
+    near = search()
+    monkeypatch.setattr(retrieval, "SCORES", 40)
+    assert search() == near
+    monkeypatch.setattr(retrieval, "SENT_PAIRS", 0)
+    assert search() == near and {q for q, *_ in near} == set(range(13))
