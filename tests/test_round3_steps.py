@@ -63,3 +63,23 @@ def test_documents_are_scored_in_their_rows(spark, monkeypatch):
     assert search() == near
     monkeypatch.setattr(retrieval, "SENT_PAIRS", 0)
     assert search() == near and {q for q, *_ in near} == set(range(13))
+
+
+def test_grams_of_all_letters_are_counted(spark):
+    from collections import Counter
+
+    from moorage.functions import normalize as N
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab😀가é", k=rng.randint(0, 40))) for _ in range(300)] + ["aaaaaaa" * 50, None, "", "abc", "abcd"]
+    # More letters than a table of pairs holds.
+    texts += ["".join(chr(0x4E00 + (i * k) % 9_000) for i in range(9_000)) for k in (1, 7)]
+    n, df = Counter(), Counter()
+    for t in texts:
+        own = Counter(t[i : i + 4] for i in range(len(t or "") - 3))
+        n.update(own)
+        df.update(own.keys())
+    rows = spark.createDataFrame([(t,) for t in texts], "f string")
+    for parts in (1, 4):
+        got = {r.gram: (r.n, r.df) for r in N.gram_counts(rows.repartition(parts)).collect()}
+        assert got == {g: (n[g], df[g]) for g in n}
