@@ -82,12 +82,16 @@ def merged_rows(cells: DataFrame) -> DataFrame:
     In order, the last replacing row is the first of those with the most
     filled cells; only it and the rows after it give values, each cell its first.
     """
-    keyed = cells.withColumn("_k", fold(F.col("row_key"))).where(F.col("_k") != "")
-    full = keyed.where(F.length(F.trim(F.coalesce("value", F.lit("")))) > 0)
+    # A list of none or one, not a filter, which would be pushed down and fold again.
+    key = F.explode(F.filter(F.array(fold(F.col("row_key"))), lambda k: k != "")).alias("_k")
+    named = F.col("form_id").isNotNull() & F.col("field").isNotNull()
+    full = cells.where(named & (F.length(F.trim(F.coalesce("value", F.lit("")))) > 0)).select("form_id", "field", key, "rank", "row", "column", "value")
+    # The second window and the last aggregate are dealt and ordered alike; cells dealt by row already are not dealt for the first.
+    rows = Window.partitionBy("form_id", "field", "_k")
+    filled = full.withColumn("_n", F.count("*").over(Window.partitionBy("form_id", "field", "_k", "rank", "row")))
+    led = filled.withColumn("_lead", F.min(F.struct((-F.col("_n")).alias("n"), "rank", "row")).over(rows))
     at = F.struct("rank", "row")
-    filled = full.groupBy("form_id", "field", "_k", "rank", "row").agg(F.count("*").alias("n"))
-    lead = filled.groupBy("form_id", "field", "_k").agg(F.min_by(at, F.struct(-F.col("n"), "rank", "row")).alias("lead"))
-    late = full.join(lead, ["form_id", "field", "_k"]).where(at >= F.col("lead"))
+    late = led.where(at >= F.struct(F.col("_lead.rank").alias("rank"), F.col("_lead.row").alias("row")))
     return late.groupBy("form_id", "field", F.col("_k").alias("row_key"), "column").agg(F.min_by("value", at).alias("value"))
 
 
