@@ -1,8 +1,9 @@
 """The engine's functions by name, for spark.sql (§2.14).
 
 ``register`` makes temporary functions of a session: ``fold_text(text)``,
-``clean_text(text)``, ``tokenize_ko(text)``, ``normalize_number(text)``
-and ``normal_token(text)`` are SQL functions, which Spark puts into the plan as the
+``clean_text(text)``, ``tokenize_ko(text)``, ``normalize_number(text)``,
+``normal_token(text)`` and, of what ``clean_text`` gave, ``fold_cleaned(text)`` and
+``tokenize_cleaned(text)`` are SQL functions, which Spark puts into the plan as the
 expressions that they stand for; ``verify_quote(source, quote)`` and the table
 function ``json_leaves(json)`` run on Arrow batches in Python.
 """
@@ -58,7 +59,7 @@ def _shortest(v: str) -> str:
 def _functions() -> dict[str, tuple[str, str]]:
     """name -> (type, body) over the argument t."""
     clean = _blank_trimmed(_steps("nfkc_text(coalesce(t, ''))", N.CLEAN_STEPS))
-    folded = f"lower(regexp_replace(clean_text(t), {_text(N.LEFT_OUT)}, ''))"
+    folded = lambda c: f"lower(regexp_replace({c}, {_text(N.LEFT_OUT)}, ''))"
     units = " ".join(f"WHEN {_text(u)} THEN {v!r}D" for u, v in N.UNITS.items())
     shape = r"^([0-9]+(?:\.[0-9]+)?)([천만억조])?$"
     without = lambda x, ends: f"regexp_replace({x}, {_text(f'^(.{{2,}}?)(?:{chr(124).join(ends)})$')}, '$1')"
@@ -74,8 +75,8 @@ def _functions() -> dict[str, tuple[str, str]]:
 
     stops = ", ".join(map(_text, N.STOPWORDS))
     # A lambda takes no function of the session, so a token's form is written out in it.
-    tokens = f"filter(transform(transform(regexp_extract_all(clean_text(t), {_text(f'({N.TOKEN})')}, 1), x -> lower(x)), x -> {token('x')}), x -> x <> '' AND (x < '가' OR NOT rlike(x, '^[가-힣]$') AND x NOT IN ({stops})))"
-    return {"clean_text": ("STRING", clean), "fold_text": ("STRING", folded), "normalize_number": ("STRING", number("t")), "normal_token": ("STRING", token("t")), "tokenize_ko": ("ARRAY<STRING>", tokens)}
+    tokens = lambda c: f"filter(transform(transform(regexp_extract_all({c}, {_text(f'({N.TOKEN})')}, 1), x -> lower(x)), x -> {token('x')}), x -> x <> '' AND (x < '가' OR NOT rlike(x, '^[가-힣]$') AND x NOT IN ({stops})))"
+    return {"clean_text": ("STRING", clean), "fold_text": ("STRING", folded("clean_text(t)")), "fold_cleaned": ("STRING", folded("t")), "normalize_number": ("STRING", number("t")), "normal_token": ("STRING", token("t")), "tokenize_ko": ("ARRAY<STRING>", tokens("clean_text(t)")), "tokenize_cleaned": ("ARRAY<STRING>", tokens("t"))}
 
 
 def scored(source: str, quote: str) -> tuple[float, str]:

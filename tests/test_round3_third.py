@@ -4,6 +4,7 @@ import contextlib
 import io
 
 from moorage.operators import merge
+from moorage.plans import surface_queries
 
 
 def plan(df) -> str:
@@ -19,3 +20,10 @@ def test_rows_are_merged_with_one_fold_and_two_shuffles(spark):
     assert plan(merged).count("ArrowEvalPython") == 1
     assert plan(merged).count("Exchange") == 2
     assert sorted(merged.collect()) == [(1, "f", "ab", "x", "1"), (1, "f", "ab", "y", "2"), (1, "f", "ab", "z", "4")]
+
+
+def test_texts_are_cleaned_once_for_folding_and_tokens(spark, tmp_path):
+    spark.createDataFrame([(1, "A-b 12 page 3 가나다는"), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    stats = surface_queries.sql_text_stats(spark, str(tmp_path))
+    assert plan(stats).count("NO_TEXT") == 1
+    assert sorted((r.doc_id, r.folded_chars, r.n_tokens) for r in stats.collect()) == [(1, 8, 4), (2, 0, 0), (3, 0, 0)]
