@@ -3,7 +3,7 @@
 import contextlib
 import io
 
-from moorage.operators import merge
+from moorage.operators import merge, retrieval, search_index
 from moorage.plans import surface_queries
 
 
@@ -27,3 +27,16 @@ def test_texts_are_cleaned_once_for_folding_and_tokens(spark, tmp_path):
     stats = surface_queries.sql_text_stats(spark, str(tmp_path))
     assert plan(stats).count("NO_TEXT") == 1
     assert sorted((r.doc_id, r.folded_chars, r.n_tokens) for r in stats.collect()) == [(1, 8, 4), (2, 0, 0), (3, 0, 0)]
+
+
+def test_index_scores_documents_in_their_rows(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, [f"t{i % 7}", f"t{i % 5}", "all", ""][: i % 4 + 1]) for i in range(60)] + [(60, [])], "d long, tokens array<string>")
+    queries = spark.createDataFrame([("a", "t1"), ("a", "all"), ("b", "t3"), ("b", "t4"), ("c", "none")], "query string, term string")
+    search_index.build_index(docs, "d", docs["tokens"], str(tmp_path), block=4, part=20, buckets=2)
+    found = search_index.search_index(spark, str(tmp_path), queries, "d", 4)
+    assert "LeftSemi" not in plan(found)
+    rows = lambda df: sorted((r.query, r.d, round(r.score, 9), r["rank"]) for r in df.collect())
+    got = rows(found)
+    monkeypatch.setattr(retrieval, "SENT_PAIRS", 0)
+    assert len(got) == 8
+    assert got == rows(search_index.search_index(spark, str(tmp_path), queries, "d", 4))
