@@ -60,6 +60,8 @@ SHORT = 16
 BLOCK, BLOCK_SHINGLES = 2_000, 1_000_000
 #: Words whose hashes a worker keeps for a partition, and characters of text that are taken at once (one text at least).
 KEPT_WORDS, SLICE_CHARS = 150_000, 4_000_000
+#: Bits of the filter that keeps most texts from being looked at again: some sixteen for each wanted text, at most so many (4 MB).
+MOST_BITS = 2**25
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -118,19 +120,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = end
 
 
+def _named(sets: list[np.ndarray]) -> list[pa.Array]:
+    """n, low, high: the sizes of sets and two hashes of each."""
+    low = [int(x.view(np.uint64).sum()) & (2**64 - 1) for x in sets]
+    high = [int(np.bitwise_xor.reduce(_mixed(x.view(np.uint64) + np.uint64(1)))) if len(x) else 0 for x in sets]
+    return [pa.array([len(x) for x in sets], type=pa.int64()), pa.array(np.array(low, dtype=np.uint64).view(np.int64)), pa.array(np.array(high, dtype=np.uint64).view(np.int64))]
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for part in _slices(batches):
         sets = [shingle_set(t.as_py(), hashes) for t in part["text"]]
-        low = [int(x.view(np.uint64).sum()) & (2**64 - 1) for x in sets]
-        high = [int(np.bitwise_xor.reduce(_mixed(x.view(np.uint64) + np.uint64(1)))) if len(x) else 0 for x in sets]
-        yield pa.RecordBatch.from_arrays([
-            part["doc_id"], part["tx"],
-            pa.array([len(x) for x in sets], type=pa.int64()),
-            pa.array(np.array(low, dtype=np.uint64).view(np.int64)),
-            pa.array(np.array(high, dtype=np.uint64).view(np.int64)),
-            _list_array([x[:SKETCH] for x in sets]),
-        ], names=["doc_id", "tx", "n", "low", "high", "sketch"])
+        yield pa.RecordBatch.from_arrays([part["doc_id"], part["tx"], *_named(sets), _list_array([x[:SKETCH] for x in sets])], names=["doc_id", "tx", "n", "low", "high", "sketch"])
     hashes.clear()
     give_back()
 
@@ -143,16 +144,43 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
     return made.select("doc_id", "tx", "n", F.when(F.col("n") > 0, F.xxhash64("low", "high", "n")).alias("cls"), "sketch")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
-    for part in _slices(batches):
-        first: dict[int, int] = {}
-        for i, c in enumerate(part["cls"].to_pylist()):
-            first.setdefault(c, i)
-        own = part.take(pa.array(list(first.values()), type=pa.int64()))
-        yield pa.RecordBatch.from_arrays([own["cls"], _list_array([shingle_set(t.as_py(), hashes) for t in own["text"]])], names=["cls", "shingles"])
-    hashes.clear()
-    give_back()
+def marked(keys: DataFrame) -> np.ndarray:
+    """A filter of ``keys`` (key long): the bit of each one's remainder is set, in words of 64. What comes to the driver is at most the filter itself."""
+    bits = min(MOST_BITS, max(1024, 1 << (16 * keys.count()).bit_length()))
+    place = keys.select(F.pmod("key", F.lit(bits)).alias("at"))
+    words = place.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("set")).toPandas()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words["word"].to_numpy(dtype=np.int64)] = words["set"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def _sets(marks: np.ndarray):
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for part in _slices(batches):
+            at = part["key"].to_numpy().view(np.uint64) & np.uint64(64 * len(marks) - 1)
+            first: dict[int, int] = {}
+            for i in np.flatnonzero(marks[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).tolist():
+                first.setdefault(part["key"][i].as_py(), i)
+            sets = [shingle_set(part["text"][i].as_py(), hashes) for i in first.values()]
+            yield pa.RecordBatch.from_arrays([*_named(sets), _list_array(sets)], names=["n", "low", "high", "shingles"])
+        hashes.clear()
+        give_back()
+
+    return sets_of
+
+
+def class_sets(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """cls, shingles: the full set of each class of ``known`` (cls, first: hash and id of one text), cut from the lineage.
+
+    Texts stay where they are read and aren't shuffled: workers look at those that
+    pass a filter of the wanted ones' hashes and name their sets as at first;
+    sets of the few others that pass it too have names that aren't known.
+    """
+    marks = marked(known.select(F.xxhash64("first.tx", "first.doc_id").alias("key")))
+    texts = docs.select(F.xxhash64(F.xxhash64("text"), F.col("doc_id").cast("long")).alias("key"), "text")
+    made = texts.mapInArrow(_sets(marks), "n long, low long, high long, shingles array<long>").select(F.xxhash64("low", "high", "n").alias("cls"), "shingles")
+    return cut_lineage(made.groupBy("cls").agg(F.first("shingles").alias("shingles")).join(known.select("cls"), "cls", "left_semi"))
 
 
 def index_rows(classes: DataFrame) -> DataFrame:
@@ -357,11 +385,8 @@ def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     lists = cut_lineage(every.join(live, "v"))
     members = lists.select("cls").distinct()
     known = cut_lineage(classes.join(members, "cls").select("cls", "n", "sketch", "first"))
-    # Full sets of the classes that have a list in common with another one, from one text each: only rows with that text's id come along.
-    wanted = known.select("cls", F.col("first.tx").alias("tx"), F.col("first.doc_id").alias("of"))
-    texts = docs.select(F.xxhash64("text").alias("tx"), F.col("doc_id").cast("long").alias("id"), "text")
-    texts = texts.join(wanted, (texts["tx"] == wanted["tx"]) & texts["id"].eqNullSafe(wanted["of"])).select("cls", "text")
-    sets = cut_lineage(texts.mapInArrow(_sets, "cls long, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles")))
+    # Full sets of the classes that have a list in common with another one, from one text each.
+    sets = class_sets(docs, known)
     forget(every, live)
     labels = cut_lineage(known.select("cls", F.col("cls").alias("comp")))
     for turn in range(ROUNDS):

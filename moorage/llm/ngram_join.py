@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, forget, give_back_disk, ship
-from .near_dedup import SHORT, _list_array, _mixed, _sets, _slices, _WordHashes, blocked, connected, full_lists, largest, open_lists, shingle_set, zones
+from .near_dedup import SHORT, _list_array, _named, _slices, _WordHashes, blocked, class_sets, connected, full_lists, largest, open_lists, shingle_set, zones
 from .workers import give_back
 
 #: Similarity in hundredths.
@@ -71,9 +71,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for part in _slices(batches):
         sets = [shingle_set(t.as_py(), hashes) for t in part["text"]]
-        low = [int(x.view(np.uint64).sum()) & (2**64 - 1) for x in sets]
-        high = [int(np.bitwise_xor.reduce(_mixed(x.view(np.uint64) + np.uint64(1)))) if len(x) else 0 for x in sets]
-        columns = [part["doc_id"], part["tx"], pa.array([len(x) for x in sets], type=pa.int64()), pa.array(np.array(low, dtype=np.uint64).view(np.int64)), pa.array(np.array(high, dtype=np.uint64).view(np.int64)), _list_array([x[: head(len(x))] for x in sets])]
+        columns = [part["doc_id"], part["tx"], *_named(sets), _list_array([x[: head(len(x))] for x in sets])]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tx", "n", "low", "high", "head"])
     hashes.clear()
     give_back()
@@ -92,14 +90,20 @@ def head_lists(classes: DataFrame) -> DataFrame:
     values = classes.select("cls", "n", F.explode("head").alias("v"))
     shared = cut_lineage(values.groupBy("v").agg(F.count("*").alias("often")).where("often > 1"))
     give_back_disk(classes.sparkSession)
-    own = values.join(shared, "v").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("own"))
+    # Written, so that the values' shuffle is over before the classes' one begins.
+    held = cut_lineage(values.join(shared, "v"))
+    forget(shared)
+    give_back_disk(classes.sparkSession)
+    own = held.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("often", "v"))).alias("own"))
     alone = _column(head, F.col("n")) - F.size("own")
     places = (_column(head, F.col("n")) - _column(more, F.col("n")) + 1 - alone).cast("int")
     rarest = F.explode(F.slice("own", F.lit(1), F.greatest(places, F.lit(0)))).alias("x")
     every = cut_lineage(own.select("cls", "n", F.size("own").alias("h"), rarest).select(F.col("x.v").alias("v"), "cls", "n", "h"))
+    forget(held)
+    give_back_disk(classes.sparkSession)
     live = cut_lineage(every.groupBy("v").agg(F.count("*").alias("g")).where("g > 1").select("v"))
     out = cut_lineage(every.join(live, "v"))
-    forget(shared, every, live)
+    forget(every, live)
     return out
 
 
@@ -277,6 +281,7 @@ def leader_links(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFra
 def zone_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between components of ``members`` (cls, n), whatever they share, from tries of blocks of full sets; cut from the lineage."""
     lists = full_lists(members, sets, LIKE)
+    give_back_disk(members.sparkSession)
     held = zones(lists, labels, LIKE)
     forget(lists)
     rows = blocked(held, LIKE).join(sets, "cls")
@@ -306,10 +311,7 @@ def joined(docs: DataFrame) -> DataFrame:
     give_back_disk(docs.sparkSession)
     members = lists.select("cls").distinct()
     known = cut_lineage(classes.select("cls", "n", "first").join(members, "cls"))
-    wanted = known.select("cls", F.col("first.tx").alias("tx"), F.col("first.doc_id").alias("of"))
-    texts = docs.select(F.xxhash64("text").alias("tx"), F.col("doc_id").cast("long").alias("id"), "text")
-    texts = texts.join(wanted, (texts["tx"] == wanted["tx"]) & texts["id"].eqNullSafe(wanted["of"])).select("cls", "text")
-    sets = cut_lineage(texts.mapInArrow(_sets, "cls long, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles")))
+    sets = class_sets(docs, known)
     give_back_disk(docs.sparkSession)
     labels = cut_lineage(known.select("cls", F.col("cls").alias("comp")))
     for turn in range(ROUNDS):
